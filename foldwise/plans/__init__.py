@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("splits",)
+FAMILIES = ("splits", "profiles", "features", "texts")
 
 
 def load_all() -> None:
