@@ -31,18 +31,21 @@ def words(text: str | Column, stop: Sequence[str] = ()) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(list(stop)))
 
 
-def word_ngrams(tokens: str | Column, lo: int, hi: int) -> Column:
-    """All word n-grams of length lo..hi, joined by one blank."""
-    tokens = col(tokens)
-    parts = []
-    for n in range(lo, hi + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+def word_ngrams(tokens: str, lo: int, hi: int) -> Column:
+    """All word n-grams of length lo..hi of a token column, joined by one blank.
+
+    Shifted copies of the array are zipped, so the cost is linear in its length.
+    """
+    tok = F.col(tokens)
+
+    def of_length(n: int) -> Column:
+        count = F.greatest(F.size(tok) - (n - 1), F.lit(0))
+        grams = F.slice(tok, F.lit(1), count)
+        for shift in range(1, n):
+            grams = F.zip_with(grams, F.slice(tok, F.lit(shift + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+        return grams
+
+    parts = [of_length(n) if n > 1 else tok for n in range(lo, hi + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

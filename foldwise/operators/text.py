@@ -26,10 +26,15 @@ class TermSpace:
     min_df: int = MIN_DF
     max_features: int = MAX_FEATURES
 
-    def grams(self, folded: str | Column) -> Column:
+    def exploded(self, folded: DataFrame, key: str) -> DataFrame:
+        """(key, term), one row per occurrence, from a folded text column ``_t``.
+
+        Tokens get their own projection so that they are extracted once per row.
+        """
         if self.analyzer == "word":
-            return tx.word_ngrams(tx.words(folded, lx.STOPWORDS), self.lo, self.hi)
-        return tx.char_ngrams(folded, self.lo, self.hi)
+            tokens = folded.select(key, tx.words("_t", lx.STOPWORDS).alias("_w"))
+            return tokens.select(key, F.explode(tx.word_ngrams("_w", self.lo, self.hi)).alias("term"))
+        return folded.select(key, F.explode(tx.char_ngrams("_t", self.lo, self.hi)).alias("term"))
 
 
 WORD = TermSpace("w", "word", 1, 2)
@@ -42,7 +47,7 @@ CHAR_SHORT = TermSpace("c", "char_wb", 1, 2)
 
 def term_counts(df: DataFrame, text: str, space: TermSpace, key: str = "row_id", prefix: bool = False) -> DataFrame:
     """(key, term, tf); the namespace prefix keeps word and character terms apart."""
-    tokens = df.select(key, tx.fold_case(text).alias("_t")).select(key, F.explode(space.grams(F.col("_t"))).alias("term"))
+    tokens = space.exploded(df.select(key, tx.fold_case(text).alias("_t")), key)
     if prefix:
         tokens = tokens.withColumn("term", F.concat(F.lit(f"{space.name}:"), "term"))
     return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
