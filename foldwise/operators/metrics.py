@@ -196,8 +196,8 @@ def cell_error_sums(df: DataFrame, folds: DataFrame, weight: str, err_base: Colu
 
 def gate_verdict(paired: DataFrame, interval: DataFrame) -> DataFrame:
     """All four conditions: lower, >= 80 % of cells, p < 0.01, interval below zero."""
-    one = paired.join(interval)  # one row with one row
-    return one.withColumn(
+    ci = interval.select(F.struct(*interval.columns)).scalar()
+    return paired.select("*", *[ci[c].alias(c) for c in interval.columns]).withColumn(
         "accepted",
         (F.col("d_mean") < 0) & (F.col("improved") >= F.ceil(0.8 * F.col("n_cells")))
         & F.coalesce(F.col("p_value") < 0.01, F.lit(False)) & (F.col("ci_hi") < 0),
