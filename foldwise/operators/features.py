@@ -14,7 +14,7 @@ from ..sources import frame as fr
 from .encoders import MISSING_LEVEL, level_list, one_hot
 from .folds import CELL, expand_to_training, with_cells
 from .profile import correlations, distinct_counts, melt
-from .ranks import cumulative, percent_ranks, quantiles_of_counts
+from .ranks import cumulative, quantiles_of_counts, with_ranks
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def cohort_z(df: DataFrame, columns: Sequence[str], cohorts: Mapping[str, Sequen
 
 
 def cohort_rank(df: DataFrame, value: str, cohort: Sequence[str], out: str, domain=None) -> DataFrame:
-    return percent_ranks(df, value, out, cohort, domain)
+    return with_ranks(df, {out: (value, domain)}, cohort, percent=True)
 
 
 def cell_bins(df: DataFrame, folds: DataFrame, columns: Sequence[str], bins: int = 5, key: str = fr.KEY) -> DataFrame:

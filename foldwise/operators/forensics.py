@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rowwise import clip, squared_error
+from ..session import pin
 from .profile import melt
-from .ranks import bin_of, percent_ranks, quantile_edges
+from .ranks import bin_of, quantile_edges, with_ranks
 
 DOMAIN = (0.0, 100.0)
 
@@ -160,8 +161,11 @@ def calibration_by_feature(df: DataFrame, feature: str, target: str, pred: str,
 
 
 def confidence(df: DataFrame, spread: str, pred: str, w_spread: float = 0.6) -> DataFrame:
-    """Confidence in [0, 1]: agreement rank blended with the prediction rank."""
-    ranked = percent_ranks(percent_ranks(df, spread, "_rs"), pred, "_rp", (), DOMAIN)
+    """Confidence in [0, 1]: agreement rank blended with the prediction rank.
+
+    The input is ranked twice and joined back, so it is pinned first.
+    """
+    ranked = with_ranks(pin(df), {"_rs": (spread, DOMAIN), "_rp": (pred, DOMAIN)}, percent=True)
     return ranked.withColumn("confidence", w_spread * (1.0 - F.col("_rs")) + (1.0 - w_spread) * F.col("_rp")).drop("_rs", "_rp")
 
 

@@ -15,7 +15,7 @@ from ..functions.solvers import student_t_two_sided
 from ..session import lookup
 from .encoders import robust_scale
 from .folds import CELL, with_cells
-from .ranks import average_ranks, cumulative
+from .ranks import cumulative, with_ranks
 
 ACCEPT_K = 0.25
 REDUNDANT_CORR = 0.97
@@ -93,7 +93,7 @@ def roc_auc(df: DataFrame, label: str | Column, score: str, groups: Sequence[str
 
 
 def spearman(df: DataFrame, a: str, b: str, domain_a=None, domain_b=None) -> DataFrame:
-    ranked = average_ranks(average_ranks(df.select(a, b), a, "_ra", (), domain_a), b, "_rb", (), domain_b)
+    ranked = with_ranks(df.select(a, b), {"_ra": (a, domain_a), "_rb": (b, domain_b)})
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"))
 
 

@@ -13,7 +13,7 @@ from .ranks import cumulative, exact_quantiles
 
 def melt(df: DataFrame, metrics: Mapping[str, Column], name: str = "column", value: str = "value") -> DataFrame:
     """Compute many scalars in one aggregate and return them as (name, value) rows."""
-    return df.agg(*[c.alias(n) for n, c in metrics.items()]).unpivot([], list(metrics), name, value)
+    return df.agg(*[c.alias(n) for n, c in metrics.items()]).unpivot([], [F.col(f"`{n}`") for n in metrics], name, value)
 
 
 def non_null_counts(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:

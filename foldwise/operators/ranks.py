@@ -144,26 +144,31 @@ def exact_quantiles(
     return quantiles_of_counts(cumulative(df, value, groups, measures, domain), value, probs, groups)
 
 
-def average_ranks(
-    df: DataFrame, value: str, out: str, groups: Sequence[str] = (), domain: Domain = None
+def rank_table(
+    df: DataFrame, value: str, out: str, groups: Sequence[str] = (), domain: Domain = None, percent: bool = False
 ) -> DataFrame:
-    """Rank with ties sharing their mean position (1-based)."""
-    table = cumulative(df, value, groups, None, domain).select(
-        *groups, value, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out)
-    )
-    return df.join(table, [*groups, value], "left")
+    """(groups, value, rank) for every distinct value.
 
+    ``percent`` gives (rank - 1) / (rows - 1) as the SQL window function does;
+    otherwise tied rows share their mean position (1-based).
+    """
+    first = F.col("cum_n") - F.col("n")
+    if percent:
+        rank = F.when(F.col("total_n") > 1, first / (F.col("total_n") - 1)).otherwise(F.lit(0.0))
+    else:
+        rank = first + (F.col("n") + 1) / 2.0
+    return cumulative(df, value, groups, None, domain).select(*groups, value, rank.alias(out))
 
-def percent_ranks(
-    df: DataFrame, value: str, out: str, groups: Sequence[str] = (), domain: Domain = None
-) -> DataFrame:
-    """(rank - 1) / (rows - 1), as the SQL window function."""
-    table = cumulative(df, value, groups, None, domain).select(
-        *groups, value,
-        F.when(F.col("total_n") > 1, (F.col("cum_n") - F.col("n")) / (F.col("total_n") - 1))
-        .otherwise(F.lit(0.0)).alias(out),
-    )
-    return df.join(table, [*groups, value], "left")
+
+def with_ranks(df: DataFrame, specs: Mapping[str, tuple[str, Domain]], groups: Sequence[str] = (), percent: bool = False) -> DataFrame:
+    """Attach several ranks ``{out: (value, domain)}``; all are taken from the same input.
+
+    The join back is on the value itself; adaptive execution splits a hot value.
+    """
+    out = df
+    for name, (value, domain) in specs.items():
+        out = out.join(rank_table(df, value, name, groups, domain, percent), [*groups, value], "left")
+    return out
 
 
 def quantile_edges(

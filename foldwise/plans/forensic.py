@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rowwise import row_std
 from ..operators import forensics as fx
+from ..session import pin
 from ..sources import frame as fr
 from .metrics import scored
 from .profiles import rounded, sides
@@ -171,6 +172,6 @@ def calibration_by_feature(spark, folder):
         "e": bin_edges("c", "conf", 10)}))
 def confidence(spark, folder):
     df, _ = blended(spark, folder)
-    df = df.withColumn("sd", F.round(row_std(["pred_a", "pred_b", "pred_c", "pred_e"]), 6))
-    conf = fx.confidence(df, "sd", P).withColumn("confidence", F.round("confidence", 6))
+    df = df.select("row_id", Y, P, *fr.MODELS).withColumn("sd", F.round(row_std(["pred_a", "pred_b", "pred_c", "pred_e"]), 6))
+    conf = pin(fx.confidence(df.select("row_id", Y, P, "sd"), "sd", P).withColumn("confidence", F.round("confidence", 6)))
     return rounded(fx.mse_by_decile(conf, "confidence", Y, P))
