@@ -130,6 +130,10 @@ def segment_weights(df: DataFrame, models: Sequence[str], target: str, weight: s
 POWERS = (-2.0, -1.0, 0.5, 2.0, 3.0)
 
 
+def power_name(p: float) -> str:
+    return f"power_{p:g}".replace(".", "p")
+
+
 def family(models: Sequence[str]) -> dict[str, Column]:
     """Arithmetic, geometric, power, median and trimmed means of a member list."""
     k = len(models)
@@ -142,7 +146,7 @@ def family(models: Sequence[str]) -> dict[str, Column]:
         "median": (arr[(k - 1) // 2] + arr[k // 2]) / 2.0,
     }
     for p in POWERS:
-        out[f"power_{p:g}"] = F.pow(_power_sum(arr, p, floor) / k, F.lit(1.0 / p))
+        out[power_name(p)] = F.pow(_power_sum(arr, p, floor) / k, F.lit(1.0 / p))
     for t in (1, 2):
         if k > 2 * t:
             out[f"trimmed_{t}"] = total(F.slice(arr, t + 1, k - 2 * t)) / (k - 2 * t)

@@ -115,7 +115,7 @@ def _family_sql(subset, models):
         "arithmetic": f"list_sum({a}) / {k}",
         "geometric": f"exp(list_sum(list_transform({a}, lambda x: ln(greatest(x, 1e-6)))) / {k})",
         "median": f"({a}[{(k - 1) // 2 + 1}] + {a}[{k // 2 + 1}]) / 2",
-        **{f"power_{p:g}": f"pow(list_sum(list_transform({a}, lambda x: pow(greatest(x, 1e-6), CAST({p} AS DOUBLE)))) / {k}, CAST({1 / p!r} AS DOUBLE))" for p in bl.POWERS},
+        **{bl.power_name(p): f"pow(list_sum(list_transform({a}, lambda x: pow(greatest(x, 1e-6), CAST({p} AS DOUBLE)))) / {k}, CAST({1 / p!r} AS DOUBLE))" for p in bl.POWERS},
         **{f"trimmed_{t}": f"list_sum({a}[{t + 1}:{k - t}]) / {k - 2 * t}" for t in (1, 2) if k > 2 * t},
     }
     return " UNION ALL ".join(
