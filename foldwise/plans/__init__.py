@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("splits", "profiles", "features", "texts", "metrics", "forensic", "blends", "calibration")
+FAMILIES = ("splits", "profiles", "features", "texts", "metrics", "forensic", "blends", "calibration", "storage")
 
 
 def load_all() -> None:

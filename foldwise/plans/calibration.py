@@ -32,10 +32,10 @@ def nested_sql(cands: dict[str, str], base: str = "scored") -> dict[str, str]:
 
 def nested(spark, folder, make):
     df = stack(spark, folder)
-    return rounded(ca.nested_grid(df, make, Y, W)[0].select("row_id", "post"))
+    return rounded(ca.nested_grid(df, make, Y, W)[0].select("row_id", "post"), 7)
 
 
-META = "SELECT row_id, round(post, 6) AS post FROM meta"
+META = "SELECT row_id, round(post, 7) AS post FROM meta"
 
 
 @query("ca01_isotonic_global")
@@ -181,18 +181,18 @@ def censored_expectation(spark, folder):
     return post.select("row_id", "sigma", "post")
 
 
-LOW = "round(least(greatest((50.0 - pred_c) / 40.0, 0.0), 1.0), 6)"
+LOW = "round(least(greatest((50.0 - pred_c) / 40.0, 0.0), 1.0), 9)"
 BETA = (0.0, 2.0, 4.0, 8.0, 12.0)
 
 
 def p_low():
-    return F.round(clip((50.0 - F.col("pred_c")) / 40.0, 0.0, 1.0), 6)
+    return F.round(clip((50.0 - F.col("pred_c")) / 40.0, 0.0, 1.0), 9)
 
 
 @query("ca13_low_tail_pull", with_blocks(META, "scored", "folds", extra=nested_sql({str(b): f"pred_b - CAST({b} AS DOUBLE) * {LOW}" for b in BETA})))
 def low_tail(spark, folder):
     df = stack(spark, folder).withColumn("p_low", p_low())
-    return rounded(ca.nested_grid(df, ca.low_pull(P, "p_low", BETA), Y, W)[0].select("row_id", "post"))
+    return rounded(ca.nested_grid(df, ca.low_pull(P, "p_low", BETA), Y, W)[0].select("row_id", "post"), 7)
 
 
 @query("ca14_risk_gate")
