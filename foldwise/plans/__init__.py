@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("splits", "profiles", "features", "texts", "metrics", "forensic", "blends", "calibration", "storage")
+FAMILIES = ("splits", "profiles", "features", "texts", "metrics", "forensic", "blends", "calibration", "storage", "models")
 
 
 def load_all() -> None:
