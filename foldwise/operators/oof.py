@@ -43,7 +43,9 @@ def model_frame(frame: DataFrame, folds: DataFrame, target: str, roles: Roles =
     """
     from .folds import fold_array
 
-    base = structured_matrix(frame, roles, years=years).join(frame.select(roles.key, "split", F.col(target).alias("y"), *keep), roles.key)
+    matrix = structured_matrix(frame, roles, years=years)
+    kept = [c for c in keep if c not in matrix.columns]
+    base = matrix.join(frame.select(roles.key, "split", F.col(target).alias("y"), *kept), roles.key)
     if extra is not None:
         base = base.join(extra.select(roles.key, *extra_cols), roles.key, "left")
     numeric = [*numeric_columns(frame.columns, roles), *(roles.years if years else ()), *extra_cols]

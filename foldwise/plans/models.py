@@ -412,3 +412,185 @@ def nonlinear_meta(spark, folder):
         seen = fit(df)(df, "p").agg(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("m")).first()["m"]
         out.append((name, float(seen), float(held), float(held - seen)))
     return spark.createDataFrame(out, "model string, mse_fitted double, mse_held_out double, overfit_gap double")
+
+
+# ---- text, neighbours, censored regression ---------------------------------------
+
+
+def text_folds(spark, folder, seeds=ONE):
+    df = fr.text_frame(spark, folder)
+    return df, fo.stratified_folds(fr.train_rows(df), fr.TARGET, seeds=seeds)
+
+
+@query("tx14_alpha_selection")
+def alpha_selection(spark, folder):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    return spark.createDataFrame(tr.select_alpha(df, folds, "text", fr.TARGET, [te.WORD]), "alpha double, mse double")
+
+
+@query("tx15_nested_word_ridge")
+def nested_word_ridge(spark, folder):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    return tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD]).drop("folds")
+
+
+@query("tx16_nested_rich_ridge")
+def nested_rich_ridge(spark, folder):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    return oof.quality(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.RICH_WORD, te.RICH_CHAR]), "rich")
+
+
+@query("tx17_nested_word_char_ridge")
+def nested_word_char_ridge(spark, folder):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    return oof.quality(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD, te.CHAR], alpha=5.0), "word_char")
+
+
+@query("tx18_embedding_ridge")
+def embedding_ridge(spark, folder):
+    from ..operators import textridge as tr
+
+    emb = fr.embedding_frame(spark, folder)
+    folds = fo.stratified_folds(fr.train_rows(emb), fr.TARGET)
+    df = pin(gr.with_fold_array(fr.train_rows(emb), folds))
+    alphas = tr.vector_alpha(gr.cell_moments(df, F.col("embedding"), fr.TARGET), df, "embedding", fr.TARGET, (0.1, 1.0, 10.0))
+    best = min(alphas, key=lambda t: t[1])[0]
+    fitted, pred = tr.nested_vector_ridge(df, "embedding", fr.TARGET, best, 3)
+    import numpy as np
+
+    coef, inter = np.mean([c for c, _ in fitted.values()], axis=0), float(np.mean([b for _, b in fitted.values()]))
+    test = fr.test_rows(emb).select("row_id", "split", F.col(fr.TARGET).alias("y"), gr.clip(gr.linear_vector("embedding", coef, inter)).alias("pred"))
+    return df.select("row_id", "split", F.col(fr.TARGET).alias("y"), pred.alias("pred")).unionByName(test)
+
+
+@query("tx19_text_ablation")
+def text_ablation(spark, folder):
+    """Lexicon, nested ridge and both as columns of one tree model, plus the short character ridge alone."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    lex = te.handcrafted(df, "text")
+    ridge = pin(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD]))
+    joined = ridge.withColumnRenamed("pred", "txt").join(lex, "row_id").withColumn("one", F.lit(0.0))
+    # the raw lengths would give this stand-in target away
+    words = [c for c in te.HANDCRAFTED if c not in ("len_char", "len_word")]
+    out = oof.quality(ridge, "ridge_alone")
+    for name, cols in (("lexicon", words), ("ridge", ["txt", "one"]), ("both", [*words, "txt"])):
+        data = pin(VectorAssembler(inputCols=cols, outputCol="features").transform(joined).select("row_id", "split", "y", "folds", "features"))
+        out = out.unionByName(oof.quality(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1), name))
+    short = tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.CHAR_SHORT])
+    return out.unionByName(oof.quality(short, "char_alone"))
+
+
+def reduced_text(spark, folder, k):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    space = te.TermSpace("w", "word", 1, 2, te.MIN_DF, 1500)
+    cells = tr.text_cells(df, folds, "text", fr.TARGET, [space], nested=False)
+    return {c: tr.project(cells, c, tr.svd_directions(cells, c, k), "z") for c in sorted(cells.idf)}
+
+
+@query("tx07_text_svd")
+def text_svd(spark, folder):
+    parts = reduced_text(spark, folder, 20)
+    out = None
+    for (r, f, _), df in parts.items():
+        energy = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+        part = df.groupBy("split").agg(F.count("*").alias("n"), F.avg(energy).alias("explained")).withColumn("fold", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("md08_svd_boosting")
+def svd_boosting(spark, folder):
+    """Boosted trees on text reduced inside each cell."""
+    from pyspark.ml.functions import array_to_vector
+
+    out = None
+    for (r, f, _), df in reduced_text(spark, folder, 20).items():
+        data = pin(df.withColumn("features", array_to_vector("z")).drop("z"))
+        scorer = oof.gbt(maxIter=5, maxDepth=3)(oof.cell_training(data, r, f))
+        part = scorer(data, "pred").filter((F.col("split") == "test") | (F.col("folds")[r] == f)).select("row_id", "split", "y", "pred")
+        out = part if out is None else out.unionByName(part)
+    per_row = out.groupBy("row_id", "split").agg(F.first("y").alias("y"), F.avg("pred").alias("pred"))
+    return oof.quality(pin(per_row), "svd_gbt")
+
+
+@query("md09_censored_regression")
+def censored_regression(spark, folder):
+    from ..operators.censored import expected_below_cap, fit_censored
+    from ..functions.rowwise import dot
+
+    df, _ = numeric_moments(spark, folder, seeds=ONE)
+    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUM6]).first()
+    z = pin(df.select("row_id", Y, *[((F.col(c) - std[c]["m"]) / std[c]["s"]).alias(c) for c in NUM6]))
+    beta, b0, sigma, value = fit_censored(z, NUM6, Y)
+    mu = z.withColumn("mu", dot(NUM6, beta, b0))
+    e = mu.withColumn("ey", gr.clip(expected_below_cap(F.col("mu"), sigma)))
+    return e.agg(F.count("*").alias("n"), F.lit(sigma).alias("sigma"), F.lit(value).alias("log_likelihood"),
+                 F.avg((F.col(Y) - F.col("ey")) * (F.col(Y) - F.col("ey"))).alias("mse"), F.avg(F.when(F.col(Y) >= 100, F.col("ey"))).alias("ey_at_cap"))
+
+
+@query("fe37_knn_target_mean")
+def knn_target_mean(spark, folder):
+    from ..operators.neighbours import knn_target_mean as knn
+
+    emb = fr.embedding_frame(spark, folder)
+    folds = fo.stratified_folds(fr.train_rows(emb), fr.TARGET, seeds=ONE)
+    train = emb.join(folds, "row_id")
+    refs = train.select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"), F.col(fr.TARGET).alias("y"), F.col("fold").alias("g"))
+    test = fr.test_rows(emb).select(F.col("row_id").alias("id"), F.col("embedding").alias("vec"), F.lit(-1).alias("g"))
+    return knn(refs.select("id", "vec", "g").unionByName(test), refs, 50)
+
+
+def profile_vectors(spark, folder):
+    df, _ = numeric_moments(spark, folder, seeds=ONE)
+    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUM6]).first()
+    vec = F.array(*[(F.col(c) - std[c]["m"]) / std[c]["s"] for c in NUM6])
+    return pin(df.select(F.col("row_id").alias("id"), vec.alias("vec"), F.col(Y).alias("y"), F.col("folds")[0].alias("g")))
+
+
+@query("fx20_twin_spread")
+def twin_spread(spark, folder):
+    """How far apart the targets of nearest profiles are."""
+    from ..operators.neighbours import exact_knn
+
+    refs = profile_vectors(spark, folder)
+    pairs = exact_knn(refs.select("id", "vec", F.lit(-1).alias("g")), refs, 2).filter(F.col("id") != F.col("ref_id"))
+    near = pairs.groupBy("id").agg(F.min(F.struct("dist", "ref_id", "y")).alias("s")).select("id", "s.dist", F.col("s.y").alias("y_twin"))
+    return near.join(refs.select("id", "y"), "id").agg(
+        F.count("*").alias("n"), F.avg("dist").alias("mean_dist"), F.avg(F.abs(F.col("y") - F.col("y_twin"))).alias("mean_abs_dy"), F.stddev_pop("y").alias("y_std"))
+
+
+@query("md24_knn_and_quantile_base")
+def knn_and_quantile(spark, folder):
+    """Neighbour mean in principal-component space, and a median (absolute-loss) tree base."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from ..operators.neighbours import knn_target_mean as knn
+
+    refs = profile_vectors(spark, folder)
+    x = refs.withColumn("f", array_to_vector("vec"))
+    pcs = PCA(k=3, inputCol="f", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("vec"), "y", "g")
+    pcs = pin(pcs)
+    near = knn(pcs.select("id", "vec", "g"), pcs, 30).join(pcs.select("id", "y"), "id").select("id", F.lit("train").alias("split"), "y", F.col("knn_mean").alias("pred"))
+    a = oof.quality(pin(near), "knn_pca")
+    return a.unionByName(oof.quality(oof.run_oof(prepared(spark, folder), oof.gbt(lossType="absolute", maxIter=5), 1), "median_gbt"))
