@@ -504,7 +504,7 @@ def reduced_text(spark, folder, k):
     df, folds = text_folds(spark, folder)
     space = te.TermSpace("w", "word", 1, 2, te.MIN_DF, 1500)
     cells = tr.text_cells(df, folds, "text", fr.TARGET, [space], nested=False)
-    return {c: tr.project(cells, c, tr.svd_directions(cells, c, k), "z") for c in sorted(cells.idf)}
+    return {c: tr.project(cells, c, v, "z") for c, v in tr.svd_directions(cells, k).items()}
 
 
 @query("tx07_text_svd")
