@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.solvers import ridge_from_moments
 from ..operators import folds as fo
 from ..operators import gram as gr
 from ..operators import metrics as mt
 from ..operators import oof
-from ..functions.solvers import ridge_from_moments
-from ..session import pin
+from ..session import lookup, pin
 from ..sources import frame as fr
 from .registry import query
 
@@ -256,9 +256,9 @@ def encoding_ablation(spark, folder):
     base = pin(oof.model_frame(frame, folds, Y, categories=False, keep=("segment",)).withColumn("inner", inner))
     fitted = {}
     for f in range(fo.N_FOLDS):
-        tr = oof.cell_training(base, 0, f).join(F.broadcast(pin(cross.filter(F.col("fold") == f).drop("fold"))), ["inner", "segment"], "left")
+        tr = oof.cell_training(base, 0, f).join(lookup(cross.filter(F.col("fold") == f).drop("fold")), ["inner", "segment"], "left")
         model = oof.gbt(maxIter=5, maxDepth=3)(_append(tr, "enc"))
-        table = pin(cell.filter(F.col("fold") == f).drop("fold"))
+        table = lookup(cell.filter(F.col("fold") == f).drop("fold"))
         fitted[(0, f)] = _encoded_scorer(model, table)
     return out.unionByName(oof.quality(oof.score_cells(base, fitted), "target_mean"))
 
@@ -273,7 +273,7 @@ def _append(df, column):
 def _encoded_scorer(model, table):
     def score(df, out):
         names = [c for c in df.columns if c != "features"]
-        joined = df.withColumn("_keep", F.col("features")).join(F.broadcast(table), "segment", "left")
+        joined = df.withColumn("_keep", F.col("features")).join(table, "segment", "left")
         done = model(_append(joined, "cell_enc"), out)
         return done.select(*names, F.col("_keep").alias("features"), out)
 
