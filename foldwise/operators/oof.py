@@ -293,6 +293,24 @@ def mixed_up(train: DataFrame, n_numeric: int, seed: int = 3) -> DataFrame:
     return both.select("row_id", array_to_vector(mixed).alias("features"), (lam * F.col("y") + (1 - lam) * F.col("y2")).alias("y"))
 
 
+def neighbour_mixed(train: DataFrame, n_numeric: int, seed: int = 23, tail: float | None = None) -> DataFrame:
+    """Points between a row and its nearest other training row (all rows, or the low tail only)."""
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions.keyed import unit_uniform
+    from .neighbours import exact_knn
+
+    pool = train if tail is None else train.filter(F.col("y") <= tail)
+    slim = pool.select(F.col("row_id").alias("id"), "y", vector_to_array("features").alias("x"), F.lit(0).alias("g"))
+    refs = pin(slim.withColumn("vec", F.slice("x", 1, n_numeric)))
+    pairs = exact_knn(refs.select("id", "vec", F.lit(-1).alias("g")), refs.select("id", "vec", "y", "g"), 2).filter(F.col("id") != F.col("ref_id"))
+    partner = pairs.groupBy("id").agg(F.min(F.struct("rank", "ref_id", "y")).alias("p")).select("id", F.col("p.ref_id").alias("ref_id"), F.col("p.y").alias("y2"))
+    both = refs.select("id", "y", "x").join(partner, "id").join(refs.select(F.col("id").alias("ref_id"), F.col("x").alias("x2")), "ref_id")
+    lam = unit_uniform("id", seed)
+    mixed = F.transform("x", lambda v, i: F.when(i < n_numeric, v * lam + F.col("x2")[i] * (1 - lam)).otherwise(v))
+    return both.select(F.col("id").alias("row_id"), array_to_vector(mixed).alias("features"), (lam * F.col("y") + (1 - lam) * F.col("y2")).alias("y"))
+
+
 def masked(train: DataFrame, n_numeric: int, share: float = 0.15, seed: int = 17) -> DataFrame:
     """Copies with a keyed part of the numeric features set to the missing constant."""
     from pyspark.ml.functions import array_to_vector

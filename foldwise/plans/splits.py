@@ -12,7 +12,7 @@ from ..operators import metrics as mt
 from ..session import lookup
 from ..sources import frame as fr
 from .registry import query
-from .sqlbase import bin_edges, bin_number, fold_sql, with_blocks
+from .sqlbase import fold_sql, with_blocks
 
 CELL = fo.CELL
 
