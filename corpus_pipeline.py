@@ -12,12 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import neardup
+from foldwise.llm import neardup, pii, quality
 from foldwise.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or a certified cutoff reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
@@ -31,7 +36,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; every document stays."""
+    return pii.redacted(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data)]
 
 #: SQL cannot express the learned stages; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
