@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import neardup, pii, quality
+from foldwise.llm import neardup, packing, pii, quality
+from foldwise.llm.queries import tokenizer_path
 from foldwise.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,7 +42,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redacted(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of all documents left."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: SQL cannot express the learned stages; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm import neardup, pii, quality
+from foldwise.llm import neardup, packing, piecebpe, pii, quality, secrets, suffixtree, vectordup
 from foldwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +20,45 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectordup.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piecebpe.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixtree.scores(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_pii": op2_pii,
+    "op3_embedding_neardup": op3_embedding_neardup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secrets": op6_secrets,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLES: dict[str, str] = {}
