@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwise.llm import neardup, packing, piecebpe, pii, quality, secrets, suffixtree, vectordup
+from foldwise.llm import licences, neardup, packing, piecebpe, pii, quality, secrets, suffixtree, toolcalls, vectordup
 from foldwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return vectordup.near_vectors(table(spark, folder, "embeddings"))
 
 
+def op4_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return toolcalls.tool_records(spark, table(spark, folder, "conversations"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -43,6 +47,10 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piecebpe.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -55,10 +63,12 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_pii": op2_pii,
     "op3_embedding_neardup": op3_embedding_neardup,
+    "op4_tool_calls": op4_tool_calls,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secrets": op6_secrets,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_licences": op8_licences,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scores": op10_lm_scores,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_tool_calls": toolcalls.ORACLE, "op8_licences": licences.ORACLE}
