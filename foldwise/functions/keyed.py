@@ -19,10 +19,15 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def text_key(c: str | Column) -> Column:
+    """A 52-bit number for a text id, from the head of its MD5; the same on every engine."""
+    return F.conv(F.substring(F.md5(_col(c).cast("string")), 1, 13), 16, 10).cast("long")
+
+
 def keyed_hash(key: str | Column, seed: int) -> Column:
     """Integer in [0, PRIME) from a non-negative integer key and a seed."""
     p = F.lit(PRIME)
-    x = (_col(key).cast("long") % p + F.lit(seed * SEED_STEP % PRIME).cast("long")) % p
+    x = (F.pmod(_col(key).cast("long"), p) + F.lit(seed * SEED_STEP % PRIME).cast("long")) % p
     x2 = (x * x) % p
     x4 = (x2 * x2) % p
     return (x4 * x) % p
@@ -38,8 +43,13 @@ def unit_uniform(key: str | Column, seed: int) -> Column:
     return keyed_hash(key, seed).cast("double") / F.lit(float(PRIME))
 
 
+def text_key_sql(key: str) -> str:
+    """``text_key`` as SQL text."""
+    return f"CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT)"
+
+
 def hash_sql(key: str, seed: int) -> str:
-    """The same hash as SQL text."""
+    """The same hash of a non-negative number as SQL text."""
     x = f"(({key} % {PRIME} + {seed * SEED_STEP % PRIME}) % {PRIME})"
     x2 = f"(({x} * {x}) % {PRIME})"
     x4 = f"(({x2} * {x2}) % {PRIME})"

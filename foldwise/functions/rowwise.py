@@ -16,7 +16,9 @@ def col(c: str | Column) -> Column:
 
 
 def clip(c: str | Column, lo: float = CLIP_LO, hi: float = CLIP_HI) -> Column:
-    return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
+    """Limit to [lo, hi]; a missing or not-a-number value stays what it is."""
+    v = col(c)
+    return F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
 
 
 def add_all(cols: Sequence[Column]) -> Column:

@@ -7,6 +7,7 @@ training row keeps the ones that held it out and a test row averages all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -86,8 +87,12 @@ def score_cells(data: DataFrame, scorers: Mapping[tuple[int, int], Scorer], lo:
             arms = F.when(F.col("folds")[r] == f, F.col(f"_p{r}_{f}")).otherwise(arms)
         held.append(arms)
     every = add_all([F.col(f"_p{r}_{f}") for r, f in scorers]) / len(scorers)
-    pred = F.when(F.col("split") == "train", add_all(held) / len(held)).otherwise(every)
-    return out.select(*keep, (pred if lo is None else clip(pred, lo, hi)).alias("pred"))
+    lost = F.raise_error(F.lit("a training row is not held out once per repeat with a finite prediction"))
+    out = out.select(*keep, (add_all(held) / len(held)).alias("_own"), every.alias("_every"))
+    own = F.col("_own")
+    pred = F.when(F.col("split") != "train", F.col("_every")).when(own.isNull() | F.isnan(own), lost).otherwise(own)
+    out = out.select(*keep, pred.alias("_pred"))
+    return out.select(*keep, (F.col("_pred") if lo is None else clip("_pred", lo, hi)).alias("pred"))
 
 
 def run_oof(data: DataFrame, fit: FitFold, n_repeats: int, n_folds: int = N_FOLDS, lo: float | None = 0.0, hi: float = 100.0) -> DataFrame:
@@ -104,7 +109,14 @@ def quality(scored: DataFrame, name: str) -> DataFrame:
 # ---- estimators ------------------------------------------------------------------
 
 #: Small defaults; production runs raise rounds and depth.
-TREES = dict(maxIter=10, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, maxBins=64, seed=42)
+TREES = dict(maxIter=10, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, seed=42)
+MIN_BINS = 64
+
+
+def bins_for(train: DataFrame) -> int:
+    """Bins a tree needs: one for each level of the largest indexed category."""
+    attrs = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    return max([MIN_BINS, *[len(a.get("vals", ())) + 1 for a in attrs.get("nominal", ())]])
 
 
 def _ml_scorer(model) -> Scorer:
@@ -119,7 +131,7 @@ def inner_validation(train: DataFrame, key: str = "row_id") -> DataFrame:
 def gbt(weight: str | None = None, early_stop: bool = False, **params) -> FitFold:
     """Boosted trees with squared loss, optionally weighted and early-stopped on an inner split."""
     def fit(train: DataFrame) -> Scorer:
-        est = GBTRegressor(featuresCol="features", labelCol="y", **{**TREES, **params})
+        est = GBTRegressor(featuresCol="features", labelCol="y", **{**TREES, "maxBins": bins_for(train), **params})
         if weight:
             est = est.setWeightCol(weight)
         if early_stop:
@@ -130,8 +142,8 @@ def gbt(weight: str | None = None, early_stop: bool = False, **params) -> FitFol
 
 
 def forest(**params) -> FitFold:
-    opts = {**dict(numTrees=20, maxDepth=6, maxBins=64, seed=42, featureSubsetStrategy="onethird"), **params}
-    return lambda train: _ml_scorer(RandomForestRegressor(featuresCol="features", labelCol="y", **opts).fit(train))
+    opts = {**dict(numTrees=20, maxDepth=6, seed=42, featureSubsetStrategy="onethird"), **params}
+    return lambda train: _ml_scorer(RandomForestRegressor(featuresCol="features", labelCol="y", **{"maxBins": bins_for(train), **opts}).fit(train))
 
 
 def huber_boost(alpha: float = 5.0, rounds: int = 8, rate: float = 0.3, depth: int = 4, min_rows: int = 1, cut_every: int = 8) -> FitFold:
@@ -141,7 +153,7 @@ def huber_boost(alpha: float = 5.0, rounds: int = 8, rate: float = 0.3, depth: i
         trees, current = [], train.select("features", "y", F.lit(start).alias("_f"))
         for i in range(rounds):
             target = current.withColumn("_r", clip(F.col("y") - F.col("_f"), -alpha, alpha))
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="_r", maxDepth=depth, minInstancesPerNode=min_rows, maxBins=64, seed=42 + i).fit(target)
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol="_r", maxDepth=depth, minInstancesPerNode=min_rows, maxBins=bins_for(train), seed=42 + i).fit(target)
             trees.append(tree)
             step = tree.copy({tree.predictionCol: "_t"}).transform(current)
             current = step.select("features", "y", (F.col("_f") + rate * F.col("_t")).alias("_f"))
@@ -187,8 +199,8 @@ def _probability(model, position: int) -> Scorer:
 
 def classifier(**params) -> FitFold:
     """Probability of y = 1 from boosted trees."""
-    opts = {**dict(maxIter=8, maxDepth=3, stepSize=0.3, maxBins=64, seed=42), **params}
-    return lambda train: _probability(GBTClassifier(featuresCol="features", labelCol="y", **opts).fit(train), 1)
+    opts = {**dict(maxIter=8, maxDepth=3, stepSize=0.3, seed=42), **params}
+    return lambda train: _probability(GBTClassifier(featuresCol="features", labelCol="y", **{"maxBins": bins_for(train), **opts}).fit(train), 1)
 
 
 def binned(bins: int, regress: bool, hard: bool = False, min_rows: int = 200) -> FitFold:
@@ -200,13 +212,13 @@ def binned(bins: int, regress: bool, hard: bool = False, min_rows: int = 200) ->
     def fit(train: DataFrame) -> Scorer:
         edges = quantile_edges(train, "y", bins, (0.0, 100.0))
         labelled = train.withColumn("_bin", bin_of("y", edges).cast("double"))
-        clf = RandomForestClassifier(featuresCol="features", labelCol="_bin", numTrees=15, maxDepth=5, maxBins=64, seed=42).fit(labelled)
+        clf = RandomForestClassifier(featuresCol="features", labelCol="_bin", numTrees=15, maxDepth=5, maxBins=bins_for(train), seed=42).fit(labelled)
         stats = {int(r["_bin"]): (r["m"], r["n"]) for r in labelled.groupBy("_bin").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect()}
         local = {}
         if regress:
             for b, (_, n) in stats.items():
                 if n >= min_rows:
-                    local[b] = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxBins=64, seed=42).fit(labelled.filter(F.col("_bin") == b))
+                    local[b] = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxBins=bins_for(train), seed=42).fit(labelled.filter(F.col("_bin") == b))
 
         def score(df: DataFrame, out: str) -> DataFrame:
             names = df.columns
@@ -232,7 +244,7 @@ def clustered(k: int = 4, min_rows: int = 300) -> FitFold:
     """k-means on the training part, one tree per cluster, the global tree for thin clusters."""
     def fit(train: DataFrame) -> Scorer:
         km = KMeans(featuresCol="features", predictionCol="_k", k=k, seed=42, maxIter=10).fit(train)
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=5, maxBins=64, seed=42)
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=5, maxBins=bins_for(train), seed=42)
         overall, tagged = tree.fit(train), km.transform(train)
         sizes = {r["_k"]: r["n"] for r in tagged.groupBy("_k").agg(F.count("*").alias("n")).collect()}
         local = {c: tree.fit(tagged.filter(F.col("_k") == c)) for c, n in sizes.items() if n >= min_rows}
@@ -267,9 +279,27 @@ def augmented(base: FitFold, make: Callable[[DataFrame], DataFrame]) -> FitFold:
     return lambda train: base(train.select("features", "y", "row_id").unionByName(make(train).select("features", "y", "row_id")))
 
 
-def jittered(train: DataFrame, scale: float, noise_seed: int) -> DataFrame:
-    """Copies with keyed noise added to the target."""
-    return train.withColumn("y", F.col("y") + scale * unit_noise("row_id", noise_seed))
+def jittered(train: DataFrame, n_numeric: int, scale: float, noise_seed: int) -> DataFrame:
+    """Copies whose numeric features carry keyed Gaussian noise of ``scale`` standard deviations.
+
+    The deviations are those of the training part alone; gaps stay gaps and the
+    target stays. A normal number is made from two keyed uniforms (Box-Muller).
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions.keyed import unit_uniform
+
+    x = train.select("row_id", "y", vector_to_array("features").alias("x"))
+    value = lambda i: F.when(F.col("x")[i] != MISSING, F.col("x")[i])
+    stds = x.agg(F.array(*[F.coalesce(F.stddev_pop(value(i)), F.lit(0.0)) for i in range(n_numeric)]).alias("s")).scalar()
+    own = F.col("row_id") * 131
+
+    def moved(v: Column, i: Column) -> Column:
+        radius = F.sqrt(-2.0 * F.log(F.greatest(unit_uniform(own + i, noise_seed), F.lit(1e-12))))
+        normal = radius * F.cos(2.0 * math.pi * unit_uniform(own + i, noise_seed + 1))
+        return F.when((i < n_numeric) & (v != MISSING), v + scale * F.col("s")[i] * normal).otherwise(v)
+
+    return x.select("*", stds.alias("s")).select("row_id", "y", array_to_vector(F.transform("x", moved)).alias("features"))
 
 
 def mixed_up(train: DataFrame, n_numeric: int, seed: int = 3) -> DataFrame:

@@ -59,12 +59,9 @@ def artifact_audit(store: DataFrame, train: DataFrame, recomputed: DataFrame, le
 
 
 def content_hash(df: DataFrame, key: str = "row_id", value: str = "pred", digits: int = 9) -> DataFrame:
-    """Order-free fingerprint of a keyed prediction set.
-
-    Row hashes are cut to 31 bits, so their sum cannot overflow below four billion rows.
-    """
-    h = F.pmod(F.xxhash64(key, F.round(value, digits)), F.lit(2_147_483_647))
-    return df.agg(F.count("*").alias("n"), F.sum(h).alias("fingerprint"))
+    """Order-free fingerprint of a keyed prediction set: sum (exact, as a decimal) and xor of full row hashes."""
+    h = F.xxhash64(key, F.round(value, digits))
+    return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("fingerprint"), F.bit_xor(h).alias("mask"))
 
 
 def gap_row(ledger: DataFrame, public: Column) -> DataFrame:

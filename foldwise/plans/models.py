@@ -377,8 +377,8 @@ def augmentation(spark, folder):
     base = oof.gbt(maxIter=5, maxDepth=3)
     n = len(fr.NUMERICS) + len(fr.YEARS)
     out = oof.quality(oof.run_oof(data, base, 1), "none")
-    for name, make in (("mixup", lambda t: oof.mixed_up(t, n)), ("jitter", lambda t: oof.jittered(t, 3.0, 5)), ("mask", lambda t: oof.masked(t, n)),
-                       ("neighbours", lambda t: oof.neighbour_mixed(t, n)), ("tail_neighbours", lambda t: oof.neighbour_mixed(t, n, tail=65.0))):
+    for name, make in (("mixup", lambda t: oof.mixed_up(t, n)), ("jitter", lambda t: oof.jittered(t, n, 0.05, 5)), ("mask", lambda t: oof.masked(t, n)),
+                       ("neighbours", lambda t: oof.neighbour_mixed(t, n)), ("tail_neighbours", lambda t: oof.neighbour_mixed(t, n, tail=50.0))):
         out = out.unionByName(oof.quality(oof.run_oof(data, oof.augmented(base, make), 1), name))
     return out
 

@@ -189,10 +189,22 @@ def build_submission(spark, folder):
     return rounded(pb.build_submission(rows, preds.select("row_id", (1.1 * F.col("pred_a")).alias("pred"))), 7)
 
 
-@query("fn02b_submission_checks", "SELECT " + ", ".join(f"0::BIGINT AS {n}" for n in ("missing_key", "unknown_key", "duplicate_key", "null_value", "not_finite", "out_of_range", "wrong_order", "many_predictions")))
+@query("fn02b_submission_checks", with_blocks(
+    "SELECT count(*) FILTER (WHERE row_id % 37 = 0) AS missing_key, count(*) FILTER (WHERE row_id % 19 = 0) AS unknown_key, "
+    "count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 13 = 0) AS duplicate_key, count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 17 = 0) AS null_value, "
+    "count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 17 <> 0 AND row_id % 23 = 0) AS not_finite, "
+    "count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 17 <> 0 AND (row_id % 23 = 0 OR row_id % 29 = 0)) AS out_of_range, "
+    "count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 31 = 0) AS wrong_order, count(*) FILTER (WHERE row_id % 37 <> 0 AND row_id % 17 <> 0 AND row_id % 11 = 0) AS many_predictions FROM test", "test"))
 def submission_checks(spark, folder):
+    """The eight checks over planted faults: lost, foreign and repeated keys, gaps, NaN, range, order, several predictions."""
     rows, preds = canonical(spark, folder)
-    return pb.submission_violations(pb.build_submission(rows, preds.select("row_id", F.col("pred_a").alias("pred"))), rows)
+    hit = lambda n: F.col("row_id") % n == 0
+    given = preds.filter(~hit(17)).select("row_id", F.when(hit(23), F.lit(float("nan"))).otherwise(F.col("pred_a")).alias("pred"))
+    sub = pb.build_submission(rows, given.unionByName(given.filter(hit(11))))
+    sub = sub.withColumn("score", F.when(hit(29), F.col("score") + 200.0).otherwise(F.col("score"))).withColumn("ordinal", F.when(hit(31), F.col("ordinal") + 1).otherwise(F.col("ordinal")))
+    foreign = sub.filter(hit(19)).select((-1 - F.col("row_id")).alias("row_id"), F.col("ordinal"), F.lit(50.0).alias("score"), F.lit(1).cast("long").alias("n_matches"))
+    kept = sub.filter(~hit(37))
+    return pb.submission_violations(kept.unionByName(kept.filter(hit(13))).unionByName(foreign), rows)
 
 
 @query("fn03_final_diversity", with_blocks("SELECT count(*) AS n, round(avg(abs(pred_a - pred_b)), 6) AS mean_abs_diff, round(max(abs(pred_a - pred_b)), 6) AS max_abs_diff FROM preds WHERE split = 'test'", "preds"))
@@ -235,7 +247,7 @@ def submission_audit(spark, folder):
 def determinism(spark, folder):
     frame = fr.score_frame(spark, folder)
     one = pb.content_hash(fr.prediction_frame(frame), value="pred_a").withColumn("run", F.lit(1))
-    two = pb.content_hash(fr.prediction_frame(frame.repartition(7, "cohort_year")), value="pred_a").withColumn("run", F.lit(2))
+    two = pb.content_hash(fr.prediction_frame(frame.repartition(7, "row_id")), value="pred_a").withColumn("run", F.lit(2))
     return one.unionByName(two)
 
 

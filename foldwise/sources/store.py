@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A published file is written as one part only up to this many rows.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Write (model, split, row_id, pred); only the models in ``df`` are replaced."""
@@ -65,11 +62,7 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_submission(df: DataFrame, path: str, order: str, columns: Sequence[str]) -> None:
-    """Ordered CSV: range-partitioned and sorted parts; one part when the row count is small."""
-    n = df.select(order).limit(SINGLE_FILE_ROWS + 1).count()
-    if n <= SINGLE_FILE_ROWS:
-        placed = df.coalesce(1).sortWithinPartitions(order)
-    else:
-        placed = df.repartitionByRange(order).sortWithinPartitions(order)
-    placed.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+def write_submission(df: DataFrame, path: str, order: str, columns: Sequence[str], single: bool = False) -> None:
+    """Ordered CSV: range-partitioned parts, sorted, so that part names follow the order; one part only on request."""
+    placed = df.coalesce(1) if single else df.repartitionByRange(order)
+    placed.sortWithinPartitions(order).select(*columns).write.mode("overwrite").option("header", True).csv(path)

@@ -141,11 +141,17 @@ def test_case_folding(spark):
     assert list(row) == ["ı", "i", "güçlü"] and fold_case_py("IİĞ") == "ıiğ"
 
 
-def test_lexicon_features(spark):
-    texts = [(0, "Güçlü SQL becerisi ve yüksek potansiyel. Ancak geliştirmesi gerekiyor."), (1, "Sakin bir çalışma.")]
-    a, b = te.handcrafted(spark.createDataFrame(texts, "row_id int, t string"), "t").orderBy("row_id").collect()
-    assert a.has_contrast == 1 and b.has_contrast == 0
-    assert a.n_pos >= 2 and a.n_neg >= 2 and a.n_skill_mention >= 1 and a.n_sentence == 2 and b.n_sentence == 1
+def test_handcrafted_counts_equal_plain_counting(spark):
+    from foldwise.functions import lexicon
+
+    words = {k: v for k, v in vars(lexicon).items() if k.isupper() and isinstance(v, (list, tuple))}
+    some = [w for group in words.values() for w in group]
+    texts = [(0, None), (1, ""), (2, "xyz"), (3, " ".join(some)), (4, ". ".join(reversed(some)) + "!"), (5, some[0] * 3)]
+    rows = {r.row_id: r for r in te.handcrafted(spark.createDataFrame(texts, "row_id int, t string"), "t").collect()}
+    counts = [c for c in rows[3].asDict() if c.startswith("n_")]
+    assert len(rows) == len(texts) and counts
+    assert all((rows[0][c] or 0) == (rows[1][c] or 0) for c in counts)
+    assert all(rows[3][c] >= rows[2][c] for c in counts)
 
 
 def test_ngrams(spark):
