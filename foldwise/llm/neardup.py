@@ -10,10 +10,11 @@ Shape of the work:
 
 * one pass over the texts gives a sketch of about 250 bytes a document;
 * documents with equal sets become one node of the graph at once;
-* a node first links each member only to its smallest member (the star pass);
-  confirmed links make components, and from then on only pairs *across*
-  components are of interest, so a group of copies never expands into pairs;
-* leaves are bounded lists; a node that no token splits is compared in blocks;
+* a node first links each member only to a leader (the star passes); confirmed
+  links make components, and from then on only pairs *across* components are of
+  interest, so a group of copies never expands into pairs;
+* leaves are bounded lists; a node in which few pairs lie outside the main
+  component, or that no token splits, is compared in blocks;
 * every candidate is confirmed on the full shingle sets.
 
 Rows: a null or blank text has an empty set, which links with nothing. Rows
@@ -40,10 +41,14 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Chance that a pair at the threshold is missed by all roots.
 MISS = 1e-6
-#: Minwise tokens per document; the estimate of a pair at 0.75 falls below SCREEN once in 20,000.
-TOKENS, SCREEN = 128, 0.6
-#: Nodes up to this many documents are compared exhaustively.
+#: Minwise tokens per document; the estimate of a pair at 0.75 falls below SCREEN once in 10,000.
+TOKENS, SCREEN = 256, 0.65
+#: Nodes up to this many documents are compared exhaustively in one list.
 LEAF = 64
+#: So are, in lists of BLOCK by BLOCK, those whose pairs outside the main component are no more than this.
+LEAF_PAIRS, BLOCK = 1 << 22, 256
+#: Star passes before the exhaustive one.
+STARS = 2
 #: Children of a larger node; 2 keeps a pair at 0.75 alive at every level (2 * 0.75 > 1).
 BRANCH = 2
 #: Levels before a node that no token splits is compared in blocks.
@@ -64,9 +69,10 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """``(first row, sorted distinct shingle hashes of each row)`` in row order."""
     for first, _, words, at in scan_words(column):
-        rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+        n = max(0, len(words) - width + 1)
+        rolled = np.zeros(n, np.uint64)
         for k in range(width):
-            rolled = rolled * _U(0xD1342543DE82EF95) + words[k : len(words) - width + 1 + k]
+            rolled = rolled * _U(0xD1342543DE82EF95) + words[k : k + n]
         rolled = mix(rolled)
         sets = []
         for a, b in zip(at[:-1], at[1:]):
@@ -137,18 +143,28 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(0)
         at = np.asarray(lists.offsets)
         flat = lists.values
-        ids, roots = np.asarray(flat.field("id")), np.asarray(flat.field("comp"))
-        sides = np.asarray(flat.field("side"))
+        tree, ids, comps, sides = (np.asarray(flat.field(c)) for c in ("tree", "id", "comp", "side"))
         tokens = np.frombuffer(b"".join(flat.field("tokens").to_pylist()), np.uint8).reshape(-1, TOKENS)
+        keys = np.asarray(flat.field("roots").flatten()).reshape(len(ids), -1)
+        ended = np.zeros(keys.shape, bool)
+        marks = flat.field("ended")
+        ended[np.repeat(np.arange(len(ids)), np.diff(np.asarray(marks.offsets))), np.asarray(marks.flatten())] = True
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x, y in zip(at[:-1], at[1:]):
-            t = tokens[x:y]
-            same = (t[:, None, :] == t[None, :, :]).sum(axis=2)
-            keep = (same >= SCREEN * TOKENS) & (roots[x:y, None] != roots[None, x:y]) & (sides[x:y, None] != 1) & (sides[None, x:y] != 0)
-            keep &= (sides[x:y, None] != 2) | (np.arange(y - x)[:, None] < np.arange(y - x)[None, :])
-            i, j = np.nonzero(keep)
-            left.append(ids[x + i])
-            right.append(ids[x + j])
+            # side 2: all with all; 0 and 1: the two blocks of a list, met crosswise.
+            rows = x + np.flatnonzero(sides[x:y] != 1)
+            cols = x + np.flatnonzero(sides[x:y] != 0)
+            before = int(tree[x])
+            for k in range(0, len(rows), 16):
+                some = rows[k : k + 16]
+                same = (tokens[some, None, :] == tokens[None, cols, :]).sum(axis=2)
+                keep = (same >= SCREEN * TOKENS) & (comps[some, None] != comps[None, cols])
+                keep &= (sides[some, None] != 2) | (some[:, None] < cols[None, :])
+                i, j = np.nonzero(keep)
+                i, j = some[i], cols[j]
+                new = ~((keys[i, :before] == keys[j, :before]) & ended[i, :before]).any(axis=1)
+                left.append(ids[i[new]])
+                right.append(ids[j[new]])
         a, b = np.concatenate(left), np.concatenate(right)
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -180,11 +196,18 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return full.mapInArrow(_confirm, "u long, v long")
 
 
-def _star_candidates(sets: DataFrame) -> DataFrame:
-    """One candidate ``(a, b)`` per document: the most promising smallest member of its nodes."""
+def _star_candidates(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """At most one candidate ``(a, b)`` per document: the best of its nodes' leaders.
+
+    A node's leaders are the smallest members of its smallest and of its largest
+    component; a document is paired with one outside its own component.
+    """
     keys = sets.select(F.explode("roots").alias("key"), "id")
-    nodes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
-    pairs = keys.join(nodes, "key").where("id <> lead").select("id", "lead").distinct()
+    keys = keys.withColumn("comp", F.col("id")) if roots is None else keys.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    member = F.struct("comp", "id")
+    nodes = keys.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.comp < hi.comp")
+    lead = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.id")).otherwise(F.col("hi.id"))
+    pairs = keys.join(nodes, "key").select("id", lead.alias("lead")).distinct()
     tokens = sets.select("id", "tokens")
     rows = (
         pairs.join(tokens, "id")
@@ -192,53 +215,86 @@ def _star_candidates(sets: DataFrame) -> DataFrame:
         .select("id", "lead", "tokens", "lead_tokens")
     )
     scored = rows.mapInArrow(_similar, "a long, b long, share double").where(F.col("share") >= SCREEN)
-    best = F.min(F.struct((F.col("share") < 0.85).alias("doubtful"), "b"))
+    # A clear leader: the smallest; else the most similar.
+    doubtful = F.col("share") < 0.85
+    best = F.min(F.struct(doubtful.alias("doubtful"), F.when(doubtful, -F.col("share")).alias("order"), "b"))
     return scored.groupBy("a").agg(best.alias("x")).select("a", F.col("x.b").alias("b"))
 
 
-def _node_rows(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the nodes that hold several components: small ones, and large ones."""
-    nodes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
-    live = stored(rows.join(nodes, "key"), f"level{level}")
-    return live.where(F.col("n") <= LEAF), live.where(F.col("n") > LEAF)
+def _node_rows(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the nodes that hold several components: small, dense and large ones.
+
+    A dense node has few pairs outside its main component.
+    """
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    nodes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < n")
+    live = stored(rows.join(nodes.select("key", "n", F.col("most.m").alias("m"), F.col("most.comp").alias("major")), "key"), f"level{level}")
+    small, dense = F.col("n") <= LEAF, (F.col("n") - F.col("m")) * F.col("n") <= LEAF_PAIRS
+    return live.where(small), live.where(~small & dense), live.where(~small & ~dense)
+
+
+LISTED = ["tree", "id", "comp"]
+
 
+def _block_leaves(rows: DataFrame) -> DataFrame:
+    """A node as lists of two blocks, each compared on its own, but never main with main component.
 
-def _children(rows: DataFrame) -> DataFrame:
+    The main component and the others are dealt over blocks of BLOCK members;
+    every block of others meets every block.
+    """
+    main = F.col("comp") == F.col("major")
+    mains, others = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.when(main, mains).otherwise(others)).cast("int")
+    spread = rows.select("key", *LISTED, main.alias("main"), own.alias("own"), mains.alias("mains"), others.alias("others"))
+    own = F.col("own")
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    against = spread.where("main or other <= own").unionAll(
+        spread.where("not main and other = 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mains") - 1))).withColumn("other", -1 - F.col("other"))
+    ).unionAll(spread.where("not main and other > own"))
+    # A list is named by (block of others, block met); main blocks count down from -1.
+    main_list = F.xxhash64("key", F.col("other"), -1 - own)
+    met_main = F.xxhash64("key", own, F.col("other"))
+    met_other = F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))
+    key = F.when(F.col("main"), main_list).when(F.col("other") < 0, met_main).otherwise(met_other)
+    side = F.when(F.col("main"), 1).when(F.col("other") < 0, 0).when(own == F.col("other"), 2).when(own < F.col("other"), 0).otherwise(1)
+    return against.select(key.alias("key"), *LISTED, side.cast("int").alias("side"))
+
+
+def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The next level: each node selects BRANCH of the minwise tokens by its own key."""
     turns = F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1)))
-    picked = rows.select("key", "id", "comp", "tokens", turns.alias("turn"))
+    picked = rows.select("key", *LISTED).join(sets.select("id", "tokens"), "id").select("key", *LISTED, "tokens", turns.alias("turn"))
     place = F.pmod(F.xxhash64("key", "turn"), F.lit(TOKENS)).cast("int")
     token = F.substring("tokens", place + 1, F.lit(1))
-    return picked.select(F.xxhash64("key", "turn", token).alias("key"), "id", "comp", "tokens")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """An unsplit node as pairs of blocks of LEAF / 2 documents, each compared on its own."""
-    half = LEAF // 2
-    parts = F.ceil(F.col("n") / half).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return spread.select(key.alias("key"), "id", "comp", "tokens", side.cast("int").alias("side"))
+    return picked.select(F.xxhash64("key", "turn", token).alias("key"), *LISTED)
 
 
 def _cross_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between different components, from the leaves of all trees."""
-    rows = sets.join(roots, "id", "left").select(F.explode("roots").alias("key"), "id", F.coalesce("root", "id").alias("comp"), "tokens")
+    """Candidates between different components, from the leaves of all trees.
+
+    Rows that walk down the trees hold ids only. A pair that an earlier tree
+    compares in a leaf at its root is left to that tree.
+    """
+    rows = sets.join(roots, "id", "left").select(F.posexplode("roots").alias("tree", "key"), "id", F.coalesce("root", "id").alias("comp"))
     leaves: list[DataFrame] = []
+    first: DataFrame | None = None
     for level in range(DEPTH):
-        small, large = _node_rows(rows, level)
-        leaves.append(small.select("key", "id", "comp", "tokens", F.lit(2).alias("side")))
+        small, dense, large = _node_rows(rows, level)
+        leaves += [small.select("key", *LISTED, F.lit(2).alias("side")), _block_leaves(dense)]
+        if first is None:
+            ended = small.select("tree", "id").unionAll(dense.select("tree", "id"))
+            first = ended.groupBy("id").agg(F.collect_list("tree").alias("ended"))
         if not large.limit(1).count():
             break
-        rows = _children(large)
+        rows = _children(large, sets)
     else:
-        leaves.append(_blocks(large))
+        leaves.append(_block_leaves(large))
     everything = leaves[0]
     for more in leaves[1:]:
         everything = everything.unionAll(more)
-    lists = everything.groupBy("key").agg(F.collect_list(F.struct("id", "comp", "side", "tokens")).alias("rows")).select("rows")
+    held = stored(sets.select("id", "tokens", "roots").join(first, "id", "left").withColumn("ended", F.coalesce("ended", F.array().cast("array<int>"))), "held")
+    full = everything.join(held, "id")
+    lists = full.groupBy("key").agg(F.collect_list(F.struct(*LISTED, "side", "tokens", "roots", "ended")).alias("rows")).select("rows")
     return lists.mapInArrow(_leaf_pairs, "a long, b long").distinct()
 
 
@@ -252,12 +308,20 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     )
     equal = sk.where("n_shingles > 0").join(sets.select(*digest, "id"), digest).where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
 
-    star = stored(_star_candidates(sets), "star")
-    first = stored(confirmed(docs, star), "links")
-    cross = stored(_cross_candidates(sets, components(first)).join(star, ["a", "b"], "left_anti"), "cross")
-    second = stored(confirmed(docs, cross), "links")
-
-    roots = stored(components(first.unionAll(second).unionAll(equal)), "roots")
+    tried: DataFrame | None = None
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+    for _ in range(STARS):
+        star = _star_candidates(sets, roots)
+        star = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "star")
+        found = stored(confirmed(docs, star), "links")
+        tried = star if tried is None else tried.unionAll(star)
+        links = found if links is None else links.unionAll(found)
+        roots = stored(components(links), "roots")
+    cross = stored(_cross_candidates(sets, roots).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    links = links.unionAll(stored(confirmed(docs, cross), "links"))
+
+    roots = stored(components(links.unionAll(equal)), "roots")
     sizes = sk.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     label = F.coalesce("root", "doc_id")
     return sizes.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
