@@ -17,6 +17,7 @@ labelled secrets or no ordinary words the base spans stand alone.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,8 @@ def _log_model(tokens: DataFrame) -> dict[int, float]:
 def ratio(token: Column, weights: list[float]) -> Column:
     """Mean log-likelihood ratio per character, random over ordinary."""
     pairs = _pairs(token)
-    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.get(F.lit(weights), p)) / F.greatest(F.size(pairs), F.lit(1))
+    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one literal, not thousands
+    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.get(table, p)) / F.greatest(F.size(pairs), F.lit(1))
 
 
 def models(bases: DataFrame, rows: DataFrame) -> tuple[list[float], float] | None:
