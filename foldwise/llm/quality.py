@@ -178,9 +178,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. Cutoffs first, then one row-local pass."""
-    rows = docs.select("doc_id", _strata(docs).alias("stratum"), F.col("text").cast("string").alias("text"))
-    good = good_ids(labels)
-    cuts = stored(cutoffs(measured(rows.where("doc_id is not null")), good.withColumn("quality", F.lit(1))), "cutoffs")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), _strata(docs).alias("stratum"), F.col("text").cast("string").alias("text"))
-    return with_verdict(measured(whole), cuts).where("verdict").select("row.*")
+    """The rows of ``docs`` that pass, with their own columns.
+
+    Measures are stored as a few numbers a row. The verdict depends on text and
+    stratum only, so rows are dropped by id and a hash of both: the dropped keys
+    are broadcast when counted small, else texts are shuffled once.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key_id"), F.xxhash64(F.col("text").cast("string"), _strata(docs)).alias("key_hash")]
+    rows = docs.select("doc_id", *key, _strata(docs).alias("stratum"), F.col("text").cast("string").alias("text"))
+    m = stored(measured(rows), "measures")
+    judged = with_verdict(m, stored(cutoffs(m, labels), "cutoffs"))
+    dropped = stored(judged.where("not verdict").select("key_id", "key_hash").distinct(), "dropped")
+    return docs.select(F.struct(*docs.columns).alias("row"), *key).join(hinted(dropped), ["key_id", "key_hash"], "left_anti").select("row.*")
