@@ -3,9 +3,9 @@
 Base spans come from three fixed patterns and always stay. Beyond them, tokens
 of at least ``LEAST`` characters are scored by the log-likelihood ratio of two
 first-order character models. The models are trained on labelled samples from
-the corpus itself: values that the base patterns name as secrets, and the
-ordinary words outside of them. The threshold lies above every ordinary word of
-a held-out sample, by a margin, so that plain prose is left alone.
+the corpus itself: values that the base patterns name as secrets, and ordinary
+words (no digits) of texts without any. The threshold lies above nearly every
+ordinary word of a held-out sample, by a margin, so that plain prose is left alone.
 
 DataFrame functions only. The models hold one number per pair of symbols of a
 fixed alphabet, whatever the corpus; texts are never shuffled.
@@ -33,8 +33,10 @@ LEAST = 20
 SAMPLE = 20_000
 #: Texts whose words may be drawn as ordinary samples, at most, chosen by hash.
 SAMPLE_TEXTS = 20_000
-#: The threshold is the largest held-out ordinary ratio plus this, per character.
-MARGIN = 0.3
+#: The threshold is this quantile of the held-out ordinary ratios plus a margin, per character.
+QUANTILE, MARGIN = 0.999, 0.3
+#: Weight of a symbol's own frequency in its pairs.
+BACK = 10.0
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(SYMBOLS) + 1  # 0: any other character, and the start
 
@@ -84,12 +86,19 @@ def _drawn(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _log_model(tokens: DataFrame) -> dict[int, float]:
-    """Smoothed log probabilities of a symbol after a symbol: SIZE * SIZE numbers at most."""
+    """Smoothed log probabilities of a symbol after a symbol: SIZE * SIZE numbers at most.
+
+    A pair falls back to the symbol's own frequency, so a symbol that a class
+    hardly uses stays unlikely after any other.
+    """
     counts = {r["pair"]: r["n"] for r in tokens.select(F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect()}
-    totals: dict[int, int] = {}
+    before, symbol = [0] * SIZE, [0] * SIZE
     for pair, n in counts.items():
-        totals[pair // SIZE] = totals.get(pair // SIZE, 0) + n
-    return {p: math.log((counts.get(p, 0) + 0.5) / (totals.get(p // SIZE, 0) + 0.5 * SIZE)) for p in range(SIZE * SIZE)}
+        before[pair // SIZE] += n
+        symbol[pair % SIZE] += n
+    total = sum(symbol)
+    own = [(n + 0.5) / (total + 0.5 * SIZE) for n in symbol]
+    return {p: math.log((counts.get(p, 0) + BACK * own[p % SIZE]) / (before[p // SIZE] + BACK)) for p in range(SIZE * SIZE)}
 
 
 def ratio(token: Column, weights: list[float]) -> Column:
@@ -110,11 +119,11 @@ def models(bases: DataFrame, rows: DataFrame) -> tuple[list[float], float] | Non
     n = bases.count()
     share = F.pmod(F.xxhash64(F.lit("texts"), "_t"), F.lit(1_000_000))
     some = plain.where(share < int(1_000_000 * min(1.0, SAMPLE_TEXTS / max(n, 1))))
-    words = some.select(F.explode(F.split("_t", GAP)).alias("token")).where(F.length("token").between(8, 200) & ~F.col("token").rlike("[0-9]{4}"))
+    words = some.select(F.explode(F.split("_t", GAP)).alias("token")).where(F.length("token").between(8, 200) & ~F.col("token").rlike("[0-9]"))
     ordinary = _drawn(words, SAMPLE)
     a, b = _log_model(secret.where("not held")), _log_model(ordinary.where("not held"))
     weights = [a[p] - b[p] for p in range(SIZE * SIZE)]
-    top = ordinary.where("held").agg(F.max(ratio(F.col("token"), weights)).alias("top")).first()["top"]
+    top = ordinary.where("held").agg(F.percentile(ratio(F.col("token"), weights), F.lit(QUANTILE)).alias("top")).first()["top"]
     if top is None or not secret.limit(1).count():
         return None
     return weights, max(0.0, top) + MARGIN
