@@ -16,9 +16,12 @@ def col(c: str | Column) -> Column:
 
 
 def clip(c: str | Column, lo: float = CLIP_LO, hi: float = CLIP_HI) -> Column:
-    """Limit to [lo, hi]; a missing or not-a-number value stays what it is."""
+    """Limit to [lo, hi]; a missing value stays missing, and one that is not finite becomes not-a-number.
+
+    ``least`` and ``greatest`` skip NULL and sort NaN last; the zero product carries both through.
+    """
     v = col(c)
-    return F.when(v.isNull() | F.isnan(v), v).otherwise(F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
+    return F.least(F.greatest(v, F.lit(lo)), F.lit(hi)) + v * 0.0
 
 
 def add_all(cols: Sequence[Column]) -> Column:

@@ -20,7 +20,6 @@ from ..functions.solvers import normal_cdf, normal_pdf
 from .folds import CELL, expand_to_training
 from .ranks import cumulative, quantiles_of_counts
 
-GATE_CENTER = 76.94
 # The tried gate quantiles, gate strengths and cap-pull strengths.
 Q_GRID = (0.85, 0.90, 0.95)
 A_GRID = (0.0, 0.2, 0.3, 0.4, 0.5)
@@ -85,7 +84,7 @@ def low_pull(pred: str, prob: str, grid: Sequence[float]) -> dict[str, Column]:
     return {f"b={b:g}": F.col(pred) - F.lit(float(b)) * F.col(prob) for b in grid}
 
 
-def gate(pred: str, model: str, threshold: Column | float, a: float, centre: float = GATE_CENTER) -> Column:
+def gate(pred: str, model: str, threshold: Column | float, a: float, centre: float) -> Column:
     """Move toward the model where it is confidently above the centre."""
     m, p = F.col(model), F.col(pred)
     thr = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold
@@ -150,7 +149,7 @@ def gate_thresholds(df: DataFrame, model: str, centre: float, q_grid: Sequence[f
     return quantiles_of_counts(cum, "conf", list(q_grid), CELL)
 
 
-def nested_gate(df: DataFrame, pred: str, model: str, target: str, weight: str, centre: float = GATE_CENTER,
+def nested_gate(df: DataFrame, pred: str, model: str, target: str, weight: str, centre: float,
                 q_grid: Sequence[float] = Q_GRID, a_grid: Sequence[float] = A_GRID, out: str = "post"):
     """Per cell the (quantile, strength) with the lowest training loss; returns (df, picks).
 

@@ -224,6 +224,7 @@ def variance_ratio(df: DataFrame, target: str, weight: str) -> DataFrame:
 
 # ---- density-ratio weights -------------------------------------------------------
 
+# Kernel widths, penalties, mixing shares and number of kernel centres that are tried.
 SIGMA_SCALES = (0.5, 1.0, 2.0)
 LAMBDAS = (1e-3, 1e-2, 1e-1, 1.0)
 ALPHAS = (0.1, 0.2, 0.3, 0.5)

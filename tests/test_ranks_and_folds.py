@@ -133,3 +133,21 @@ def test_density_ratio_finds_a_shift(spark):
     w = weighted(0.1).select("a", "w").toPandas()
     assert w.w.mean() == pytest.approx(1.0) and np.corrcoef(w.a, w.w)[0, 1] > 0.5
     assert 0 < info[0]["ess_frac"] <= 1
+
+
+def test_clip_keeps_missing_and_odd_values(spark):
+    from foldwise.functions.rowwise import clip
+
+    rows = [(None,), (float("nan"),), (-3.0,), (50.0,), (250.0,), (float("inf"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(clip("x")).collect()]
+    assert got[0] is None and got[1] != got[1] and got[2:5] == [0.0, 50.0, 100.0] and got[5] != got[5]
+
+
+def test_text_ids_get_the_same_number_in_sql(spark):
+    import duckdb
+
+    from foldwise.functions.keyed import text_key, text_key_sql
+
+    ids = ["STU_000150", "", "é", "12"]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x string").select(text_key("x")).collect()]
+    assert got == [duckdb.connect().execute(f"SELECT {text_key_sql(repr(i))}").fetchall()[0][0] for i in ids]
