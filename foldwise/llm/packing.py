@@ -111,9 +111,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int) -> Iterator[pa.RecordBatch]:
     cache = ChunkCache.words(tokenizer)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
         rows, piece, start, length, crc = [], [], [], [], []
-        for i, raw in enumerate(cache.encode_many(t.as_py() or "" for t in texts)):
+        for i, raw in enumerate(cache.encode_many(t.as_py() or b"" for t in texts)):
             raw += END.to_bytes(4, "little")
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
