@@ -3,8 +3,8 @@
 Bins with the same remaining room are interchangeable, so best-fit decreasing
 over any number of pieces is a plan over lengths: for each length, longest
 first, a segment tree over the remaining capacities gives the tightest room that
-holds open bins, and as many pieces as there are such bins move them to their
-new room at once. The plan depends on the number of pieces of each length only
+holds open bins, and its bins are filled one after the other with as many pieces
+as each still takes, all at once. The plan depends on the number of pieces of each length only
 (at most ``CAPACITY`` numbers) and names, for ranges of pieces of one length,
 the range of bins and the offset they take. Spark counts the lengths, numbers
 the pieces of a length without sorting them in one task, and looks the ranges up.
@@ -97,14 +97,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                 left = 0
                 continue
             first, n = open_bins[room].pop()
-            take = min(n, left)
-            moves.append((length, rank, take, first, capacity - room))
-            if take < n:
-                open_bins[room].append((first + take, n - take))
+            per = room // length  # a bin just used is the tightest: it takes all it can before the next bin is touched
+            full, rest = divmod(min(left, n * per), per)
+            for k in range(per):
+                take = full + (k < rest)
+                if take:
+                    moves.append((length, rank, take, first, capacity - room + k * length))
+                rank += take
+            used = full + bool(rest)
+            if used < n:
+                open_bins[room].append((first + used, n - used))
             if not open_bins[room]:
                 tree.set(room, False)
-            put(room - length, first, take)
-            rank, left = rank + take, left - take
+            if full:
+                put(room - per * length, first, full)
+            if rest:
+                put(room - rest * length, first + full, 1)
+            left -= full * per + rest
     return moves
 
 

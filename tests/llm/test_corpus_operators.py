@@ -271,6 +271,46 @@ def test_plan_is_best_fit_decreasing():
         assert len(bins) == len(rooms)
 
 
+def best_fit(counts, capacity):
+    """Tokens in the bins of per-piece best-fit decreasing; which of two equal rooms is taken does not change them."""
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            best = min((i for i, r in enumerate(rooms) if r >= length), key=rooms.__getitem__, default=None)
+            if best is None:
+                best = len(rooms)
+                rooms.append(capacity)
+            rooms[best] -= length
+    return sorted(capacity - r for r in rooms)
+
+
+def test_plan_of_repeated_lengths_is_best_fit_decreasing():
+    rng = random.Random(12)
+    cases = [({2216: 392, 881: 342, 625: 748, 377: 627}, 4096)]
+    cases += [({rng.randint(1, c): rng.randint(1, 90) for _ in range(rng.randint(2, 9))}, c) for c in (40, 300, 4096) for _ in range(12)]
+    for counts, capacity in cases:
+        bins, ranks = {}, {}
+        for length, rank, k, first, offset in packing.plan(counts, capacity):
+            ranks.setdefault(length, []).append((rank, k))
+            for i in range(k):
+                bins.setdefault(first + i, []).append((offset, length))
+        for length, ranges in ranks.items():
+            at = 0
+            for rank, k in sorted(ranges):
+                assert rank == at
+                at += k
+            assert at == counts[length]
+        got = []
+        for b in bins.values():
+            at = 0
+            for offset, length in sorted(b):
+                assert offset == at
+                at += length
+            assert at <= capacity
+            got.append(at)
+        assert sorted(got) == best_fit(counts, capacity)
+
+
 def test_packing_of_whole_texts(spark):
     from tokenizers import Tokenizer
 
