@@ -3,8 +3,9 @@
 A text is normalised (lower case; copyright lines out; equivalent spellings made
 one; punctuation and bullets as single spaces) and digested. Digests of whole
 texts and of single lines are hash-joined to the digests of known licence texts
-and notices, made by the same expression. DataFrame functions only; the known
-table has a fixed number of rows, so its broadcast is bounded.
+and notices, made by the same expression. DataFrame functions only. The known
+table ``KNOWN`` has a fixed number of rows, so its broadcast is bounded; a caller
+may pass a table of any size in its place.
 
 Rows: null or empty text has no licence. Results are per row, so null and
 repeated ids and repeated rows keep their rows. Other columns are ignored.
@@ -13,12 +14,13 @@ repeated ids and repeated rows keep their rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import plain_text, stored
+from foldwise.llm.common import hinted, plain_text, stored
 
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [
@@ -103,6 +105,75 @@ freely, subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+# Entire texts in licence_texts, with the line that ends the terms where an appendix follows it.
+_ENTIRE = {
+    "Apache-2.0": "END OF TERMS AND CONDITIONS",
+    "GPL-2.0": "END OF TERMS AND CONDITIONS",
+    "GPL-3.0": "END OF TERMS AND CONDITIONS",
+    "LGPL-2.1": "END OF TERMS AND CONDITIONS",
+    "LGPL-3.0": None,
+    "MPL-2.0": None,
+    "CC0-1.0": None,
+}
+
+
+def _entire() -> list[tuple[str, str]]:
+    """Entire texts, with and without the appendix after the terms."""
+    out = []
+    for name, end in _ENTIRE.items():
+        text = pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode("ascii")
+        out.append((name, text))
+        if end:
+            terms = text[: text.index(end)]
+            out += [(name, terms), (name, terms + end)]
+    return out
+
+
+# Parts of one-line notices.
+_UNDER = ["Licensed under", "Released under", "This work is licensed under", "This project is licensed under"]
+_NAMED = {
+    "MIT": ["the MIT License"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0"],
+    "BSD-2-Clause": ["the BSD 2-Clause License"],
+    "BSD-3-Clause": ["the BSD 3-Clause License"],
+    "ISC": ["the ISC License"],
+    "Zlib": ["the zlib License"],
+    "MPL-2.0": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "a CC0 1.0 license"],
+}
+_GNU = {
+    "GPL": ("General", ("2", "3")),
+    "LGPL": ("Lesser General", ("2.1", "3")),
+    "AGPL": ("Affero General", ("3",)),
+}
+_CC_PARTS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
+_CC_AREA = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+
+
+def _notices() -> list[tuple[str, str]]:
+    """One-line notices: every verb with every name of every version."""
+    named = [(licence, name) for licence, names in _NAMED.items() for name in names]
+    for short, (kind, versions) in _GNU.items():
+        for v in versions:
+            licence = f"{short}-{v if '.' in v else v + '.0'}"
+            for said in dict.fromkeys((v, licence.removeprefix(f"{short}-"))):
+                named += [(licence, f"the GNU {kind} Public License, version {said}"), (licence, f"the GNU {kind} Public License v{said}"), (licence, f"the GNU {short} v{said}")]
+    out = []
+    for parts in _CC_PARTS:
+        for v, area in _CC_AREA.items():
+            licence = f"CC-{parts}-{v}"
+            words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives" if v == "4.0" else "NoDerivs"}
+            name = "-".join(words[x] for x in parts.split("-"))
+            named += [(licence, f"CC {parts} {v}"), (licence, f"a CC {parts} {v} License"), (licence, f"the CC {parts} {v} License")]
+            url = f"https://creativecommons.org/licenses/{parts.lower()}/{v}/"
+            for article in ("", "a ", "the "):
+                for full in (f"{article}Creative Commons {name} {v} License", f"{article}Creative Commons {name} {v} {area} License"):
+                    named.append((licence, full))
+                    line = f"This work is licensed under {full}. To view a copy of this license, visit {url}"
+                    out += [(licence, line), (licence, line + " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")]
+    return [(licence, f"{under} {name}.") for licence, name in named for under in _UNDER] + out
+
+
 # Licence texts and one-line notices in general use.
 KNOWN = [
     ("MIT", _MIT),
@@ -134,10 +205,12 @@ KNOWN = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under a CC0 1.0 license."),
+    *_entire(),
+    *_notices(),
 ]
 
 #: Every known text has one of these; others need no digest.
-MARK = r"(?i)licen[cs]e|redistribution|permission"
+MARK = r"(?i)licen[cs]e|released|redistribution|permission"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n(]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = "[^a-z0-9]+"
 
@@ -149,24 +222,32 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, NOT_WORD, " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``(digest, licence)``: as many rows as KNOWN, at most."""
-    texts = spark.createDataFrame(KNOWN, "licence string, text string")
-    return texts.select(F.sha2(normalised(F.col("text")), 256).alias("digest"), "licence").dropDuplicates(["digest"])
+def known_digests(texts: DataFrame) -> DataFrame:
+    """``(digest, licence)`` of ``texts(licence, text)``."""
+    rows = texts.select("licence", normalised(F.col("text").cast("string")).alias("t")).where("licence is not null and t <> ''")
+    return rows.groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+
 
+def licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: licence of the whole text, number of licence lines, all licences found.
 
-def licences(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: licence of the whole text, number of licence lines, all licences found."""
+    ``known(licence, text)`` replaces ``KNOWN``; as its texts need not hold a mark, every line is then digested.
+    """
     text = plain_text(F.col("text").cast("string"))
     digest = lambda t: F.sha2(normalised(t), 256)
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike(MARK)), digest)
-    marked = text.rlike(MARK)
+    has_mark = (lambda t: t.rlike(MARK)) if known is None else (lambda t: F.lit(True))
+    lines = F.transform(F.filter(F.split(text, "\n"), has_mark), digest)
+    marked = has_mark(text)
+    if known is None:
+        table = F.broadcast(known_digests(docs.sparkSession.createDataFrame(KNOWN, "licence string, text string")))
+    else:
+        table = hinted(stored(known_digests(known), "known"), 100_000)
     slim = docs.select("doc_id", F.when(marked, digest(text)).alias("whole"), F.when(marked, lines).alias("lines"), F.monotonically_increasing_id().alias("_row"))
     slim = stored(slim, "digests")
     unit = lambda d, whole: F.struct(d.alias("digest"), F.lit(whole).alias("is_whole"))
     units = F.concat(F.array(unit(F.col("whole"), True)), F.transform("lines", lambda d: unit(d, False)))
     found = slim.where("whole is not null").select("_row", F.explode(units).alias("u")).select("_row", "u.digest", "u.is_whole")
-    hits = found.join(F.broadcast(known_digests(docs.sparkSession)), "digest")
+    hits = found.join(table, "digest")
     sums = hits.groupBy("_row").agg(
         F.max(F.when(F.col("is_whole"), F.col("licence"))).alias("whole_licence"),
         F.sum((~F.col("is_whole")).cast("long")).alias("n_lines"),

@@ -384,6 +384,46 @@ def test_licences_by_digest(spark):
     assert licences.licences(frame(spark, [])).collect() == []
 
 
+def test_licences_of_creative_commons_and_entire_texts(spark):
+    from pathlib import Path
+
+    texts = Path(licences.__file__).parent / "licence_texts"
+    rows, want = [], []
+    for line, name in [
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+        ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "CC-BY-NC-SA-3.0"),
+        ("This work is licensed under CC-BY-ND-2.0", "CC-BY-ND-2.0"),
+        ("Released under CC BY 4.0", "CC-BY-4.0"),
+        ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ]:
+        rows.append("before\n" + line + "\nafter")
+        want.append((None, 1, name))
+    for path in sorted(texts.glob("*.txt")):
+        rows.append("   " + path.read_text().replace("\n", "  \n"))
+        want.append(path.stem)
+    rows.append((texts / "Apache-2.0.txt").read_text().split("END OF TERMS")[0])
+    want.append("Apache-2.0")
+    out = by_id(licences.licences(frame(spark, rows_of(rows))))
+    for i, w in enumerate(want):
+        if isinstance(w, tuple):
+            assert (out[i].whole_licence, out[i].n_licence_lines, out[i].licences) == w
+        else:
+            assert out[i].whole_licence == w
+    # one licence a digest, and the check's plain form agrees
+    known = {}
+    for name, text in licences.KNOWN:
+        assert known.setdefault(licences.plain_normalised(text), name) == name
+    table = licences.known_digests(spark.createDataFrame(licences.KNOWN, "licence string, text string"))
+    assert {r.digest: r.licence for r in table.collect()} == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in known.items()}
+
+
+def test_licences_of_a_given_table(spark):
+    known = spark.createDataFrame([("Own-1.0", "Do as you like,\nbut share it."), ("Own-2.0", "Ask first"), ("Void", " -- "), (None, "plain")], "licence string, text string")
+    out = by_id(licences.licences(frame(spark, rows_of(["do as you like but share it", "x\nask FIRST!\n\ny", "plain", "Released under the MIT License.", None])), known))
+    assert [(out[i].whole_licence, out[i].n_licence_lines, out[i].licences) for i in range(5)] == [("Own-1.0", 1, "Own-1.0"), (None, 1, "Own-2.0"), (None, 0, ""), (None, 0, ""), (None, 0, "")]
+
+
 # language model
 
 
