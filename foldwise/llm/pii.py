@@ -29,7 +29,7 @@ from foldwise.llm.common import hinted, plain_text, stored
 from foldwise.llm.spans import gated, joined, match_spans, ranked
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Proposals used for fitting and for calibration, at most; chosen by hash, not by place.
+#: Proposals used for fitting, about, shared by the kinds; documents are chosen by hash, not by place. All others calibrate.
 FIT_ROWS = 40_000
 PRECISION = 0.95
 #: Held-out proposals that must lie at or above a threshold before it may be used.
@@ -146,33 +146,50 @@ def _with_rank(spans: Column, rank: int) -> Column:
 FEATURES = ["rank", "n_digits", "n_chars", "n_groups", "n_spaces", "n_dots", "n_dashes", "plus", "at_sign", "luhn", "octets", "glued_before", "glued_after", *WORDS]
 
 
+def most_fit(kinds: list) -> float:
+    """Proposals of a kind in the fitting sample at most: what rare kinds leave of FIT_ROWS is the others'."""
+    left = float(FIT_ROWS)
+    for k, n in enumerate(sorted(r["n"] for r in kinds)):
+        if n > left / (len(kinds) - k):
+            return left / (len(kinds) - k)
+        left -= n
+    return float(FIT_ROWS)
+
+
 def selected(candidates: DataFrame) -> DataFrame:
     """``(key, spans)``: proposals beyond the base whose calibrated precision suffices.
 
-    ``candidates`` is a stored table. Two thirds of the fitting sample train the
-    trees, one third calibrates: per kind, the lowest score from which on at
-    least LEAST_HELD held-out proposals are right in PRECISION of the cases.
+    ``candidates`` is a stored table. Of two thirds of the documents, as many as a
+    kind's share of FIT_ROWS needs train the trees with their proposals of that
+    kind. Every other proposal calibrates: per kind, the lowest score from which
+    on at least LEAST_HELD of all of them are right in PRECISION of the cases.
     """
     none = candidates.where(F.lit(False)).select("key", F.array(F.struct("start", F.col("rank_no").alias("rank"), "end")).alias("extra"))
-    fold = F.pmod(F.xxhash64("key", "start", "end", "rank_no"), F.lit(3))
-    share = F.pmod(F.xxhash64(F.lit("sample"), "key", "start", "rank_no"), F.lit(1_000_000))
-    total = candidates.agg(F.count("*").alias("n"), F.sum("label").alias("y")).first()
-    if not total["n"] or not 0 < total["y"] < total["n"]:
+    kinds = candidates.groupBy("rank_no").agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()  # four rows at most
+    total, right = sum(r["n"] for r in kinds), sum(r["y"] for r in kinds)
+    if not 0 < right < total:
         return none
-    sample = stored(candidates.where(share < int(1_000_000 * min(1.0, FIT_ROWS / total["n"]))).withColumn("fold", fold), "sample")
-    counts = sample.where("fold > 0").agg(F.count("*").alias("n"), F.sum("label").alias("y")).first()
+    # A document trains or calibrates with all its proposals of one kind.
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(3))
+    share = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000))
+    bound = F.lit(0)
+    for r in kinds:
+        bound = F.when(F.col("rank_no") == r["rank_no"], int(1_000_000 * min(1.0, most_fit(kinds) / r["n"]))).otherwise(bound)
+    trains = (fold > 0) & (share < bound)
+    sample = stored(candidates.where(trains), "sample")
+    counts = sample.agg(F.count("*").alias("n"), F.sum("label").alias("y")).first()
     if not counts["n"] or not 0 < counts["y"] < counts["n"]:
         return none
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=0.3, maxBins=32, seed=7)
-    model = trees.fit(vectors.transform(sample.where("fold > 0")).coalesce(2))
+    model = trees.fit(vectors.transform(sample).coalesce(2))
     score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 3)
 
     def scored(rows: DataFrame) -> DataFrame:
         return model.transform(vectors.transform(rows)).withColumn("score", score)
 
     # At most 1,001 scores a kind.
-    held = scored(sample.where("fold = 0")).groupBy("rank_no", "score").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    held = scored(candidates.where(~trains)).groupBy("rank_no", "score").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
     bars = held.groupBy("rank_no").agg(F.collect_list(F.struct("score", "n", "y")).alias("bars"))
     steps = bars.select("rank_no", "bars", F.explode("bars.score").alias("cut"))
     up = F.filter("bars", lambda b: b["score"] >= F.col("cut"))

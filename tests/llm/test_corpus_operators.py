@@ -129,6 +129,19 @@ def test_extra_spans_leave_clean_documents_alone(spark, folder):
                 assert r.spans == ""
 
 
+def test_rare_kinds_keep_their_cutoff_among_many_proposals(spark):
+    """300 addresses among 200,000 card proposals: five unlabelled ones like the others are added, whatever the table's size."""
+    known = {"rank": "rank_no", "at_sign": "sign", "luhn": "sum"}
+    features = [f"CAST({known.get(c, 0)} AS DOUBLE) AS {c}" for c in pii.FEATURES]
+    mail = spark.range(300).selectExpr("id", "0 AS rank_no", "1 AS sign", "0 AS sum", "CAST(id >= 5 AS DOUBLE) AS label")
+    card = spark.range(1000, 201_000).selectExpr("id", "2 AS rank_no", "0 AS sign", "CAST(id % 2 AS INT) AS sum", "CAST(id % 2 AS DOUBLE) AS label")
+    rows = mail.unionByName(card).selectExpr("struct(id, hash(id) AS h) AS key", "rank_no", "0L AS start", "9L AS end", "label", *features)
+    added = pii.selected(pii.stored(rows, "planted")).collect()
+    assert {r.key.id for r in added if r.extra[0]["rank"] == 0} == set(range(5))
+    assert all(r.extra[0]["rank"] == 0 for r in added)
+
+
+
 def test_secret_model_finds_random_tokens(spark):
     rng = random.Random(11)
     letters = secrets.SYMBOLS[:62]
