@@ -225,6 +225,23 @@ def test_vectors_match_brute_force(spark):
     assert vectordup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_pairs_inside_a_hot_topic_are_met(spark):
+    """A third of all vectors at mutual cosine 0.7, with pairs at 0.905 that no third vector links."""
+    rng = np.random.default_rng(5)
+    d, n, pairs = 64, 36_000, 400
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic = unit(rng.standard_normal(d))
+    own = rng.standard_normal((n // 3, d))
+    hot = np.sqrt(0.7) * topic + np.sqrt(0.3) * unit(own - np.outer(own @ topic, topic))
+    left, more = hot[:pairs], rng.standard_normal((pairs, d))
+    hot[pairs : 2 * pairs] = 0.905 * left + np.sqrt(1 - 0.905**2) * unit(more - (more * left).sum(1, keepdims=True) * left)
+    vectors = np.vstack([hot, unit(rng.standard_normal((n - n // 3, d)))])
+    out = vectordup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    root = {r.vec_id: r.component_id for r in out.collect()}
+    assert sum(root[i] == root[i + pairs] for i in range(pairs)) >= pairs - 1
+
+
+
 # tool calls
 
 
