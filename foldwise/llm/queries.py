@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldwise.llm import licences, neardup, packing, piecebpe, pii, quality, secrets, suffixtree, toolcalls, vectordup
+from foldwise.llm import divergence, licences, mining, mixing, neardup, packing, piecebpe, pii, quality, secrets, suffixtree, toolcalls, vectordup
 from foldwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,19 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffixtree.scores(table(spark, folder, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(table(spark, folder, "embeddings").withColumn("label", shifted))
+
+
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_pii": op2_pii,
@@ -70,5 +84,14 @@ QUERIES: dict[str, Query] = {
     "op8_licences": op8_licences,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scores": op10_lm_scores,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_mixing": op13_source_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op4_tool_calls": toolcalls.ORACLE,
+    "op8_licences": licences.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_hard_negatives": mining.ORACLE,
+    "op13_source_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_tool_calls": toolcalls.ORACLE, "op8_licences": licences.ORACLE}

@@ -75,7 +75,7 @@ def _scan(buf: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(starts, cuts)
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+def split_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
     """Runs of whole texts, or pieces of one long text, of about BLOCK bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -114,7 +114,7 @@ def scan_words(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, int,
     """Yield ``(first row, row after last, word hashes, word offset of each row)``."""
     data, offsets = text_buffers(column)
     held: list[np.ndarray] = []
-    for first, last, buf, cuts, done in _blocks(data, offsets):
+    for first, last, buf, cuts, done in split_blocks(data, offsets):
         hashes, at = _scan(buf, cuts, fold)
         if last == first + 1:
             held.append(hashes)
