@@ -13,8 +13,11 @@ Shape of the work:
 * a node first links each member only to a leader (the star passes); confirmed
   links make components, and from then on only pairs *across* components are of
   interest, so a group of copies never expands into pairs;
-* leaves are bounded lists; a node in which few pairs lie outside the main
-  component, or that no token splits, is compared in blocks;
+* leaves are bounded lists; a node whose members outside its main component would
+  fill one list is compared as these against blocks of the main component, every
+  other larger node branches, however dense it is;
+* what no token splits in ``DEPTH`` levels is compared in blocks (it takes many
+  documents at a similarity just below the threshold, all in each other's reach);
 * every candidate is confirmed on the full shingle sets.
 
 Rows: a null or blank text has an empty set, which links with nothing. Rows
@@ -43,16 +46,16 @@ NUMERATOR, DENOMINATOR = 75, 100
 MISS = 1e-6
 #: Minwise tokens per document; the estimate of a pair at 0.75 falls below SCREEN once in 10,000.
 TOKENS, SCREEN = 256, 0.65
-#: Nodes up to this many documents are compared exhaustively in one list.
+#: Nodes up to this many documents, or with this many outside the main component, are compared exhaustively.
 LEAF = 64
-#: So are, in lists of BLOCK by BLOCK, those whose pairs outside the main component are no more than this.
-LEAF_PAIRS, BLOCK = 1 << 22, 256
+#: Members of one block of a longer list.
+BLOCK = 256
 #: Star passes before the exhaustive one.
 STARS = 2
 #: Children of a larger node; 2 keeps a pair at 0.75 alive at every level (2 * 0.75 > 1).
 BRANCH = 2
 #: Levels before a node that no token splits is compared in blocks.
-DEPTH = 8
+DEPTH = 20
 
 _U = np.uint64
 
@@ -138,30 +141,29 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a leaf in different components that may reach the threshold."""
+    """Pairs of a leaf in different components that may reach the threshold; one list at a time."""
     for batch in batches:
         lists = batch.column(0)
         at = np.asarray(lists.offsets)
-        flat = lists.values
-        tree, ids, comps, sides = (np.asarray(flat.field(c)) for c in ("tree", "id", "comp", "side"))
-        tokens = np.frombuffer(b"".join(flat.field("tokens").to_pylist()), np.uint8).reshape(-1, TOKENS)
-        keys = np.asarray(flat.field("roots").flatten()).reshape(len(ids), -1)
-        ended = np.zeros(keys.shape, bool)
-        marks = flat.field("ended")
-        ended[np.repeat(np.arange(len(ids)), np.diff(np.asarray(marks.offsets))), np.asarray(marks.flatten())] = True
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x, y in zip(at[:-1], at[1:]):
+            rows = lists.values.slice(x, y - x)
+            tree, ids, comps, sides = (np.asarray(rows.field(c)) for c in ("tree", "id", "comp", "side"))
+            tokens = np.frombuffer(b"".join(rows.field("tokens").to_pylist()), np.uint8).reshape(-1, TOKENS)
+            keys = np.asarray(rows.field("roots").flatten()).reshape(len(ids), -1)
+            ended = np.zeros(keys.shape, bool)
+            marks = rows.field("ended")
+            ended[np.repeat(np.arange(len(ids)), np.diff(np.asarray(marks.offsets))), np.asarray(marks.flatten())] = True
             # side 2: all with all; 0 and 1: the two blocks of a list, met crosswise.
-            rows = x + np.flatnonzero(sides[x:y] != 1)
-            cols = x + np.flatnonzero(sides[x:y] != 0)
-            before = int(tree[x])
-            for k in range(0, len(rows), 16):
-                some = rows[k : k + 16]
-                same = (tokens[some, None, :] == tokens[None, cols, :]).sum(axis=2)
-                keep = (same >= SCREEN * TOKENS) & (comps[some, None] != comps[None, cols])
-                keep &= (sides[some, None] != 2) | (some[:, None] < cols[None, :])
+            one, two = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+            before = int(tree[0])
+            for k in range(0, len(one), 16):
+                some = one[k : k + 16]
+                same = (tokens[some, None, :] == tokens[None, two, :]).sum(axis=2)
+                keep = (same >= SCREEN * TOKENS) & (comps[some, None] != comps[None, two])
+                keep &= (sides[some, None] != 2) | (some[:, None] < two[None, :])
                 i, j = np.nonzero(keep)
-                i, j = some[i], cols[j]
+                i, j = some[i], two[j]
                 new = ~((keys[i, :before] == keys[j, :before]) & ended[i, :before]).any(axis=1)
                 left.append(ids[i[new]])
                 right.append(ids[j[new]])
@@ -169,15 +171,19 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 
+#: Pairs whose shingle sets are held at once.
+CONFIRM = 32
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose full shingle sets reach the threshold."""
     for batch in batches:
-        one = [s for _, sets in shingle_sets(batch.column(2)) for s in sets]
-        two = [s for _, sets in shingle_sets(batch.column(3)) for s in sets]
         keep = []
-        for x, y in zip(one, two):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+        for k in range(0, batch.num_rows, CONFIRM):
+            one, two = ([s for _, sets in shingle_sets(batch.column(c).slice(k, CONFIRM)) for s in sets] for c in (2, 3))
+            for x, y in zip(one, two):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
@@ -222,15 +228,15 @@ def _star_candidates(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _node_rows(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the nodes that hold several components: small, dense and large ones.
+    """Rows of the nodes that hold several components: small, lopsided and large ones.
 
-    A dense node has few pairs outside its main component.
+    A lopsided node has no more members outside its main component than a leaf.
     """
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     nodes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < n")
     live = stored(rows.join(nodes.select("key", "n", F.col("most.m").alias("m"), F.col("most.comp").alias("major")), "key"), f"level{level}")
-    small, dense = F.col("n") <= LEAF, (F.col("n") - F.col("m")) * F.col("n") <= LEAF_PAIRS
-    return live.where(small), live.where(~small & dense), live.where(~small & ~dense)
+    small, lopsided = F.col("n") <= LEAF, F.col("n") - F.col("m") <= LEAF
+    return live.where(small), live.where(~small & lopsided), live.where(~lopsided)
 
 
 LISTED = ["tree", "id", "comp"]
@@ -279,10 +285,10 @@ def _cross_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
     leaves: list[DataFrame] = []
     first: DataFrame | None = None
     for level in range(DEPTH):
-        small, dense, large = _node_rows(rows, level)
-        leaves += [small.select("key", *LISTED, F.lit(2).alias("side")), _block_leaves(dense)]
+        small, lopsided, large = _node_rows(rows, level)
+        leaves += [small.select("key", *LISTED, F.lit(2).alias("side")), _block_leaves(lopsided)]
         if first is None:
-            ended = small.select("tree", "id").unionAll(dense.select("tree", "id"))
+            ended = small.select("tree", "id").unionAll(lopsided.select("tree", "id"))
             first = ended.groupBy("id").agg(F.collect_list("tree").alias("ended"))
         if not large.limit(1).count():
             break

@@ -75,18 +75,18 @@ def _scan(buf: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(starts, cuts)
 
 
-def split_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-    """Runs of whole texts, or pieces of one long text, of about BLOCK bytes."""
+def split_blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """Runs of whole texts, or pieces of one long text, of about ``size`` bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
         if j > i:
             yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], True
             i = j
             continue
         at, end = int(offsets[i]), int(offsets[i + 1])
         while at < end:
-            stop = min(end, at + BLOCK)
+            stop = min(end, at + size)
             while stop < end:
                 gaps = np.flatnonzero(_SPACE[data[at:stop]])
                 if len(gaps):
@@ -98,6 +98,20 @@ def split_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, i
         i += 1
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any run of bytes follows."""
+    up, _ = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[False][data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes; equal runs have equal hashes wherever they stand."""
+    _, down = _powers(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and each row's offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
