@@ -44,6 +44,11 @@ def hinted(ids: DataFrame, most: int = SMALL_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names of the caller, safe whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def plain_text(c: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import hinted, plain_text, stored
+from foldwise.llm.common import hinted, plain_text, quoted, stored
 from foldwise.llm.spans import gated, joined, match_spans, ranked
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -243,7 +243,7 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in ``text`` and ``n_chars`` brought up to date, if present."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _base(rows).withColumn("key", _key(docs))
     extra = stored(selected(stored(proposals(rows.select("key", "_t", "base")).distinct(), "proposals")), "selected")
     # Only ids and spans are joined; most texts have none and bypass the join.
@@ -260,5 +260,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             changed = F.coalesce(text != F.col("row.text"), F.lit(False))
             out.append(F.when(changed, F.length(text).cast(dict(docs.dtypes)[c])).otherwise(F.col("row.n_chars")).alias(c))
         else:
-            out.append(F.col(f"row.`{c}`").alias(c))
+            out.append(F.col(f"row.{quoted([c])[0]}").alias(c))
     return clean.select(*out)

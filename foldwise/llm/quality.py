@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import NOT_GAP, hinted, plain_text, stored, word_array
+from foldwise.llm.common import hinted, NOT_GAP, plain_text, quoted, stored, word_array
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     m = stored(measured(rows), "measures")
     judged = with_verdict(m, stored(cutoffs(m, labels), "cutoffs"))
     dropped = stored(judged.where("not verdict").select("key_id", "key_hash").distinct(), "dropped")
-    return docs.select(F.struct(*docs.columns).alias("row"), *key).join(hinted(dropped), ["key_id", "key_hash"], "left_anti").select("row.*")
+    return docs.select(F.struct(*quoted(docs.columns)).alias("row"), *key).join(hinted(dropped), ["key_id", "key_hash"], "left_anti").select("row.*")

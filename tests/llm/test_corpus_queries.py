@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, folder, name):
 def test_pipeline_stages_match_brute_force(spark, folder):
     docs = table(spark, folder, "documents")
     twice = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
-    before = stored(twice.withColumn("rep", F.lit(1)), "docs")
+    before = stored(twice.withColumn("rep", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("odd `name", F.col("doc_id")), "docs")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_dedup", "personal_data", "best_fit_packing"]
     for name, stage in corpus_pipeline.STAGES:
