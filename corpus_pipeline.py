@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import neardup, packing, pii, quality
 from foldwise.llm.queries import tokenizer_path
-from foldwise.llm.common import stored, table
+from foldwise.llm.common import quoted, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,14 +27,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Rows without an id stay; of rows that repeat the kept id, one stays.
+    Rows without an id stay; of rows that repeat the kept id, the one with the smallest text hash stays.
     """
     labels = stored(neardup.near_duplicates(docs), "labels")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = labels.where("kept").select("doc_id")
-    once = docs.join(kept.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
-    several = docs.join(kept.join(repeated, "doc_id", "left_semi"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    columns = quoted(docs.columns)
+    once = docs.join(kept.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi").select(columns)
+    several = docs.join(kept.join(repeated, "doc_id", "left_semi"), "doc_id", "left_semi")
+    first = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text"))
+    several = several.groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return once.unionByName(several).unionByName(docs.where("doc_id is null").select(columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
