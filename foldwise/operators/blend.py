@@ -90,25 +90,90 @@ def leave_one_out(df: DataFrame, moments: CellMoments, models: Sequence[str], ta
     return {m: scores[m] - scores["_all"] for m in models}
 
 
-def bagged_selection(moments: CellMoments, models: Sequence[str], rounds: int = 20) -> list[tuple[int, str, float]]:
-    """Selection with replacement: the mean of the picks, scored from the moments alone."""
-    m = moments.subset(models).total()
-    picks = np.zeros(len(models))
+def squared_loss(m: np.ndarray, coef: np.ndarray, intercept: float) -> float:
+    """Summed (weighted) squared error of a linear blend, from the moments of [1, x..., y]."""
+    z = np.concatenate([[-intercept], -np.asarray(coef), [1.0]])
+    return float(max(z @ m @ z, 0.0))
+
+
+def best_subsets(m: np.ndarray, solve: Callable = sv.nnls_from_moments) -> dict[int, tuple[tuple[int, ...], float]]:
+    """For every size the member subset with the least fitted error, by branch and bound.
+
+    A branch holds a set and the first member that may still be taken out. Taking members out never
+    lowers the fitted error, so a set's own error bounds all sets below it; a branch
+    is left when no size it can reach could still improve.
+    """
+    n = len(m) - 2
+    best: dict[int, tuple[tuple[int, ...], float]] = {}
+
+    def error(members: tuple[int, ...]) -> float:
+        keep = [0, *[1 + i for i in members], n + 1]
+        part = m[np.ix_(keep, keep)]
+        return squared_loss(part, *solve(part))
+
+    def visit(members: tuple[int, ...], first: int) -> None:
+        loss = error(members)
+        if len(members) not in best or (loss, members) < (best[len(members)][1], best[len(members)][0]):
+            best[len(members)] = (members, loss)
+        removable = [i for i in members if i >= first]
+        least = max(1, len(members) - len(removable))
+        if all(k in best and best[k][1] <= loss for k in range(least, len(members))):
+            return
+        for i in removable:
+            if len(members) > 1:
+                visit(tuple(j for j in members if j != i), i + 1)
+
+    visit(tuple(range(n)), 0)
+    return best
+
+
+def subset_search(moments: CellMoments, models: Sequence[str], solve: Callable = sv.nnls_from_moments) -> list[tuple[int, int, list[str], float, float]]:
+    """(held repeat, size, members, error on the other repeats, error on the held repeat).
+
+    Subsets are searched inside the training part of every cell; the size is chosen
+    on all repeats but one, whose cells then tell what the choice is worth.
+    """
+    m = moments.subset(models)
+    losses: dict[tuple[int, int], float] = {}
+    weight = {r: m.total(r)[0, 0] for r in m.repeats}
+    for r, f in m.cells:
+        for size, (members, _) in best_subsets(m.training(r, f), solve).items():
+            keep = [0, *[1 + i for i in members], len(models) + 1]
+            fitted = solve(m.training(r, f)[np.ix_(keep, keep)])
+            losses[r, size] = losses.get((r, size), 0.0) + squared_loss(m.cells[r, f][np.ix_(keep, keep)], *fitted) / weight[r]
+    whole = best_subsets(m.total(m.repeats[0]), solve)
     out = []
-    for step in range(rounds):
-        best = None
-        for j in range(len(models)):
-            w = picks.copy()
-            w[j] += 1
-            w = w / w.sum()
-            loss = (m[-1, -1] - 2 * w @ m[1:-1, -1] + w @ m[1:-1, 1:-1] @ w) / m[0, 0]
-            if best is None or loss < best[1]:
-                best = (j, loss)
-        picks[best[0]] += 1
-        out.append((step, models[best[0]], float(best[1])))
+    for held in m.repeats:
+        others = [r for r in m.repeats if r != held] or [held]
+        mean = {k: float(np.mean([losses[r, k] for r in others])) for k in whole}
+        size = min(mean, key=lambda k: (mean[k], k))
+        out.append((held, size, [models[i] for i in whole[size][0]], mean[size], float(losses[held, size])))
     return out
 
 
+def picked(m: np.ndarray, members: Sequence[int], rounds: int) -> np.ndarray:
+    """Greedy selection with replacement among some members; the weights are the shares of the picks."""
+    xx, xy = m[1:-1, 1:-1], m[1:-1, -1]
+    picks = np.zeros(len(xy))
+    for step in range(1, rounds + 1):
+        # error of (picks + e_j) / step, up to a constant
+        cross = xx @ picks
+        loss = [(picks @ cross + 2 * cross[j] + xx[j, j]) / step**2 - 2 * (xy @ picks + xy[j]) / step for j in members]
+        picks[members[int(np.argmin(loss))]] += 1
+    return picks / rounds
+
+
+def bagged_selection(moments: CellMoments, models: Sequence[str], bags: int = 20, share: float = 0.6, rounds: int = 20,
+                     seed: int = 42) -> tuple[dict[tuple[int, int], tuple[np.ndarray, float]], np.ndarray]:
+    """Selection with replacement from random bags of models, averaged over the bags: (weights of every cell, weights of all rows)."""
+    m = moments.subset(models)
+    rng = np.random.default_rng(seed)
+    size = max(1, round(share * len(models)))
+    drawn = [sorted(rng.choice(len(models), size, replace=False)) for _ in range(bags)]
+    mean = lambda t: np.mean([picked(t, bag, rounds) for bag in drawn], axis=0)
+    return {c: (mean(m.training(*c)), 0.0) for c in m.cells}, mean(m.total(m.repeats[0]))
+
+
 def segment_weights(df: DataFrame, models: Sequence[str], target: str, weight: str, segment: str, levels: Sequence[str],
                     moments: CellMoments, min_rows: int = 300, method: str = "ridge_pos") -> Column:
     """Nested weights per segment; a thin training segment falls back to the global weights."""

@@ -8,17 +8,19 @@ the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rowwise import add_all, clip, squared_error
-from ..functions.solvers import normal_cdf, normal_pdf
-from .folds import CELL, expand_to_training
-from .ranks import cumulative, quantiles_of_counts
+from ..functions.rowwise import add_all, clip, dot, squared_error
+from ..functions.solvers import normal_cdf, normal_pdf, ridge_from_moments
+from ..session import pin
+from .folds import CELL, expand_to_training, inner_split
+from .ranks import exact_quantiles, training_quantiles
 
 # The tried gate quantiles, gate strengths and cap-pull strengths.
 Q_GRID = (0.85, 0.90, 0.95)
@@ -64,6 +66,20 @@ def nested_grid(df: DataFrame, candidates: Mapping[str, Column], target: str, we
     return df.withColumn(out, apply_choice(candidates, choice)), choice
 
 
+def nested_cells(df: DataFrame, candidates: Mapping[tuple[int, int], Mapping[str, Column]], target: str, weight: str, out: str = "post") -> tuple[DataFrame, Choice]:
+    """As ``nested_grid`` for candidates that were themselves fitted per cell: one pass for all training losses."""
+    w = F.col(weight)
+    names = list(next(iter(candidates.values())))
+    sums = []
+    for (r, f), cands in candidates.items():
+        trains = F.col("folds")[r] != f
+        sums += [F.sum(F.when(trains, w * squared_error(target, clip(c)))).alias(f"l{r}_{f}_{i}") for i, c in enumerate(cands.values())]
+    row = df.agg(*sums).first()
+    choice = {(r, f): names[int(np.argmin([row[f"l{r}_{f}_{i}"] for i in range(len(names))]))] for r, f in candidates}
+    flat = {f"{c[0]}|{c[1]}": candidates[c][n] for c, n in choice.items()}
+    return df.withColumn(out, apply_choice(flat, {c: f"{c[0]}|{c[1]}" for c in choice})), choice
+
+
 def best_overall(df: DataFrame, candidates: Mapping[str, Column], target: str, weight: str) -> str:
     """The candidate chosen on all rows, to be frozen for the test side."""
     names = list(candidates)
@@ -144,29 +160,49 @@ def chain(df: DataFrame, stages: Mapping[str, object], pred: str, target: str, w
 def gate_thresholds(df: DataFrame, model: str, centre: float, q_grid: Sequence[float] = Q_GRID) -> DataFrame:
     """Training quantiles of the upward confidence per cell: (repeat, fold, q0..)."""
     up = df.filter(F.col(model) > centre).select("folds", (F.col(model) - centre).alias("conf"))
-    counts = _cells(up).groupBy(*CELL, "conf").agg(F.count("*").alias("m"))
-    cum = cumulative(expand_to_training(counts), "conf", CELL, {"n": F.col("m")}, (0.0, 100.0 - centre))
-    return quantiles_of_counts(cum, "conf", list(q_grid), CELL)
+    return training_quantiles(up, "conf", list(q_grid), (), (0.0, 100.0 - centre))
 
 
-def nested_gate(df: DataFrame, pred: str, model: str, target: str, weight: str, centre: float,
-                q_grid: Sequence[float] = Q_GRID, a_grid: Sequence[float] = A_GRID, out: str = "post"):
-    """Per cell the (quantile, strength) with the lowest training loss; returns (df, picks).
+def gate_losses(df: DataFrame, thresholds: Mapping[tuple[int, int], Sequence[float]], pred: str, model: str, target: str, weight: str,
+                centre: float, a_grid: Sequence[float]) -> dict[tuple[int, int], np.ndarray]:
+    """(thresholds x strengths) training losses of every cell, in one pass.
 
-    Thresholds differ per cell, so each row is scored for every cell that trains
-    on it; the repetition stays inside the partial aggregate.
+    A task scores its rows against every cell's thresholds in whole columns and emits
+    one sum per cell and parameter; no row is repeated.
     """
+    cells = sorted(thresholds)
+    grid = np.array([thresholds[c] for c in cells], dtype=float)
+    strengths = np.array(a_grid, dtype=float)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(cells), grid.shape[1], len(strengths)))
+        for batch in batches:
+            folds = batch.column("folds")
+            at = np.asarray(folds.flatten()).reshape(len(folds), -1)
+            p, m, y, w = (np.asarray(batch.column(c), dtype=float) for c in ("p", "m", "y", "w"))
+            trains = np.array([at[:, r] != f for r, f in cells], dtype=float) * w
+            for k, a in enumerate(strengths):
+                moved = np.clip(p + a * (m - p), 0.0, 100.0)
+                stay = np.square(y - np.clip(p, 0.0, 100.0))
+                gain = np.square(y - moved) - stay
+                for i in range(grid.shape[1]):
+                    fired = (m > centre) & (np.abs(m - centre) >= grid[:, i : i + 1])
+                    total[:, i, k] += (trains * (stay + fired * gain)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    slim = df.where(F.col(model).isNotNull()).select("folds", *[F.col(c).cast("double").alias(n) for c, n in ((pred, "p"), (model, "m"), (target, "y"), (weight, "w"))])
+    sums = sum(np.frombuffer(r["v"], "<f8").reshape(len(cells), grid.shape[1], len(strengths)) for r in slim.mapInArrow(partial, "v binary").collect())
+    return dict(zip(cells, sums))
+
+
+def nested_gate(df: DataFrame, pred: str, model: str, target: str, weight: str, centre: float,
+                q_grid: Sequence[float] = Q_GRID, a_grid: Sequence[float] = A_GRID, out: str = "post"):
+    """Per cell the (quantile, strength) with the lowest training loss; returns (df, picks)."""
     thr = {(r["repeat"], r["fold"]): [r[f"q{i}"] for i in range(len(q_grid))] for r in gate_thresholds(df, model, centre, q_grid).collect()}
-    table = df.sparkSession.createDataFrame([(r, f, [float(x) for x in v]) for (r, f), v in thr.items()], "repeat int, fold int, thr array<double>")
-    params = [(i, a) for i in range(len(q_grid)) for a in a_grid]
-    slim = df.select("folds", pred, model, target, weight)
-    seen = expand_to_training(_cells(slim)).join(F.broadcast(table), CELL)
-    losses = seen.groupBy(*CELL).agg(*[
-        F.sum(F.col(weight) * squared_error(target, gate(pred, model, F.col("thr")[i], a, centre))).alias(f"l{j}") for j, (i, a) in enumerate(params)])
     picks = {}
-    for r in losses.collect():
-        i, a = params[int(np.argmin([r[f"l{j}"] for j in range(len(params))]))]
-        picks[(r["repeat"], r["fold"])] = (thr[(r["repeat"], r["fold"])][i], a)
+    for cell, losses in gate_losses(df, thr, pred, model, target, weight, centre, a_grid).items():
+        i, k = np.unravel_index(int(np.argmin(losses)), losses.shape)
+        picks[cell] = (thr[cell][i], float(a_grid[k]))
     named = {f"{c[0]}|{c[1]}": gate(pred, model, t, a, centre) for c, (t, a) in picks.items()}
     return df.withColumn(out, apply_choice(named, {c: f"{c[0]}|{c[1]}" for c in picks})), picks
 
@@ -192,87 +228,55 @@ def bin_shrink(df: DataFrame, bins: Sequence[Column], pred: str, target: str, al
     return df.join(moved, "row_id")
 
 
-# ---- isotonic maps ---------------------------------------------------------------
-
+# ---- risk gate -------------------------------------------------------------------
 
-def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone fit over sorted distinct x: block borders and their values."""
-    value, weight, first, last = [], [], [], []
-    for i in range(len(x)):
-        v, m, a = float(y[i]), float(w[i]), i
-        while value and value[-1] >= v:
-            pv, pm = value.pop(), weight.pop()
-            v, m, a = (pv * pm + v * m) / (pm + m), pm + m, first.pop()
-            last.pop()
-        value.append(v), weight.append(m), first.append(a), last.append(i)
-    xs = np.column_stack([x[first], x[last]]).ravel()
-    ys = np.repeat(value, 2)
-    keep = np.concatenate([[True], np.diff(xs) > 0])
-    return xs[keep], ys[keep]
 
+def risk_gate(df: DataFrame, columns: Sequence[str], pred: str, target: str, weight: str, toward: Mapping[str, Column],
+              strengths: Sequence[float] = (0.25, 0.5), share: float = 0.9, n_repeats: int = 3) -> tuple[DataFrame, Choice]:
+    """Move rows of high predicted error toward a safer value; everything is fitted inside the cell.
 
-def isotonic_maps(df: DataFrame, pred: str, target: str, groups: Sequence[str] = (), digits: int = 4, frozen: bool = False) -> dict:
-    """{(repeat, fold, *group): (x, y, rows)} fitted on the training part of every cell.
-
-    Predictions are first collapsed to a grid of 10**-digits inside [0, 100], so a
-    fit sees a bounded number of points whatever the row count.  ``frozen`` fits
-    one map on all rows under (-1, -1).
+    The risk model of a cell predicts |residual| out of fold over an inner split of its
+    training rows (held-out rows take the mean of the inner models); the edge is the
+    training rows' ``share`` quantile, the mean theirs too, and the move has the least training loss.
+    ``toward`` adds fixed alternatives to the mean.
     """
-    keys = [*CELL, *groups]
-    slim = df.select("folds", F.round(clip(pred), digits).alias("x"), F.col(target).alias("y"), *groups)
-    if frozen:
-        points = slim.groupBy("x", *groups).agg(F.count("*").alias("n"), F.sum("y").alias("s")).select(
-            F.lit(-1).alias("repeat"), F.lit(-1).alias("fold"), "*")
-    else:
-        cells = _cells(slim).groupBy(*keys, "x").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-        points = expand_to_training(cells).groupBy(*keys, "x").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("x")
-        n = p.n.to_numpy(dtype=float)
-        xs, ys = pool_adjacent(p.x.to_numpy(dtype=float), p.s.to_numpy(dtype=float) / n, n)
-        return pd.DataFrame({**{k: [p[k].iloc[0]] for k in keys}, "xs": [xs], "ys": [ys], "n": [int(n.sum())]})
-
-    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", xs array<double>, ys array<double>, n long"
-    return {tuple(r[k] for k in keys): (np.array(r["xs"]), np.array(r["ys"]), r["n"])
-            for r in points.groupBy(*keys).applyInPandas(fit, schema).collect()}
-
-
-def isotonic_apply(df: DataFrame, pred: str, overall: dict, grouped: dict | None = None, group: str | None = None,
-                   min_rows: int = MIN_CELL, out: str = "post", frozen: bool = False) -> DataFrame:
-    """Nested isotonic prediction; a missing or thin group falls back to the overall map."""
-    grouped = grouped or {}
-
-    @F.pandas_udf("double")
-    def score(p: pd.Series, f: pd.Series, g: pd.Series) -> pd.Series:
-        x, at, gs = p.to_numpy(), np.vstack(f.to_numpy()), g.to_numpy()
-        total = np.zeros(len(x))
-        n_rep = at.shape[1]
-        for r in range(n_rep):
-            for fold in np.unique(at[:, r]):
-                cell = (r, int(fold))
-                for level in pd.unique(gs):
-                    m = (at[:, r] == fold) & (gs == level)
-                    if not m.any():
-                        continue
-                    chosen = grouped.get((*cell, level))
-                    xs, ys, _ = chosen if chosen is not None and chosen[2] >= min_rows else overall[cell]
-                    total[m] += np.clip(np.interp(x[m], xs, ys), 0.0, 100.0)
-        return pd.Series(np.clip(total / n_rep, 0.0, 100.0))
-
-    @F.pandas_udf("double")
-    def frozen_score(p: pd.Series, g: pd.Series) -> pd.Series:
-        x, gs, res = p.to_numpy(), g.to_numpy(), np.zeros(len(p))
-        for level in pd.unique(gs):
-            m = gs == level
-            chosen = grouped.get((-1, -1, level))
-            xs, ys, _ = chosen if chosen is not None and chosen[2] >= min_rows else overall[(-1, -1)]
-            res[m] = np.interp(x[m], xs, ys)
-        return pd.Series(np.clip(res, 0.0, 100.0))
-
-    g = F.col(group) if group else F.lit(0)
-    return df.withColumn(out, frozen_score(pred, g) if frozen else score(pred, "folds", g))
+    from .textridge import N_INNER, nested_vector_moments  # moments of (fold, inner) parts
+
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    data = df.withColumn("_x", vector).withColumn("_r", F.abs(F.col(target) - F.col(pred)))
+    parts = nested_vector_moments(data, "_x", "_r", n_repeats)
+    means = cell_means(df, target, n_repeats)
+    risks = {}
+    for r in range(n_repeats):
+        inner = inner_split("row_id", 42, r, N_INNER)
+        for f in sorted({f for rr, f, _ in parts if rr == r}):
+            train = {k: v for k, v in parts.items() if k[0] == r and k[1] != f}
+            total = sum(train.values())
+            fits = [ridge_from_moments(total - sum(v for k, v in train.items() if k[2] == i), 1.0) for i in range(N_INNER)]
+            own = F.array(*[dot(columns, c, b) for c, b in fits])[inner]
+            mean = dot(columns, np.mean([c for c, _ in fits], axis=0), float(np.mean([b for _, b in fits])))
+            risks[r, f] = F.when(F.col("folds")[r] == f, mean).otherwise(own)
+    cells = sorted(risks)
+    data = pin(df.withColumn("_risk", F.array(*[risks[c] for c in cells])))
+    each = data.select("folds", F.posexplode("_risk").alias("cell", "risk"))
+    repeat, fold = (F.element_at(F.array(*[F.lit(c[i]) for c in cells]), F.col("cell") + 1) for i in (0, 1))
+    edges = exact_quantiles(each.where(F.col("folds")[repeat] != fold), "risk", [share], ["cell"])
+    edge = {cells[r["cell"]]: r["q0"] for r in edges.collect()}
+    candidates = {}
+    for j, c in enumerate(cells):
+        high = F.col("_risk")[j] >= edge[c]
+        options = {"mean": F.lit(means[c]), **toward}
+        candidates[c] = {"none": F.col(pred), **{f"{n}|{a:g}": F.when(high, F.col(pred) + a * (t - F.col(pred))).otherwise(F.col(pred)) for n, t in options.items() for a in strengths}}
+    done, choice = nested_cells(data, candidates, target, weight)
+    flags = add_all([F.when(F.col("folds")[c[0]] == c[1], (F.col("_risk")[j] >= edge[c]).cast("int")).otherwise(0) for j, c in enumerate(cells)])
+    return done.withColumn("flagged", flags > 0).drop("_risk"), choice
+
+
+def cell_means(df: DataFrame, target: str, n_repeats: int) -> dict[tuple[int, int], float]:
+    """Mean target of every cell's training rows."""
+    rows = _cells(df.select("folds", target)).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum(target).alias("s")).collect()
+    total = {r: (sum(x["n"] for x in rows if x["repeat"] == r), sum(x["s"] for x in rows if x["repeat"] == r)) for r in range(n_repeats)}
+    return {(x["repeat"], x["fold"]): float((total[x["repeat"]][1] - x["s"]) / (total[x["repeat"]][0] - x["n"])) for x in rows}
 
 
 # ---- censored expectation --------------------------------------------------------

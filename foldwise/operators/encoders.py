@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup
-from .folds import CELL, N_FOLDS, expand_to_training, training_side, with_cells
-from .ranks import cumulative, exact_quantiles, quantiles_of_counts
+from .folds import CELL, N_FOLDS, expand_to_training, fold_array, training_side, with_cells
+from .ranks import exact_quantiles, training_quantiles
 
 MISSING_LEVEL = "nan"
 
@@ -61,16 +61,9 @@ def known_levels_only(df: DataFrame, train: DataFrame, column: str) -> DataFrame
 
 
 def cell_medians(df: DataFrame, folds: DataFrame, columns: Sequence[str], key: str = "row_id") -> DataFrame:
-    """Exact training medians per (repeat, fold, column).
-
-    Counts per distinct value are additive, so a cell's training counts come from
-    the counts of the other folds; no row is repeated per cell.
-    """
-    long = with_cells(df.select(key, *columns), folds, key).unpivot([*CELL], list(columns), "column", "value")
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*CELL, "column", "value").agg(F.count("*").alias("m"))
-    training = expand_to_training(counts)
-    cum = cumulative(training, "value", [*CELL, "column"], {"n": F.col("m")})
-    return quantiles_of_counts(cum, "value", [0.5], [*CELL, "column"]).withColumnRenamed("q0", "median")
+    """Exact training medians per (repeat, fold, column)."""
+    long = df.select(key, *columns).join(fold_array(folds, key), key).unpivot(["folds"], list(columns), "column", "value")
+    return training_quantiles(long, "value", [0.5], ["column"]).withColumnRenamed("q0", "median")
 
 
 def impute_cells(df: DataFrame, folds: DataFrame, median_cols: Sequence[str], zero_cols: Sequence[str] = (),

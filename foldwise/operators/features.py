@@ -12,9 +12,9 @@ from ..functions.rowwise import add_all, missing_flag, row_mean, row_range, row_
 from ..session import lookup
 from ..sources import frame as fr
 from .encoders import MISSING_LEVEL, level_list, one_hot
-from .folds import CELL, expand_to_training, with_cells
+from .folds import CELL, fold_array, with_cells
 from .profile import correlations, distinct_counts, melt
-from .ranks import cumulative, quantiles_of_counts, with_ranks
+from .ranks import training_quantiles, with_ranks
 
 
 @dataclass(frozen=True)
@@ -168,10 +168,9 @@ def cohort_rank(df: DataFrame, value: str, cohort: Sequence[str], out: str, doma
 
 def cell_bins(df: DataFrame, folds: DataFrame, columns: Sequence[str], bins: int = 5, key: str = fr.KEY) -> DataFrame:
     """Held-out rows with each column cut at its training quantiles (right-closed)."""
+    rows = df.select(key, *columns).join(fold_array(folds, key), key).unpivot(["folds"], list(columns), "column", "value")
+    q = training_quantiles(rows, "value", [i / bins for i in range(bins + 1)], ["column"])
     long = with_cells(df.select(key, *columns), folds, key).unpivot([key, *CELL], list(columns), "column", "value")
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*CELL, "column", "value").agg(F.count("*").alias("m"))
-    cum = cumulative(expand_to_training(counts), "value", [*CELL, "column"], {"n": F.col("m")})
-    q = quantiles_of_counts(cum, "value", [i / bins for i in range(bins + 1)], [*CELL, "column"])
     edges = F.array(*[F.round(f"q{i}", 6) for i in range(bins + 1)])
     table = F.broadcast(q.select(*CELL, "column", edges.alias("_e")))
     inner = F.filter(F.array_distinct("_e"), lambda e: (e > F.col("_e")[0]) & (e < F.col("_e")[bins]) & (e < F.col("value")))

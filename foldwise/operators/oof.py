@@ -11,9 +11,10 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ from ..functions.keyed import keyed_hash, unit_noise
 from ..functions.rowwise import add_all, clip, squared_error
 from ..session import pin
 from .features import Roles, numeric_columns, structured_matrix
-from .folds import N_FOLDS
-from .ranks import bin_of, quantile_edges
+from .folds import N_FOLDS, inner_split
+from .ranks import bin_of, exact_quantiles, quantile_edges
 
 #: Adds one prediction column to a frame.
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -204,16 +205,17 @@ def classifier(**params) -> FitFold:
 
 
 def binned(bins: int, regress: bool, hard: bool = False, min_rows: int = 200) -> FitFold:
-    """Two-stage model: class probabilities of target bins, then bin means or per-bin regressors.
+    """Two-stage model: class probabilities of target bins, then bin centres or per-bin regressors.
 
-    With ``regress`` every bin with enough rows has its own forest (else the bin
-    mean); routing is soft (sum of p times value) or hard (most likely bin).
+    With ``regress`` every bin with enough rows has its own tree (else the bin
+    centre); routing is soft (sum of p times value) or hard (most likely bin).
     """
     def fit(train: DataFrame) -> Scorer:
         edges = quantile_edges(train, "y", bins, (0.0, 100.0))
         labelled = train.withColumn("_bin", bin_of("y", edges).cast("double"))
         clf = RandomForestClassifier(featuresCol="features", labelCol="_bin", numTrees=15, maxDepth=5, maxBins=bins_for(train), seed=42).fit(labelled)
-        stats = {int(r["_bin"]): (r["m"], r["n"]) for r in labelled.groupBy("_bin").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect()}
+        ends = labelled.groupBy("_bin").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("n")).collect()
+        stats = {int(r["_bin"]): ((r["lo"] + r["hi"]) / 2, r["n"]) for r in ends}
         local = {}
         if regress:
             for b, (_, n) in stats.items():
@@ -240,10 +242,12 @@ def binned(bins: int, regress: bool, hard: bool = False, min_rows: int = 200) ->
     return fit
 
 
-def clustered(k: int = 4, min_rows: int = 300) -> FitFold:
-    """k-means on the training part, one tree per cluster, the global tree for thin clusters."""
+def clustered(k: int = 4, min_rows: int = 500) -> FitFold:
+    """k-means on the scaled training part, one tree per cluster, the global tree for thin clusters."""
     def fit(train: DataFrame) -> Scorer:
-        km = KMeans(featuresCol="features", predictionCol="_k", k=k, seed=42, maxIter=10).fit(train)
+        scaler = StandardScaler(inputCol="features", outputCol="_z", withMean=True, withStd=True).fit(train)
+        means = KMeans(featuresCol="_z", predictionCol="_k", k=k, seed=42, maxIter=10).fit(scaler.transform(train))
+        km = PipelineModel([scaler, means])
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=5, maxBins=bins_for(train), seed=42)
         overall, tagged = tree.fit(train), km.transform(train)
         sizes = {r["_k"]: r["n"] for r in tagged.groupBy("_k").agg(F.count("*").alias("n")).collect()}
@@ -263,17 +267,66 @@ def clustered(k: int = 4, min_rows: int = 300) -> FitFold:
     return fit
 
 
-def pseudo_labelled(data: DataFrame, base: FitFold, pseudo: DataFrame, weight: float) -> FitFold:
-    """Add test rows labelled by a blend, at a fixed weight, to every training part."""
-    extra = data.filter("split = 'test'").drop("y").join(pseudo.select("row_id", F.col("pred").alias("y")), "row_id").withColumn("_w", F.lit(weight))
+def pseudo_labelled(data: DataFrame, base: FitFold, labelers: Sequence[FitFold], weight: float, keep: float = 1.0) -> FitFold:
+    """Add test rows to every training part, labelled by the blend of ``labelers`` fitted on that part alone.
+
+    ``keep`` is the share of test rows that take part, those on which the labelers agree most.
+    """
+    test = data.filter("split = 'test'").drop("y")
 
     def fit(train: DataFrame) -> Scorer:
-        both = train.withColumn("_w", F.lit(1.0)).unionByName(extra.select(*train.columns, "_w"))
-        return base(both)
+        names, marked = [f"_l{i}" for i in range(len(labelers))], test
+        for name, make in zip(names, labelers):
+            marked = make(train)(marked, name).select(*test.columns, *[n for n in names if n <= name])
+        spread = F.array_max(F.array(*names)) - F.array_min(F.array(*names))
+        marked = pin(marked.select(*test.columns, (add_all([F.col(n) for n in names]) / len(names)).alias("y"), spread.alias("_gap")))
+        if keep < 1.0:
+            cut = exact_quantiles(marked, "_gap", [keep]).first()["q0"]
+            marked = marked.filter(F.col("_gap") <= (cut if cut is not None else 0.0))
+        extra = marked.withColumn("_w", F.lit(weight))
+        return base(train.withColumn("_w", F.lit(1.0)).unionByName(extra.select(*train.columns, "_w")))
 
     return fit
 
 
+def two_stage(data: DataFrame, first: FitFold, second: FitFold, target: Callable[[Column, Column], Column], n_repeats: int,
+              n_folds: int = N_FOLDS, n_inner: int = 3, parallel: int = PARALLEL_FITS) -> DataFrame:
+    """``row_id, split, y, p1, p2``: a second model on what the first leaves, fitted inside every cell.
+
+    Within the training part of a cell the first model is fitted out of fold over an
+    inner split, so the second one learns from honest first predictions, and neither has seen
+    the cell's held-out rows. Held-out rows take the mean of the inner first models.
+    """
+    cells = [(r, f) for r in range(n_repeats) for f in range(n_folds)]
+    base = ["row_id", "split", "y", "folds", "features"]
+
+    def one(cell: tuple[int, int]) -> DataFrame:
+        r, f = cell
+        train = cell_training(data, r, f).select(*base).withColumn("_inner", inner_split("row_id", 42, r, n_inner))
+        models = [first(train.filter(F.col("_inner") != i).drop("_inner")) for i in range(n_inner)]
+
+        def scored(df: DataFrame) -> DataFrame:
+            for i, m in enumerate(models):
+                df = m(df, f"_f{i}").select(*df.columns, f"_f{i}")
+            return df
+
+        each = F.array(*[F.col(f"_f{i}") for i in range(n_inner)])
+        staged = pin(scored(train).select(*base, each[F.col("_inner")].alias("p1")).withColumn("y", target(F.col("y"), F.col("p1"))).drop("p1"))
+        last = second(staged)
+        rest = data.select(*base).filter((F.col("split") != "train") | (F.col("folds")[r] == f))
+        mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / n_inner
+        out = last(scored(rest).select(*base, mean.alias("p1")), "p2")
+        return pin(out.select("row_id", "split", "y", "p1", "p2"))
+
+    task = inheritable_thread_target(data.sparkSession)(one)
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(task, cells))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("row_id", "split").agg(F.first("y").alias("y"), F.avg("p1").alias("p1"), F.avg("p2").alias("p2"))
+
+
 def augmented(base: FitFold, make: Callable[[DataFrame], DataFrame]) -> FitFold:
     """Extend the training part by rows derived from it alone."""
     return lambda train: base(train.select("features", "y", "row_id").unionByName(make(train).select("features", "y", "row_id")))
@@ -351,18 +404,26 @@ def masked(train: DataFrame, n_numeric: int, share: float = 0.15, seed: int = 17
     return train.select("row_id", "y", array_to_vector(F.transform(x, hit)).alias("features"))
 
 
-def permuted(data: DataFrame, position: int, seed: int) -> DataFrame:
-    """One feature shuffled across rows by joining two keyed orders."""
+def permuted(data: DataFrame, seeds: Sequence[int], columns: int) -> DataFrame:
+    """Every row once for each seed and feature position, with that feature taken from a partner row.
+
+    A seed's keyed order pairs the rows for all columns at once: one join a seed.
+    """
     from pyspark.ml.functions import array_to_vector
 
     from ..functions.keyed import PRIME
     from .ranks import row_numbers
 
-    here = row_numbers(data.withColumn("h", keyed_hash("row_id", 1)), [], "h", "row_id", (0, PRIME))
-    other = row_numbers(data.select("row_id", vector_to_array("features")[position].alias("_v"), keyed_hash("row_id", seed).alias("h")), [], "h", "row_id", (0, PRIME))
-    both = here.drop("h").join(other.select("rn", "_v"), "rn").drop("rn")
-    x = F.transform(vector_to_array("features"), lambda v, i: F.when(i == position, F.col("_v")).otherwise(v))
-    return both.withColumn("features", array_to_vector(x)).drop("_v")
+    slim = data.select("row_id", "y", vector_to_array("features").alias("x"))
+    here = pin(row_numbers(slim.withColumn("h", keyed_hash("row_id", 1)), [], "h", "row_id", (0, PRIME)).drop("h"))
+    out = None
+    for seed in seeds:
+        other = row_numbers(slim.select("row_id", "x", keyed_hash("row_id", seed).alias("h")), [], "h", "row_id", (0, PRIME))
+        both = here.join(other.select("rn", F.col("x").alias("_x2")), "rn").withColumn("seed", F.lit(seed))
+        out = both if out is None else out.unionByName(both)
+    each = out.withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    x = F.transform("x", lambda v, i: F.when(i == F.col("position"), F.col("_x2")[i]).otherwise(v))
+    return each.select("row_id", "y", "seed", "position", array_to_vector(x).alias("features"))
 
 
 def spline_basis(columns: Sequence[str], knots: Mapping[str, Sequence[float]]) -> dict[str, Column]:

@@ -29,6 +29,8 @@ def _with_bucket(df: DataFrame, value: str, domain: Domain, buckets: int) -> Dat
         )
     probs = [i / buckets for i in range(1, buckets)]
     borders = sorted(set(df.select(F.col(value).cast("double")).approxQuantile(value, probs, 0.25 / buckets)))
+    if not borders:
+        return df.withColumn("_b", F.lit(0))
     splits = [-float("inf"), *borders, float("inf")]
     numbered = df.withColumn("_v", F.col(value).cast("double"))
     return (
@@ -144,6 +146,47 @@ def exact_quantiles(
     return quantiles_of_counts(cumulative(df, value, groups, measures, domain), value, probs, groups)
 
 
+def training_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), domain: Domain = None,
+    n_repeats: int = 3, n_folds: int = 5, digits: int | None = None,
+) -> DataFrame:
+    """Exact quantiles of every cell's training rows: (repeat, fold, groups, q0..), from ``df(folds, value, *groups)``.
+
+    A distinct value is one row with the counts of all cells and their running
+    sums; how many training rows of a cell lie at or below a value is the repeat's
+    running sum minus the cell's, so nothing is repeated per cell.
+    """
+    groups = list(groups)
+    cells = [(r, f) for r in range(n_repeats) for f in range(n_folds)]
+    counts = {f"c{r}_{f}": F.coalesce((F.col("folds")[r] == f).cast("long"), F.lit(0)) for r, f in cells}
+    cum = cumulative(df, value, groups, counts, domain)
+
+    def outside(prefix: str, r: int, f: int) -> Column:
+        return add_all([F.col(f"{prefix}c{r}_{g}") for g in range(n_folds) if g != f])
+
+    held = [F.struct(outside("", r, f).alias("n"), outside("cum_", r, f).alias("cum"), outside("total_", r, f).alias("total")) for r, f in cells]
+    slim = cum.select(*groups, F.col(value).cast("double").alias("_v"), *[h.alias(f"h{j}") for j, h in enumerate(held)])
+    aggs = []
+    for j in range(len(cells)):
+        h = F.col(f"h{j}")
+        first = h["cum"] - h["n"]
+        aggs.append(F.max(h["total"]).alias(f"t{j}"))
+        for i, p in enumerate(probs):
+            pos = F.lit(float(p)) * (h["total"] - 1)
+            aggs += [F.max(F.when((first <= at) & (at < h["cum"]), F.col("_v"))).alias(f"{side}{j}_{i}") for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos)))]
+    base = slim.groupBy(*groups).agg(*aggs) if groups else slim.agg(*aggs)
+    rows = []
+    for j, (r, f) in enumerate(cells):
+        out = []
+        for i, p in enumerate(probs):
+            pos = F.lit(float(p)) * (F.col(f"t{j}") - 1)
+            q = F.col(f"lo{j}_{i}") + (pos - F.floor(pos)) * (F.col(f"hi{j}_{i}") - F.col(f"lo{j}_{i}"))
+            out.append((q if digits is None else F.round(q, digits)).alias(f"q{i}"))
+        rows.append(F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), F.col(f"t{j}").alias("n"), *out))
+    each = base.select(*groups, F.explode(F.array(*rows)).alias("_r")).where("_r.n > 0")
+    return each.select("_r.repeat", "_r.fold", *groups, *[F.col("_r")[f"q{i}"].alias(f"q{i}") for i in range(len(probs))])
+
+
 def rank_table(
     df: DataFrame, value: str, out: str, groups: Sequence[str] = (), domain: Domain = None, percent: bool = False
 ) -> DataFrame:

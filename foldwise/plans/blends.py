@@ -88,6 +88,13 @@ def backward(spark, folder):
     return steps_table(spark, bl.backward_elimination(df, m, M, Y, W))
 
 
+@query("en07b_subset_search")
+def subset_search(spark, folder):
+    """Best member subset of every size inside each cell; the size is chosen without the repeat that judges it."""
+    _, m = stacked(spark, folder)
+    return spark.createDataFrame(bl.subset_search(m, M), "held_repeat int, size int, members array<string>, rw_others double, rw_held double")
+
+
 @query("en08_regularised_meta")
 def regularised(spark, folder):
     df, m = stacked(spark, folder)
@@ -105,7 +112,10 @@ def huber_meta(spark, folder):
     return weights_table(spark, M, model.coefficients.toArray(), model.intercept)
 
 
-SUBSETS = {"all": M, "no_noise": ["pred_a", "pred_b", "pred_c", "pred_e"], "top3": ["pred_a", "pred_b", "pred_e"]}
+SUBSETS = {
+    "all": M, "no_noise": ["pred_a", "pred_b", "pred_c", "pred_e"], "top3": ["pred_a", "pred_b", "pred_e"], "abc": ["pred_a", "pred_b", "pred_c"],
+    "ace": ["pred_a", "pred_c", "pred_e"], "ab": ["pred_a", "pred_b"], "ae": ["pred_a", "pred_e"], "be": ["pred_b", "pred_e"],
+}
 
 
 def _family_sql(subset, models):
@@ -156,8 +166,11 @@ def rank_map(spark, folder):
 
 @query("en11_bagged_selection")
 def bagged(spark, folder):
-    _, m = stacked(spark, folder)
-    return spark.createDataFrame(bl.bagged_selection(m, M), "step int, member string, mse double")
+    """Weights of the bagged selection on all rows, with its nested score."""
+    df, m = stacked(spark, folder)
+    cells, whole = bl.bagged_selection(m, M)
+    score = gr.weighted_score(df, {"bagged": clip(gr.held_out_column(M, cells))}, Y, W)["bagged"]
+    return spark.createDataFrame([(n, float(w), score) for n, w in zip(M, whole)], "member string, weight double, nested_rw double")
 
 
 @query("en12_segment_weights")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rowwise import clip, row_std, squared_error
+from ..functions.solvers import ridge_from_moments
 from ..operators import calibrate as ca
 from ..operators import gram as gr
+from ..operators import isotonic as iso
 from ..operators.ranks import bin_of, quantile_edges, with_ranks
 from ..session import pin
 from ..sources import frame as fr
@@ -38,46 +40,55 @@ def nested(spark, folder, make):
 META = "SELECT row_id, round(post, 7) AS post FROM meta"
 
 
-@query("ca01_isotonic_global")
-def isotonic_global(spark, folder):
-    """Library isotonic regression on pre-aggregated points, applied with linear interpolation."""
-    from pyspark.ml.regression import IsotonicRegression
+#: The max-min form: the best lower bound over all starts of the least mean over all ends.
+ISOTONIC = {
+    "pts": f"SELECT *, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM (SELECT {P} AS x, count(*) AS n, sum(score) AS s FROM scored GROUP BY 1)",
+    "ends": "SELECT b.x, min((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.x ORDER BY b.x DESC) AS lo FROM pts a JOIN pts b ON b.x >= a.x",
+    "iso": "SELECT x, max(lo) AS v FROM ends GROUP BY x",
+}
+
 
+@query("ca01_isotonic_global", with_blocks(f"SELECT row_id, round(v, 7) AS post FROM scored JOIN iso ON {P} = x", "scored", extra=ISOTONIC))
+def isotonic_global(spark, folder):
+    """One exact monotone map of all rows."""
     df = stack(spark, folder)
-    points = df.groupBy(F.col(P).alias("x")).agg(F.avg(Y).alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)
-    scored = model.setFeaturesCol(P).setPredictionCol("post").transform(df)
-    return scored.select("row_id", clip("post").alias("post"))
+    scored = iso.values(df, iso.fit(df, P, Y, frozen=True), P, "iso")
+    return rounded(scored.select("row_id", iso.post("iso").alias("post")), 7)
 
 
 @query("ca02_isotonic_nested")
 def isotonic_nested(spark, folder):
     df = stack(spark, folder)
-    return ca.isotonic_apply(df, P, ca.isotonic_maps(df, P, Y)).select("row_id", "post")
+    return iso.values(df, iso.fit(df, P, Y), P, "iso").select("row_id", iso.post("iso").alias("post"))
 
 
 @query("ca03_isotonic_per_year")
 def isotonic_per_year(spark, folder):
     df = stack(spark, folder)
-    overall, by_year = ca.isotonic_maps(df, P, Y), ca.isotonic_maps(df, P, Y, ["cohort_year"])
-    return ca.isotonic_apply(df, P, overall, by_year, "cohort_year").select("row_id", "cohort_year", "post")
+    scored = iso.values(df, iso.fit(df, P, Y), P, "every")
+    scored = iso.values(scored, iso.fit(df, P, Y, ["cohort_year"]), P, "own")
+    return scored.select("row_id", "cohort_year", iso.post("every", "own", ca.MIN_CELL).alias("post"))
 
 
 @query("ca04_isotonic_band_grid")
 def isotonic_band_grid(spark, folder):
     df = stack(spark, folder)
-    overall = ca.isotonic_maps(df, P, Y)
-    out = []
+    overall = iso.values(df, iso.fit(df, P, Y), P, "every").select("row_id", "every")
+    tags = {}
     for bands in (2, 4):
         edges = quantile_edges(df, P, bands, (0.0, 100.0))
         for mode in ("all", "late"):
-            tagged = df.withColumn("g", bin_of(P, edges) * 2 + (F.lit(0) if mode == "all" else (F.col("cohort_year") >= fr.LATE_YEAR).cast("int")))
-            maps = ca.isotonic_maps(tagged, P, Y, ["g"])
-            for min_rows in (150, 600):
-                post = ca.isotonic_apply(tagged, P, overall, maps, "g", min_rows)
-                s = post.agg((F.sum(F.col(W) * squared_error(Y, "post")) / F.sum(W)).alias("s")).first()["s"]
-                out.append((bands, mode, min_rows, float(s)))
-    return spark.createDataFrame(out, "bands int, year_mode string, min_rows int, nested_rw double")
+            late = F.lit(0) if mode == "all" else (F.col("cohort_year") >= fr.LATE_YEAR).cast("int")
+            tags[bands, mode] = bin_of(P, edges) * 2 + late
+    # Every tagging is one more group level of a single fit.
+    tagged = df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), c.alias("g")) for i, c in enumerate(tags.values())])).alias("tag"))
+    tagged = tagged.select("*", F.concat_ws("|", "tag.t", "tag.g").alias("g")).withColumn("id", F.concat_ws("|", "row_id", "tag.t"))
+    own = iso.values(tagged, iso.fit(tagged, P, Y, ["g"]), P, "own", "id").join(overall, "row_id")
+    sizes = (150, 600)
+    loss = [(F.sum(F.col(W) * squared_error(Y, iso.post("every", "own", m))) / F.sum(W)).alias(f"s{m}") for m in sizes]
+    names = F.array(*[F.struct(F.lit(b).alias("bands"), F.lit(m).alias("year_mode")) for b, m in tags])
+    return own.groupBy("tag.t").agg(*loss).select(names[F.col("t")].alias("k"), F.explode(F.array(*[F.struct(F.lit(m).alias("min_rows"), F.col(f"s{m}").alias("nested_rw")) for m in sizes])).alias("v")).select(
+        "k.bands", "k.year_mode", "v.min_rows", "v.nested_rw")
 
 
 SD = "round(list_stddev_samp([pred_a, pred_b, pred_c, pred_e]), 6)"
@@ -96,6 +107,36 @@ def bin_pair_shrink(spark, folder):
     return rounded(ca.bin_shrink(df, bins, P, Y, 50.0, 30).select("row_id", "post"))
 
 
+BIN_GRID = {f"{k}x{n},alpha={a:g}": (k, n, a) for k, n in ((8, 3), (12, 4)) for a in (20.0, 50.0, 150.0)}
+
+
+@query("ca05b_bin_pair_choice")
+def bin_pair_choice(spark, folder):
+    """(bins, alpha) chosen per cell by what each grid point is worth on the other cells' held-out rows."""
+    df = pin(stack(spark, folder).withColumn("sd", F.round(row_std(["pred_a", "pred_b", "pred_c", "pred_e"]), 6)))
+    wide = df
+    for i, (k, n, a) in enumerate(BIN_GRID.values()):
+        bins = [bin_of(P, quantile_edges(df, P, k, (0.0, 100.0))), bin_of("sd", quantile_edges(df, "sd", n, (0.0, 100.0)))]
+        wide = wide.join(ca.bin_shrink(df, bins, P, Y, a, 30, f"g{i}").select("row_id", f"g{i}"), "row_id")
+    cands = {"none": F.col(P), **{name: F.col(f"g{i}") for i, name in enumerate(BIN_GRID)}}
+    post, choice = ca.nested_grid(pin(wide), cands, Y, W)
+    s = post.agg(*[(F.sum(F.col(W) * squared_error(Y, c)) / F.sum(W)).alias(c) for c in (P, "post")]).first()
+    return spark.createDataFrame([(r, f, n, float(s[P]), float(s["post"])) for (r, f), n in sorted(choice.items())], "repeat int, fold int, chosen string, rw_before double, nested_rw double")
+
+
+def fitted_members(df):
+    """Corrections fitted by least squares in every cell: a straight line, a hinge spline, and shrunken bin residuals."""
+    p = F.col(P)
+    hinges = {f"h{k:g}": F.greatest(p - k, F.lit(0.0)) for k in (30.0, 50.0, 70.0, 85.0)}
+    wide = pin(df.select("*", *[c.alias(n) for n, c in hinges.items()]))
+    out = {}
+    for name, cols, alpha in (("affine_fit", [P], 0.0), ("spline_fit", [P, *hinges], 1.0)):
+        moments = gr.cell_moments(wide, cols, Y, W)
+        out[name] = gr.held_out_column(cols, gr.fit_cells(moments, lambda t, a=alpha: ridge_from_moments(t, a)))
+    bins = [bin_of(P, quantile_edges(df, P, 12, (0.0, 100.0)))]
+    return ca.bin_shrink(wide, bins, P, Y, 50.0, 30, "bin_shrink"), {**out, "bin_shrink": F.col("bin_shrink")}
+
+
 @query("ca06_postprocess_zoo")
 def postprocess_zoo(spark, folder):
     df = stack(spark, folder)
@@ -104,6 +145,9 @@ def postprocess_zoo(spark, folder):
         post, choice = ca.nested_grid(df, cands, Y, W)
         s = post.agg((F.sum(F.col(W) * squared_error(Y, "post")) / F.sum(W)).alias("s")).first()["s"]
         out.append((name, len(cands), sorted(set(choice.values())), float(s)))
+    wide, members = fitted_members(df)
+    for name, s in gr.weighted_score(wide, members, Y, W).items():
+        out.append((name, 1, [name], float(s)))
     return spark.createDataFrame(out, "family string, n_candidates int, chosen array<string>, nested_rw double")
 
 
@@ -197,19 +241,11 @@ def low_tail(spark, folder):
 
 @query("ca14_risk_gate")
 def risk_gate(spark, folder):
-    """Rows with a high out-of-fold risk score move toward the mean, a strong model or the median."""
-    from ..functions.solvers import ridge_from_moments
-
-    df = stack(spark, folder).withColumn("abs_res", F.abs(F.col(Y) - F.col(P))).withColumn("sd", row_std(["pred_a", "pred_b", "pred_c"]))
-    cols = [P, "sd", "p_cap"]
-    risk = gr.held_out_column(cols, gr.fit_cells(gr.cell_moments(df, cols, "abs_res"), lambda t: ridge_from_moments(t, 1.0)))
-    df = pin(df.withColumn("risk", risk))
-    edge = quantile_edges(df, "risk", 10)[-1]
-    mean = float(df.agg(F.avg(Y).alias("m")).first()["m"])
-    toward = {"mean": F.lit(mean), "strong": F.col("pred_a"), "median": F.array_sort(F.array("pred_a", "pred_b", "pred_c"))[1]}
-    cands = {"none": F.col(P), **{f"{n}|{a}": F.when(F.col("risk") >= edge, F.col(P) + a * (t - F.col(P))).otherwise(F.col(P)) for n, t in toward.items() for a in (0.25, 0.5)}}
-    post, choice = ca.nested_grid(df, cands, Y, W)
-    return post.groupBy((F.col("risk") >= edge).alias("flagged")).agg(
+    """Rows with a high risk score move toward the mean, a strong model or the median; fitted per cell."""
+    df = pin(stack(spark, folder).withColumn("sd", row_std(["pred_a", "pred_b", "pred_c"])))
+    toward = {"strong": F.col("pred_a"), "median": F.array_sort(F.array("pred_a", "pred_b", "pred_c"))[1]}
+    post, _ = ca.risk_gate(df, [P, "sd", "p_cap"], P, Y, W, toward)
+    return post.groupBy("flagged").agg(
         F.count("*").alias("n"), F.avg(squared_error(Y, P)).alias("mse_before"), F.avg(squared_error(Y, "post")).alias("mse_after"))
 
 

@@ -56,7 +56,7 @@ def missing_flags(spark, folder):
     return fr.score_frame(spark, folder).select("row_id", *[missing_flag(c) for c in fr.NULLABLE])
 
 
-MED = ["avg_qty", "ext_price", "disc_pts"]
+MED = list(fr.MEDIAN_FILL)
 MED_BLOCK = {"med": "SELECT repeat, fold, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in MED) + " FROM fitrows GROUP BY ALL"}
 
 
@@ -325,7 +325,7 @@ def ratios(spark, folder):
     return rounded(z.join(fe.efficiency_ratios(train, RATIOS), "row_id"), 8)
 
 
-BINNED = ["acctbal", "avg_qty", "disc_pts"]
+BINNED = ["acctbal", "avg_qty", "disc_pts", "tax_pts", "sum_qty", "ext_price"]
 
 
 @query("fe35_fold_quantile_bins", with_blocks(

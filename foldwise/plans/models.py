@@ -68,10 +68,10 @@ def other_families(spark, folder):
     return a.unionByName(b)
 
 
-NUM6 = ["n_lines", "avg_qty", "acctbal", "n_ret", "ext_price", "disc_pts"]
+NUMS = list(fr.NUMERICS)
 
 
-def numeric_moments(spark, folder, target=Y, columns=NUM6, seeds=fo.SEEDS, where=None):
+def numeric_moments(spark, folder, target=Y, columns=NUMS, seeds=fo.SEEDS, where=None):
     frame = fr.score_frame(spark, folder)
     train = fr.train_rows(frame)
     folds = fo.stratified_folds(train, target, seeds=seeds)
@@ -84,7 +84,7 @@ def numeric_moments(spark, folder, target=Y, columns=NUM6, seeds=fo.SEEDS, where
 @query("md06_ridge_oof")
 def ridge_oof(spark, folder):
     df, m = numeric_moments(spark, folder)
-    p = gr.held_out_column(NUM6, gr.fit_cells(m, lambda t: ridge_from_moments(t, 1.0)))
+    p = gr.held_out_column(NUMS, gr.fit_cells(m, lambda t: ridge_from_moments(t, 1.0)))
     return df.select("row_id", F.col(Y).alias("y"), p.alias("pred"))
 
 
@@ -96,7 +96,7 @@ def least_squares(spark, folder):
     out = []
     for name, where in (("all", None), ("interior", INTERIOR)):
         rep = gr.ols_report(numeric_moments(spark, folder, seeds=ONE, where=where)[1])
-        out += [(name, c, float(b), float(s), rep["r2"], rep["resid_std"]) for c, b, s in zip(NUM6, rep["coef"], rep["std_coef"])]
+        out += [(name, c, float(b), float(s), rep["r2"], rep["resid_std"]) for c, b, s in zip(NUMS, rep["coef"], rep["std_coef"])]
     return spark.createDataFrame(out, "subset string, column string, coef double, std_coef double, r2 double, resid_std double")
 
 
@@ -106,8 +106,8 @@ def weight_dispersion(spark, folder):
 
     df, m = numeric_moments(spark, folder, seeds=ONE, where=INTERIOR)
     coef = gr.ols_report(m)["coef"]
-    table = spark.createDataFrame([(c, float(b)) for c, b in zip(NUM6, coef)], "column string, coef double")
-    j = ranges(df, NUM6).join(F.broadcast(table), "column").select("column", "coef", (F.col("coef") * (F.col("hi") - F.col("lo"))).alias("contribution"), "score_like")
+    table = spark.createDataFrame([(c, float(b)) for c, b in zip(NUMS, coef)], "column string, coef double")
+    j = ranges(df, NUMS).join(F.broadcast(table), "column").select("column", "coef", (F.col("coef") * (F.col("hi") - F.col("lo"))).alias("contribution"), "score_like")
     stats = j.filter("score_like").agg(F.struct(F.sum("coef").alias("s"), (F.stddev_samp("coef") / F.abs(F.avg("coef"))).alias("cv"))).scalar()
     return j.select("*", stats["s"].alias("score_weight_sum"), stats["cv"].alias("score_weight_cv"))
 
@@ -116,12 +116,12 @@ def weight_dispersion(spark, folder):
 def extra_term_gain(spark, folder):
     frame = fr.score_frame(spark, folder)
     train = fr.train_rows(frame).filter(INTERIOR)
-    c = {k: F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in NUM6}
+    c = {k: F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in NUMS}
     terms = {"lines_x_qty": c["n_lines"] * c["avg_qty"], "lines_sq": c["n_lines"] * c["n_lines"], "qty_sq": c["avg_qty"] * c["avg_qty"]}
     df = train.select(Y, F.array(F.lit(0)).alias("folds"), *[v.alias(k) for k, v in {**c, **terms}.items()])
-    m = gr.cell_moments(df, [*NUM6, *terms], Y)
-    base = gr.ols_report(m, NUM6)["r2"]
-    return spark.createDataFrame([(t, base, gr.ols_report(m, [*NUM6, t])["r2"], gr.ols_report(m, [*NUM6, t])["r2"] - base) for t in terms], "term string, r2_base double, r2 double, gain double")
+    m = gr.cell_moments(df, [*NUMS, *terms], Y)
+    base = gr.ols_report(m, NUMS)["r2"]
+    return spark.createDataFrame([(t, base, gr.ols_report(m, [*NUMS, t])["r2"], gr.ols_report(m, [*NUMS, t])["r2"] - base) for t in terms], "term string, r2_base double, r2 double, gain double")
 
 
 @query("md10_cap_classifier")
@@ -160,41 +160,46 @@ def drift_classifier(spark, folder):
 
 @query("pr17_permutation_importance")
 def permutation_importance(spark, folder):
-    """AUC drop of the drift classifier when one column is shuffled, mean over repeats."""
+    """AUC drop of the drift classifier when one column is shuffled: every column, mean over five repeats."""
     frame, folds = frame_and_folds(spark, folder)
     names = [*fr.NUMERICS, *fr.YEARS]
-    data = pin(oof.model_frame(frame, folds, Y, categories=False).withColumn("y", (F.col("split") == "test").cast("double")).select("row_id", "y", "features"))
+    model = oof.model_frame(frame, folds, Y)
+    data = pin(model.withColumn("y", (F.col("split") == "test").cast("double")).select("row_id", "y", "features"))
+    flags = [f"{c}_missing" for c in fr.NULLABLE]
     scorer = oof.classifier(maxIter=5)(data)
-    auc = lambda d: mt.roc_auc(scorer(d, "p").select("y", "p"), "y", "p", (), (0.0, 1.0)).first()["auc"]
-    base, out = auc(data), []
-    for c in ("cohort_year", "ship_year", "n_lines"):
-        drops = [base - auc(oof.permuted(data, names.index(c), 100 + s)) for s in range(2)]
-        out.append((c, float(sum(drops) / len(drops))))
-    return spark.createDataFrame(out, "column string, auc_drop double").orderBy(F.desc("auc_drop"))
+    base = mt.roc_auc(scorer(data, "p").select("y", "p"), "y", "p", (), (0.0, 1.0)).first()["auc"]
+    names += flags + list(fr.CATEGORIES)
+    trials = scorer(oof.permuted(data, range(100, 105), len(names)), "p").select("y", "p", "seed", "position")
+    auc = mt.roc_auc(pin(trials), "y", "p", ("position", "seed"), (0.0, 1.0))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
+    return auc.groupBy(name.alias("column")).agg((F.lit(base) - F.avg("auc")).alias("auc_drop")).orderBy(F.desc("auc_drop"))
 
 
 @query("md12_residual_model")
 def residual_model(spark, folder):
     """A second channel fitted on the residual of the first, against the joint fit."""
     df, m = numeric_moments(spark, folder)
-    first, second = NUM6[:1], NUM6[1:]
+    first, second = ["n_lines"], [c for c in NUMS if c != "n_lines"]
     solve = lambda t: ridge_from_moments(t, 1.0)
     base = pin(df.withColumn("p1", gr.held_out_column(first, gr.fit_cells(m.subset(first), solve))).withColumn("resid", F.col(Y) - F.col("p1")))
     res = gr.held_out_column(second, gr.fit_cells(gr.cell_moments(base, second, "resid"), solve))
-    joint = gr.held_out_column(NUM6, gr.fit_cells(m, solve))
+    joint = gr.held_out_column(NUMS, gr.fit_cells(m, solve))
     s = gr.weighted_score(base, {"first": F.col("p1"), "additive": F.col("p1") + res, "joint": joint}, Y, None)
     v = base.agg(F.var_pop("resid").alias("v"), F.avg((F.col("resid") - res) * (F.col("resid") - res)).alias("e")).first()
     return spark.createDataFrame([(k, s[k], float(1 - v["e"] / v["v"])) for k in s], "model string, mse double, residual_r2 double")
 
 
+def on_residual(spark, folder, second, target):
+    first = oof.gbt(maxIter=5, maxDepth=3)
+    return oof.two_stage(prepared(spark, folder), first, second, target, 1)
+
+
 @query("fx19_residual_learnability")
 def residual_learnability(spark, folder):
     """Out-of-fold share of residual variance explained by the other columns."""
-    data = prepared(spark, folder)
-    first = pin(oof.run_oof(data, oof.gbt(maxIter=5), 1).withColumn("y", F.col("y") - F.col("pred")).drop("pred"))
-    second = oof.run_oof(first, oof.gbt(maxIter=5), 1, lo=None)
-    train = second.filter("split = 'train'")
-    return train.agg(F.count("*").alias("n"), (1 - F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))) / F.var_pop("y")).alias("r2"))
+    both = on_residual(spark, folder, oof.gbt(maxIter=5), lambda y, p: y - p).filter("split = 'train'")
+    left = F.col("y") - F.col("p1")
+    return both.agg(F.count("*").alias("n"), (1 - F.avg((left - F.col("p2")) * (left - F.col("p2"))) / F.var_pop(left)).alias("r2"))
 
 
 @query("fx18_residual_sign")
@@ -202,9 +207,8 @@ def residual_sign(spark, folder):
     """Can the sign of the residual be predicted?  AUC and accuracy in the most confident slices."""
     from ..operators.ranks import bin_of, quantile_edges
 
-    first = pin(oof.run_oof(prepared(spark, folder), oof.gbt(maxIter=5), 1))
-    data = pin(first.withColumn("y", (F.col("y") > F.col("pred")).cast("double")).drop("pred"))
-    sc = pin(oof.run_oof(data, oof.classifier(maxIter=5), 1, lo=0.0, hi=1.0).filter("split = 'train'").select("y", "pred", F.abs(F.col("pred") - 0.5).alias("conf")))
+    both = on_residual(spark, folder, oof.classifier(maxIter=5), lambda y, p: (y > p).cast("double")).filter("split = 'train'")
+    sc = pin(both.select((F.col("y") > F.col("p1")).cast("double").alias("y"), F.col("p2").alias("pred"), F.abs(F.col("p2") - 0.5).alias("conf")))
     auc = mt.roc_auc(sc, "y", "pred", (), (0.0, 1.0)).scalar()
     hit = ((F.col("pred") > 0.5).cast("double") == F.col("y")).cast("double")
     return sc.groupBy(bin_of("conf", quantile_edges(sc, "conf", 4, (0.0, 0.5))).alias("slice")).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy")).select("*", auc.alias("auc"))
@@ -318,26 +322,23 @@ def low_tail_weights(spark, folder):
     return out
 
 
+def pseudo(spark, folder, keep, name):
+    """Test rows labelled inside every cell by a blend of two families."""
+    data = prepared(spark, folder)
+    labelers = (oof.gbt(maxIter=5, maxDepth=3), oof.forest(numTrees=10))
+    fit = oof.pseudo_labelled(data, oof.gbt(weight="_w", maxIter=5, maxDepth=3), labelers, 0.3, keep)
+    return oof.quality(oof.run_oof(data, fit, 1), name)
+
+
 @query("md15_pseudo_labels")
 def pseudo_labels(spark, folder):
-    data = prepared(spark, folder)
-    first = pin(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1).select("row_id", "split", "pred"))
-    fit = oof.pseudo_labelled(data, oof.gbt(weight="_w", maxIter=5, maxDepth=3), first.filter("split = 'test'"), 0.3)
-    return oof.quality(oof.run_oof(data, fit, 1), "pseudo")
+    return pseudo(spark, folder, 1.0, "pseudo")
 
 
 @query("md16_confident_pseudo_labels")
 def confident_pseudo_labels(spark, folder):
-    """Only test rows on which two models agree most are labelled."""
-    from ..operators.ranks import quantile_edges
-
-    data = prepared(spark, folder)
-    a = oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1).filter("split = 'test'").select("row_id", "pred")
-    b = oof.run_oof(data, oof.forest(numTrees=10), 1).filter("split = 'test'").select("row_id", F.col("pred").alias("other"))
-    both = pin(a.join(b, "row_id").select("row_id", ((F.col("pred") + F.col("other")) / 2).alias("pred"), F.abs(F.col("pred") - F.col("other")).alias("gap")))
-    cut = quantile_edges(both, "gap", 2, (0.0, 100.0))[0]
-    fit = oof.pseudo_labelled(data, oof.gbt(weight="_w", maxIter=5, maxDepth=3), both.filter(F.col("gap") <= cut), 0.3)
-    return oof.quality(oof.run_oof(data, fit, 1), "pseudo_confident")
+    """Only the half of the test rows on which the two families agree most is labelled."""
+    return pseudo(spark, folder, 0.5, "pseudo_confident")
 
 
 @query("md17_seed_bagging")
@@ -354,7 +355,7 @@ def two_stage(spark, folder):
 
 @query("md19_bin_probability")
 def bin_probability(spark, folder):
-    return oof.quality(oof.run_oof(prepared(spark, folder), oof.binned(16, regress=False), 1), "bin_expectation")
+    return oof.quality(oof.run_oof(prepared(spark, folder), oof.binned(64, regress=False), 1), "bin_expectation")
 
 
 @query("md20_cluster_then_predict")
@@ -364,11 +365,8 @@ def cluster_then_predict(spark, folder):
 
 @query("md21_residual_chain")
 def residual_chain(spark, folder):
-    data = prepared(spark, folder)
-    first = pin(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1).withColumnRenamed("pred", "p1").withColumn("y0", F.col("y")).withColumn("y", F.col("y") - F.col("p1")))
-    second = oof.run_oof(first, oof.gbt(maxIter=5, maxDepth=3), 1, lo=None)
-    done = second.select("row_id", "split", F.col("y0").alias("y"), (F.col("p1") + F.col("pred")).alias("pred"))
-    return oof.quality(done, "chain")
+    both = on_residual(spark, folder, oof.gbt(maxIter=5, maxDepth=3), lambda y, p: y - p)
+    return oof.quality(both.select("row_id", "split", "y", gr.clip(F.col("p1") + F.col("p2")).alias("pred")), "chain")
 
 
 @query("md22_augmentation")
@@ -423,30 +421,64 @@ def text_folds(spark, folder, seeds=ONE):
     return df, fo.stratified_folds(fr.train_rows(df), fr.TARGET, seeds=seeds)
 
 
+def penalties(spark, found):
+    return spark.createDataFrame(found, "alpha double, mse double")
+
+
 @query("tx14_alpha_selection")
 def alpha_selection(spark, folder):
     from ..operators import text as te
     from ..operators import textridge as tr
 
     df, folds = text_folds(spark, folder)
-    return spark.createDataFrame(tr.select_alpha(df, folds, "text", fr.TARGET, [te.WORD]), "alpha double, mse double")
+    return penalties(spark, tr.select_alpha(df, folds, "text", fr.TARGET, [te.WORD]))
+
+
+@query("tx14b_alpha_word_char")
+def alpha_word_char(spark, folder):
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    return penalties(spark, tr.select_alpha(df, folds, "text", fr.TARGET, [te.WORD, te.CHAR]))
+
+
+@query("tx14c_alpha_embedding")
+def alpha_embedding(spark, folder):
+    from ..operators import textridge as tr
+
+    df, _ = embedding_rows(spark, folder)
+    return penalties(spark, tr.vector_alpha(gr.cell_moments(df, F.col("embedding"), fr.TARGET), df, "embedding", fr.TARGET, EMBEDDING_ALPHAS))
 
 
 @query("tx15_nested_word_ridge")
 def nested_word_ridge(spark, folder):
+    """Three repeats, five folds, five inner parts: 75 ridges in one solver."""
     from ..operators import text as te
     from ..operators import textridge as tr
 
-    df, folds = text_folds(spark, folder)
+    df, folds = text_folds(spark, folder, fo.SEEDS)
     return tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD]).drop("folds")
 
 
+@query("tx15b_ridge_residuals")
+def ridge_residuals(spark, folder):
+    """What each system's solution leaves of its right side, relative to it."""
+    from ..operators import text as te
+    from ..operators import textridge as tr
+
+    df, folds = text_folds(spark, folder)
+    cells = tr.text_cells(df, folds, "text", fr.TARGET, [te.WORD], nested=False)
+    found = tr.residuals(tr.fit_text(cells, tr.ALPHAS), cells, tr.ALPHAS)
+    return spark.createDataFrame(found, "repeat int, fold int, inner int, alpha double, residual double")
+
+
 @query("tx16_nested_rich_ridge")
 def nested_rich_ridge(spark, folder):
     from ..operators import text as te
     from ..operators import textridge as tr
 
-    df, folds = text_folds(spark, folder)
+    df, folds = text_folds(spark, folder, fo.SEEDS)
     return oof.quality(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.RICH_WORD, te.RICH_CHAR]), "rich")
 
 
@@ -455,18 +487,26 @@ def nested_word_char_ridge(spark, folder):
     from ..operators import text as te
     from ..operators import textridge as tr
 
-    df, folds = text_folds(spark, folder)
-    return oof.quality(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD, te.CHAR], alpha=5.0), "word_char")
+    df, folds = text_folds(spark, folder, fo.SEEDS)
+    alphas = tr.select_alpha(df, folds, "text", fr.TARGET, [te.WORD, te.CHAR])
+    best = min(alphas, key=lambda t: t[1])[0]
+    return oof.quality(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD, te.CHAR], alpha=best), "word_char")
+
+
+EMBEDDING_ALPHAS = (0.1, 1.0, 10.0)
+
+
+def embedding_rows(spark, folder):
+    emb = fr.embedding_frame(spark, folder)
+    return pin(gr.with_fold_array(fr.train_rows(emb), fo.stratified_folds(fr.train_rows(emb), fr.TARGET))), emb
 
 
 @query("tx18_embedding_ridge")
 def embedding_ridge(spark, folder):
     from ..operators import textridge as tr
 
-    emb = fr.embedding_frame(spark, folder)
-    folds = fo.stratified_folds(fr.train_rows(emb), fr.TARGET)
-    df = pin(gr.with_fold_array(fr.train_rows(emb), folds))
-    alphas = tr.vector_alpha(gr.cell_moments(df, F.col("embedding"), fr.TARGET), df, "embedding", fr.TARGET, (0.1, 1.0, 10.0))
+    df, emb = embedding_rows(spark, folder)
+    alphas = tr.vector_alpha(gr.cell_moments(df, F.col("embedding"), fr.TARGET), df, "embedding", fr.TARGET, EMBEDDING_ALPHAS)
     best = min(alphas, key=lambda t: t[1])[0]
     fitted, pred = tr.nested_vector_ridge(df, "embedding", fr.TARGET, best, 3)
     import numpy as np
@@ -478,45 +518,46 @@ def embedding_ridge(spark, folder):
 
 @query("tx19_text_ablation")
 def text_ablation(spark, folder):
-    """Lexicon, nested ridge and both as columns of one tree model, plus the short character ridge alone."""
-    from pyspark.ml.feature import VectorAssembler
-
+    """Structured columns alone, with the lexicon, with the nested ridge, and with both, as tree models; word and short character ridge alone."""
     from ..operators import text as te
     from ..operators import textridge as tr
+    from ..operators.features import Roles
 
-    df, folds = text_folds(spark, folder)
-    lex = te.handcrafted(df, "text")
-    ridge = pin(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD]))
-    joined = ridge.withColumnRenamed("pred", "txt").join(lex, "row_id").withColumn("one", F.lit(0.0))
+    df, folds = text_folds(spark, folder, fo.SEEDS)
     # the raw lengths would give this stand-in target away
     words = [c for c in te.HANDCRAFTED if c not in ("len_char", "len_word")]
-    out = oof.quality(ridge, "ridge_alone")
-    for name, cols in (("lexicon", words), ("ridge", ["txt", "one"]), ("both", [*words, "txt"])):
-        data = pin(VectorAssembler(inputCols=cols, outputCol="features").transform(joined).select("row_id", "split", "y", "folds", "features"))
-        out = out.unionByName(oof.quality(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1), name))
+    ridge = pin(tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.WORD]))
+    joined = fr.text_structure(df).join(te.handcrafted(df, "text").select("row_id", *words), "row_id").join(ridge.select("row_id", F.col("pred").alias("txt")), "row_id")
+    joined = pin(joined)
+    roles = Roles(categories=("lang", "source"), years=(), zero_fill=(), median_fill=())
+    out = oof.quality(ridge, "word_alone")
+    for name, less in (("num", [*words, "txt"]), ("num+lexicon", ["txt"]), ("num+ridge", words), ("num+both", [])):
+        data = pin(oof.model_frame(joined.drop(*less), folds, fr.TARGET, roles, years=False))
+        out = out.unionByName(oof.quality(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), len(fo.SEEDS)), name))
     short = tr.nested_text_ridge(df, folds, "text", fr.TARGET, [te.CHAR_SHORT])
     return out.unionByName(oof.quality(short, "char_alone"))
 
 
-def reduced_text(spark, folder, k):
+DIRECTIONS = 80
+
+
+def reduced_text(spark, folder):
     from ..operators import text as te
     from ..operators import textridge as tr
 
     df, folds = text_folds(spark, folder)
-    space = te.TermSpace("w", "word", 1, 2, te.MIN_DF, 1500)
-    cells = tr.text_cells(df, folds, "text", fr.TARGET, [space], nested=False)
-    return {c: tr.project(cells, c, v, "z") for c, v in tr.svd_directions(cells, k).items()}
+    cells = tr.text_cells(df, folds, "text", fr.TARGET, [te.WORD], nested=False, vectors=DIRECTIONS + 10)
+    return tr.reduced_text(cells, DIRECTIONS)
 
 
 @query("tx07_text_svd")
 def text_svd(spark, folder):
-    parts = reduced_text(spark, folder, 20)
-    out = None
-    for (r, f, _), df in parts.items():
-        energy = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
-        part = df.groupBy("split").agg(F.count("*").alias("n"), F.avg(energy).alias("explained")).withColumn("fold", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Share of each row's squared length that the directions of a fold's training part keep."""
+    rows_, parts, _ = reduced_text(spark, folder)
+    each = rows_.select("split", F.posexplode("z").alias("part", "z"))
+    fold = F.element_at(F.array(*[F.lit(f) for _, f, _ in parts]), F.col("part") + 1)
+    energy = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+    return each.groupBy(fold.alias("fold"), "split").agg(F.count("*").alias("n"), F.avg(energy).alias("explained"))
 
 
 @query("md08_svd_boosting")
@@ -524,9 +565,10 @@ def svd_boosting(spark, folder):
     """Boosted trees on text reduced inside each cell."""
     from pyspark.ml.functions import array_to_vector
 
-    out = None
-    for (r, f, _), df in reduced_text(spark, folder, 20).items():
-        data = pin(df.withColumn("features", array_to_vector("z")).drop("z"))
+    rows_, parts, _ = reduced_text(spark, folder)
+    rows_, out = pin(rows_), None
+    for j, (r, f, _) in enumerate(parts):
+        data = pin(rows_.select("row_id", "split", "y", "folds", array_to_vector(F.col("z")[j]).alias("features")))
         scorer = oof.gbt(maxIter=5, maxDepth=3)(oof.cell_training(data, r, f))
         part = scorer(data, "pred").filter((F.col("split") == "test") | (F.col("folds")[r] == f)).select("row_id", "split", "y", "pred")
         out = part if out is None else out.unionByName(part)
@@ -540,10 +582,10 @@ def censored_regression(spark, folder):
     from ..functions.rowwise import dot
 
     df, _ = numeric_moments(spark, folder, seeds=ONE)
-    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUM6]).first()
-    z = pin(df.select("row_id", Y, *[((F.col(c) - std[c]["m"]) / std[c]["s"]).alias(c) for c in NUM6]))
-    beta, b0, sigma, value = fit_censored(z, NUM6, Y)
-    mu = z.withColumn("mu", dot(NUM6, beta, b0))
+    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUMS]).first()
+    z = pin(df.select("row_id", Y, *[((F.col(c) - std[c]["m"]) / std[c]["s"]).alias(c) for c in NUMS]))
+    beta, b0, sigma, value = fit_censored(z, NUMS, Y)
+    mu = z.withColumn("mu", dot(NUMS, beta, b0))
     e = mu.withColumn("ey", gr.clip(expected_below_cap(F.col("mu"), sigma)))
     return e.agg(F.count("*").alias("n"), F.lit(sigma).alias("sigma"), F.lit(value).alias("log_likelihood"),
                  F.avg((F.col(Y) - F.col("ey")) * (F.col(Y) - F.col("ey"))).alias("mse"), F.avg(F.when(F.col(Y) >= 100, F.col("ey"))).alias("ey_at_cap"))
@@ -563,8 +605,8 @@ def knn_target_mean(spark, folder):
 
 def profile_vectors(spark, folder):
     df, _ = numeric_moments(spark, folder, seeds=ONE)
-    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUM6]).first()
-    vec = F.array(*[(F.col(c) - std[c]["m"]) / std[c]["s"] for c in NUM6])
+    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUMS]).first()
+    vec = F.array(*[(F.col(c) - std[c]["m"]) / std[c]["s"] for c in NUMS])
     return pin(df.select(F.col("row_id").alias("id"), vec.alias("vec"), F.col(Y).alias("y"), F.col("folds")[0].alias("g")))
 
 

@@ -58,6 +58,22 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's table to the shared folder and read it back; ``discard`` removes it."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables whose successors are written, so the shared folder holds only live ones."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def lookup(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Pin a lookup table; hint a broadcast only if its counted size is small.
 

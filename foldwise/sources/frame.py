@@ -138,6 +138,17 @@ def text_frame(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def text_structure(df: DataFrame) -> DataFrame:
+    """Structured columns of the text frame: language, source, and shares that do not tell the length."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    share = lambda pattern: F.round(F.regexp_count("text", F.lit(pattern)) / n, 6)
+    return df.select(
+        KEY, "split", "lang", "source", TARGET,
+        share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"), share(r"\p{Punct}").alias("mark_share"),
+        share(r"\s+").alias("gap_share"), share(r"\n").alias("line_share"),
+    )
+
+
 def embedding_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors with a bounded target derived from their class label."""
     emb = read_table(spark, folder, "embeddings")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from foldwise.operators import blend as bl
 from foldwise.operators import calibrate as ca
 from foldwise.operators import folds as fo
 from foldwise.operators import gram as gr
+from foldwise.operators import isotonic as iso
 from foldwise.operators import oof
 from foldwise.operators import text as te
 from foldwise.operators import textridge as tr
@@ -67,17 +70,47 @@ def test_student_tail():
     assert sv.student_t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
 
 
-def test_isotonic_is_monotone_bounded_and_exact(stackable):
-    pdf, df, folds = stackable
-    out = ca.isotonic_apply(df, "b", ca.isotonic_maps(df, "b", "y", digits=9)).select("row_id", "b", "post").toPandas()
-    assert out.post.between(0, 100).all()
-    x = np.sort(np.random.default_rng(1).random(200))
-    y = x + np.random.default_rng(2).normal(0, 0.3, 200)
-    xs, ys = ca.pool_adjacent(x, y, np.ones(200))
-    assert (np.diff(ys) >= -1e-12).all()
-    fit = np.interp(x, xs, ys)
-    for k in range(0, 200, 17):  # max-min formula of the monotone fit
-        assert fit[k] == pytest.approx(max(min(np.mean(y[i:j + 1]) for j in range(k, 200)) for i in range(k + 1)))
+def max_min(x, y):
+    """The monotone fit at every distinct x, by its max-min formula."""
+    xs = np.unique(x)
+    n, s = (np.array([(f(x == v)) for v in xs], dtype=float) for f in (np.sum, lambda m: y[m].sum()))
+    cn, cs = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(s)])
+    mean = lambda i, j: (cs[j + 1] - cs[i]) / (cn[j + 1] - cn[i])
+    return xs, np.array([max(min(mean(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k in range(len(xs))])
+
+
+@pytest.mark.parametrize("buckets", [1, 13])
+def test_isotonic_cells_equal_the_max_min_formula(spark, buckets):
+    rng = np.random.default_rng(1)
+    n = 240
+    pdf = pd.DataFrame({"row_id": np.arange(n), "g": rng.choice(["a", "b", "c"], n, p=[0.6, 0.39, 0.01]), "b": np.round(rng.uniform(-5, 105, n), 1)})
+    pdf.loc[:60, "b"] = 42.0  # one value for a quarter of the rows
+    pdf["y"] = np.clip(pdf.b, 0, 100) + rng.normal(0, 15, n)
+    df = spark.createDataFrame(pdf)
+    df = gr.with_fold_array(df, fo.stratified_folds(df, "y")).cache()
+    every = iso.values(df, iso.fit(df, "b", "y", buckets=buckets), "b", "every")
+    own = iso.values(every, iso.fit(df, "b", "y", ["g"], buckets=buckets), "b", "own")
+    got = own.select("*", iso.post("every", "own", 40).alias("post")).toPandas().sort_values("row_id")
+    x, y, g = np.clip(got.b.to_numpy(), 0, 100), got.y.to_numpy(), got.g.to_numpy()
+    folds = np.vstack(got.folds.to_numpy())
+    for k in range(0, n, 11):
+        parts = []
+        for r in range(3):
+            train = folds[:, r] != folds[k, r]
+            mine = train & (g == g[k])
+            xs, v = max_min(x[mine], y[mine]) if mine.sum() >= 40 else max_min(x[train], y[train])
+            parts.append(np.clip(np.interp(x[k], xs, v), 0, 100))
+        assert got.post.iloc[k] == pytest.approx(np.mean(parts), abs=1e-9)
+
+
+def test_isotonic_of_all_rows_is_exact_at_any_precision(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"row_id": np.arange(300), "b": rng.uniform(0, 1e-4, 300)})
+    pdf["y"] = 1e5 * pdf.b + rng.normal(0, 5, 300)
+    df = spark.createDataFrame(pdf)
+    got = iso.values(df, iso.fit(df, "b", "y", frozen=True, buckets=9), "b", "v").select("row_id", "b", F.col("v")[0]["v"].alias("v"), F.col("v")[0]["n"].alias("n")).toPandas().sort_values("row_id")
+    xs, v = max_min(pdf.b.to_numpy(), pdf.y.to_numpy())
+    assert np.allclose(got.v, np.interp(pdf.b, xs, v)) and (got.n == 300).all()
 
 
 def test_gate_prefers_the_informative_model(spark):
@@ -160,30 +193,98 @@ def test_ngrams(spark):
     assert df.limit(1).select(char_ngrams(F.lit("ab c"), 3, 5)).first()[0] == [" ab", "ab ", " ab ", " c "]
 
 
-def test_text_ridge_equals_closed_form(spark):
+def closed_form(tf, y, train, alpha):
+    """Ridge on unit TF-IDF rows: predictions of all rows, and the intercept."""
+    sub = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
+    x = sub * (np.log((1 + train.sum()) / (1 + (tf[train] > 0).sum(0))) + 1)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    yt = y[train]
+    xc = x[train] - x[train].mean(0)
+    coef = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ (yt - yt.mean()))
+    return (x - x[train].mean(0)) @ coef + yt.mean()
+
+
+def small_texts(spark, n, n_test=0):
     rng = np.random.default_rng(9)
     vocab = ["alfa", "beta", "gama", "delta", "epsi", "zeta"]
-    docs = [" ".join(rng.choice(vocab, 8)) for _ in range(120)]
-    y = [min(100.0, round(20.0 + 8.0 * d.count("alfa") + 3.0 * d.count("beta") + float(rng.random()), 2)) for d in docs]
-    df = spark.createDataFrame([(i, "train", t, v) for i, (t, v) in enumerate(zip(docs, y))], "row_id long, split string, text string, y double")
+    docs = [" ".join(rng.choice(vocab, 8)) for _ in range(n + n_test)]
+    docs[3] = ""
+    y = np.array([min(100.0, round(20.0 + 8.0 * d.count("alfa") + 3.0 * d.count("beta") + float(rng.random()), 2)) for d in docs])
+    rows = [(i, "train" if i < n else "test", t, float(v) if i < n else None) for i, (t, v) in enumerate(zip(docs, y))]
+    df = spark.createDataFrame(rows, "row_id long, split string, text string, y double")
+    tf = np.array([[d.split().count(v) for v in vocab] for d in docs], dtype=float)
+    return df, tf, y
+
+
+def test_text_ridge_equals_closed_form(spark):
+    df, tf, y = small_texts(spark, 120)
     folds = fo.stratified_folds(df, "y", seeds=(42,))
     space = te.TermSpace("w", "word", 1, 1, 1, 100)
     cells = tr.text_cells(df, folds, "text", "y", [space], nested=False)
-    got = tr.score_text(cells, tr.fit_text(cells, 2.0, nested=False)).toPandas().set_index("row_id").pred
+    fits = tr.fit_text(cells, (2.0, 0.5))
+    assert fits.residual.max() < 1e-8 and len(tr.residuals(fits, cells, (2.0, 0.5))) == 10
+    got = tr.score_text(cells, fits).toPandas().set_index("row_id").preds
+    f = folds.toPandas().set_index("row_id").fold.loc[range(120)].to_numpy()
+    for j, alpha in enumerate((2.0, 0.5)):
+        want = np.zeros(120)
+        for k in range(5):
+            want[f == k] = closed_form(tf, y, f != k, alpha)[f == k]
+        assert np.allclose([got[i][j] for i in range(120)], np.clip(want, 0, 100), atol=1e-6)
+
+
+def test_nested_text_ridge_equals_closed_form(spark):
+    df, tf, y = small_texts(spark, 90, 20)
+    train = df.filter("split = 'train'")
+    folds = fo.stratified_folds(train, "y", seeds=(42, 7))
+    space = te.TermSpace("w", "word", 1, 1, 1, 100)
+    got = tr.nested_text_ridge(df, folds, "text", "y", [space]).toPandas().set_index("row_id").pred
+    held = folds.withColumn("inner", fo.inner_split("row_id", 42, F.col("repeat"), 5)).toPandas()
+    at = {(r.row_id, r.repeat): (r.fold, r.inner) for r in held.itertuples()}
+    own, every = np.zeros((2, 90)), []
+    for r in range(2):
+        fold, inner = (np.array([at[i, r][j] for i in range(90)]) for j in (0, 1))
+        for f in range(5):
+            models = []
+            for i in range(5):
+                used = np.zeros(110, dtype=bool)
+                used[:90] = (fold != f) & (inner != i)
+                models.append(closed_form(tf, np.append(y[:90], np.zeros(20)), used, 2.0))
+            own[r, fold == f] = np.mean(models, axis=0)[:90][fold == f]
+            every += models
+    assert np.allclose(got.loc[range(90)], np.clip(own.mean(axis=0), 0, 100), atol=1e-6)
+    assert np.allclose(got.loc[range(90, 110)], np.clip(np.mean(every, axis=0)[90:], 0, 100), atol=1e-6)
+
+
+def test_nested_text_ridge_does_not_see_held_out_targets(spark):
+    df, _, _ = small_texts(spark, 90)
+    folds = fo.stratified_folds(df, "y", seeds=(42,))
+    poisoned = df.join(folds.filter("fold = 3").select("row_id", F.lit(True).alias("bad")), "row_id", "left").withColumn(
+        "y", F.when(F.col("bad"), F.lit(0.0)).otherwise(F.col("y"))).drop("bad")
+    space = te.TermSpace("w", "word", 1, 2, 1, 100)
+    a, b = (tr.nested_text_ridge(d, folds, "text", "y", [space]).toPandas().set_index("row_id").pred for d in (df, poisoned))
+    held = folds.filter("fold = 3").toPandas().row_id
+    assert np.allclose(a.loc[held], b.loc[held], atol=1e-6) and not np.allclose(a, b.loc[a.index], atol=1e-3)
+
+
+def test_vocabulary_of_a_part_is_cut_by_count_then_text(spark):
+    rng = np.random.default_rng(4)
+    docs = [" ".join(f"t{int(k):02d}" for k in rng.integers(0, 40, 12)) for _ in range(60)]
+    df = spark.createDataFrame([(i, "train", t, float(i)) for i, t in enumerate(docs)], "row_id long, split string, text string, y double")
+    folds = fo.stratified_folds(df, "y", seeds=(42,))
+    cells = tr.text_cells(df, folds, "text", "y", [te.TermSpace("w", "word", 1, 1, 3, 17)], nested=False)
     f = folds.toPandas().set_index("row_id").fold
-    tf = np.array([[d.split().count(v) for v in vocab] for d in docs], dtype=float)
-    sub = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
-    want = np.zeros(120)
-    for k in range(5):
-        tr_ = f.loc[range(120)].to_numpy() != k
-        idf = np.log((1 + tr_.sum()) / (1 + (tf[tr_] > 0).sum(0))) + 1
-        x = sub * idf
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        yt = np.array(y)[tr_]
-        xc = x[tr_] - x[tr_].mean(0)
-        coef = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(6), xc.T @ (yt - yt.mean()))
-        want[~tr_] = (x[~tr_] - x[tr_].mean(0)) @ coef + yt.mean()
-    assert np.allclose(got.loc[range(120)], np.clip(want, 0, 100), atol=0.05)
+    known = {r.term: r.idf for r in cells.terms.collect()}
+    for j, (_, k, _) in enumerate(cells.parts):
+        tf, seen = Counter(), Counter()
+        for i, d in enumerate(docs):
+            if f[i] != k:
+                tf.update(d.split())
+                seen.update(set(d.split()))
+        best = sorted((t for t in tf if seen[t] >= 3), key=lambda t: (-tf[t], t))[:17]
+        got = {t[2:]: v[j] for t, v in known.items() if v[j] > 0}
+        assert set(got) == set(best)
+        n = sum(f != k)
+        assert all(np.isclose(got[t], np.log((1 + n) / (1 + seen[t])) + 1) for t in best)
 
 
 def test_text_directions_equal_dense_svd(spark):
@@ -192,15 +293,115 @@ def test_text_directions_equal_dense_svd(spark):
     docs = [" ".join(rng.choice(vocab, 12, p=np.arange(1, 31) / 465)) for _ in range(80)]
     df = spark.createDataFrame([(i, "train", t, float(i % 50)) for i, t in enumerate(docs)], "row_id long, split string, text string, y double")
     folds = fo.stratified_folds(df, "y", seeds=(42,))
-    cells = tr.text_cells(df, folds, "text", "y", [te.TermSpace("w", "word", 1, 1, 1, 100)], nested=False)
-    found = tr.svd_directions(cells, 2, rounds=25)[(0, 0, 0)]
-    rows = cells.rows.filter(F.col("folds")[0] != 0).select("ix", "tw").collect()
-    x = np.zeros((len(rows), cells.size))
-    for i, r in enumerate(rows):
-        x[i, r.ix] = np.array(r.tw) * cells.idf[(0, 0, 0)][r.ix]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    v = np.linalg.svd(x, full_matrices=False)[2][:2].T
-    assert np.allclose(np.abs(np.sum(found * v, axis=0)), 1.0, atol=1e-3)
+    cells = tr.text_cells(df, folds, "text", "y", [te.TermSpace("w", "word", 1, 1, 1, 100)], nested=False, vectors=500)
+    assert cells.matrix.term_blocks > 1
+    rows, parts, value = tr.reduced_text(cells, 4, rounds=2, extra=26)
+    tf = np.array([[d.split().count(v) for v in vocab] for d in docs], dtype=float)
+    sub = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
+    f = folds.toPandas().set_index("row_id").fold.loc[range(80)].to_numpy()
+    z = rows.toPandas().set_index("row_id").z
+    for j, (_, k, _) in enumerate(parts):
+        used = f != k
+        seen = (tf[used] > 0).sum(0)
+        x = sub * np.where(seen > 0, np.log((1 + used.sum()) / (1 + seen)) + 1, 0)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s, v = np.linalg.svd(x[used], full_matrices=False)[1:]
+        assert np.allclose(value[j], s[:4], rtol=1e-6)
+        got, want = np.array([z[i][j] for i in range(80)]), x @ v[:4].T
+        assert np.allclose(np.abs(got), np.abs(want), atol=1e-4)
+
+
+def planted_frame(spark, n=400, n_test=80):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n + n_test, 3))
+    y = np.clip(50 + 12 * x[:, 0] - 6 * x[:, 1] * x[:, 2] + rng.normal(0, 3, len(x)), 0, 100)
+    rows = [(i, "train" if i < n else "test", float(y[i]), [float(v) for v in x[i]]) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "row_id long, split string, y double, x array<double>")
+    folds = fo.stratified_folds(df.filter("split = 'train'"), "y", seeds=(42,))
+    return df.join(fo.fold_array(folds), "row_id", "left").select("row_id", "split", "y", "folds", array_to_vector("x").alias("features")).cache()
+
+
+def poisoned(data, fold):
+    return data.withColumn("y", F.when((F.col("split") == "train") & (F.col("folds")[0] == fold), F.lit(0.0)).otherwise(F.col("y"))).cache()
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: oof.two_stage(d, oof.gbt(maxIter=3, maxDepth=2), oof.gbt(maxIter=3, maxDepth=2), lambda y, p: y - p, 1).select("row_id", (F.col("p1") + F.col("p2")).alias("v")),
+    lambda d: oof.two_stage(d, oof.gbt(maxIter=2, maxDepth=2), oof.classifier(maxIter=2), lambda y, p: (y > p).cast("double"), 1).select("row_id", F.col("p2").alias("v")),
+    lambda d: oof.run_oof(d, oof.pseudo_labelled(d, oof.gbt(weight="_w", maxIter=2, maxDepth=2), (oof.gbt(maxIter=2, maxDepth=2), oof.forest(numTrees=3)), 0.3, 0.5), 1).select("row_id", F.col("pred").alias("v")),
+], ids=["residual_chain", "residual_sign", "pseudo_labels"])
+def test_two_stage_fits_do_not_see_held_out_targets(spark, run):
+    """Poison test: the targets of a fold do not move that fold's own predictions."""
+    data = planted_frame(spark)
+    a, b = (run(d).toPandas().set_index("row_id").v for d in (data, poisoned(data, 3)))
+    held = [r.row_id for r in data.filter("split = 'train' AND folds[0] = 3").select("row_id").collect()]
+    others = a.index.difference(held)
+    assert np.allclose(a.loc[held], b.loc[held], atol=1e-9) and not np.allclose(a.loc[others], b.loc[others], atol=1e-3)
+
+
+def test_permutations_move_one_column_and_keep_its_values(spark):
+    data = planted_frame(spark).select("row_id", "y", "features")
+    plain = {r.row_id: r.features.toArray() for r in data.collect()}
+    moved = {}
+    for r in oof.permuted(data, (7, 8), 3).collect():
+        moved.setdefault((r.seed, r.position), {})[r.row_id] = r.features.toArray()
+    assert set(moved) == {(s, p) for s in (7, 8) for p in range(3)}
+    for (_, p), rows in moved.items():
+        assert rows.keys() == plain.keys()
+        rest = [j for j in range(3) if j != p]
+        assert all((v[rest] == plain[i][rest]).all() for i, v in rows.items())
+        assert sorted(v[p] for v in rows.values()) == sorted(v[p] for v in plain.values())
+        assert sum(v[p] != plain[i][p] for i, v in rows.items()) > 0.9 * len(rows)
+
+
+def test_risk_gate_does_not_see_held_out_targets(spark):
+    rng = np.random.default_rng(3)
+    n = 500
+    y = rng.uniform(20, 100, n)
+    pdf = pd.DataFrame({"row_id": np.arange(n), "y": y, "w": 1.0, "s": rng.uniform(1, 10, n)})
+    pdf["p"] = np.clip(y + rng.normal(0, pdf.s), 0, 100)
+    pdf["m"] = np.clip(y + rng.normal(0, 2, n), 0, 100)
+    df = spark.createDataFrame(pdf)
+    df = gr.with_fold_array(df, fo.stratified_folds(df, "y")).cache()
+    run = lambda d: ca.risk_gate(d, ["p", "s"], "p", "y", "w", {"strong": F.col("m")})
+    a, picks = run(df)
+    assert all(v.startswith("strong") for v in picks.values())
+    hit = df.withColumn("y", F.when(F.col("folds")[0] == 2, F.lit(0.0)).otherwise(F.col("y")))
+    one = lambda d: ca.risk_gate(d.withColumn("folds", F.slice("folds", 1, 1)).cache(), ["p", "s"], "p", "y", "w", {"strong": F.col("m")}, n_repeats=1)[0].toPandas().set_index("row_id").post
+    x, z = one(df), one(hit)
+    held = [r.row_id for r in df.filter("folds[0] = 2").select("row_id").collect()]
+    assert np.allclose(x.loc[held], z.loc[held], atol=1e-9)
+
+
+def test_subset_search_equals_full_enumeration():
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        z = rng.normal(size=(60, 10))
+        z[:, 0], z[:, -1] = 1.0, z[:, 1:4].sum(axis=1) + rng.normal(size=60)
+        m = z.T @ z
+        found = bl.best_subsets(m)
+        for k in range(1, 9):
+            every = []
+            for c in combinations(range(8), k):
+                keep = [0, *[1 + i for i in c], 9]
+                part = m[np.ix_(keep, keep)]
+                every.append((bl.squared_loss(part, *sv.nnls_from_moments(part)), c))
+            assert found[k][1] == pytest.approx(min(every)[0], rel=1e-9)
+
+
+def test_bagged_selection_leaves_noise_alone():
+    rng = np.random.default_rng(6)
+    y = rng.normal(50, 10, 400)
+    x = np.column_stack([y + rng.normal(0, 3, 400), y + rng.normal(0, 3, 400), rng.normal(50, 30, 400)])
+    z = np.column_stack([np.ones(400), x, y])
+    cells = {(0, f): z[f::5].T @ z[f::5] for f in range(5)}
+    fitted, whole = bl.bagged_selection(gr.CellMoments(["a", "b", "n"], cells), ["a", "b", "n"], share=0.67)
+    assert whole.sum() == pytest.approx(1) and whole[2] < 0.1 and abs(whole[0] - whole[1]) < 0.25
+    assert all(w.sum() == pytest.approx(1) for w, _ in fitted.values())
 
 
 # ---- store -----------------------------------------------------------------------
