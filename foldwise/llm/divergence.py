@@ -51,8 +51,8 @@ from foldwise.llm.wordscan import mix, prefix_sums, run_hashes, split_blocks, te
 
 #: Documents of a language that must hold a term.
 LEAST = 3
-#: Bytes of text whose postings make one row, about.
-CHUNK = 1 << 24
+#: Bytes of text whose postings make one row, about; rows stay small enough for the JVM's ordinary allocation.
+CHUNK = 1 << 21
 #: Term buckets in which the counts of all chunks are added up, and rows added up at once before.
 MOST_BUCKETS, FAN_IN = 4096, 512
 #: Bytes of the first level's prefixes; every level doubles them.
@@ -89,6 +89,16 @@ def _terms(buf: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]), np.searchsorted(starts, cuts)
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, which the first byte tells."""
+    size = next(k for k in (1, 2, 4, 8) if not len(values) or values.max() < 1 << 8 * k - (k == 8))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _chunk(terms: pa.Array, at: np.ndarray) -> dict[str, bytes]:
     """Distinct terms of some texts in byte order, and each text's distinct terms and counts by their numbers."""
     coded = terms.dictionary_encode()
@@ -100,8 +110,8 @@ def _chunk(terms: pa.Array, at: np.ndarray) -> dict[str, bytes]:
     vocabulary = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order))
     sizes = np.diff(np.searchsorted(place, np.arange(texts + 1) * width))
     return {
-        "terms": pc.binary_join(vocabulary, _GAP)[0].as_py(), "codes": (place % width).astype("<i4").tobytes(),
-        "sizes": sizes.astype("<i4").tobytes(), "counts": counts.astype("<u4").tobytes(),
+        "terms": pc.binary_join(vocabulary, _GAP)[0].as_py(), "codes": _narrow(place % width),
+        "sizes": _narrow(sizes), "counts": _narrow(counts),
     }
 
 
@@ -141,7 +151,7 @@ class _Chunk:
 
     def __init__(self, batch: pa.RecordBatch, row: int):
         one = lambda c: batch.column(c)[row].as_py()
-        self.codes, sizes = np.frombuffer(one("codes"), "<i4"), np.frombuffer(one("sizes"), "<i4")
+        self.codes, sizes = _wide(one("codes")), _wide(one("sizes"))
         self.texts = np.repeat(np.arange(len(sizes)), sizes)
         joined = one("terms")
         self.terms = pc.split_pattern(pa.array([joined], pa.binary()), pattern=_GAP).flatten() if joined else pa.array([], pa.binary())
@@ -197,7 +207,7 @@ def _packed(bucket: int, groups: pa.StructArray, terms: pa.Array, term: np.ndarr
     """Counts by (term, group) of one bucket of terms as one row."""
     whole = pa.array([0, len(groups)], pa.int32())
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), _GAP)
-    numbers = [pa.array([v.astype(kind).tobytes()], pa.binary()) for v, kind in ((term, "<i4"), (grp, "<i4"), (n, "<i8"), (docs, "<i8"))]
+    numbers = [pa.array([_narrow(v)], pa.binary()) for v in (term, grp, n, docs)]
     names = [pa.ListArray.from_arrays(whole, groups.field(c)) for c in ("lang", "source")]
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *names, joined, *numbers], names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -211,7 +221,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kept: np.ndarray, buckets: i
                 continue
             hashes = chunk.hashed()
             use = _in_map(kept, mix(hashes[chunk.codes] + chunk.salt[chunk.lang][chunk.texts]))
-            n = np.frombuffer(batch.column("counts")[row].as_py(), "<u4")[use]
+            n = _wide(batch.column("counts")[row].as_py())[use]
             sources = batch.column("sources").slice(row, 1).flatten().dictionary_encode()
             pairs = chunk.lang * len(sources.dictionary) + np.asarray(sources.indices)
             pairs, of_text = np.unique(pairs, return_inverse=True)
@@ -220,7 +230,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], kept: np.ndarray, buckets: i
             order = np.lexsort((np.arange(len(hashes)), hashes % _U(buckets)))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            key, total, docs = _grouped(place[chunk.codes[use]] * len(pairs) + of_text[chunk.texts[use]], n.astype(np.int64))
+            key, total, docs = _grouped(place[chunk.codes[use]] * len(pairs) + of_text[chunk.texts[use]], n)
             term, grp = key // len(pairs), key % len(pairs)
             ends = np.searchsorted(term, np.searchsorted((hashes % _U(buckets))[order], np.arange(buckets + 1, dtype=np.uint64)))
             for b in np.flatnonzero(np.diff(ends)):
@@ -249,9 +259,9 @@ def _merged(table: pa.Table) -> tuple[pa.StructArray, pa.Array, np.ndarray, np.n
     term, grp = [], []
     for at, r in zip(offsets[:-1], rows):
         own = np.array([number.setdefault(x, len(number)) for x in zip(r["langs"], r["sources"])])
-        term.append(codes[at + np.frombuffer(r["term"], "<i4")])
-        grp.append(own[np.frombuffer(r["grp"], "<i4")])
-    n, docs = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("n", "docs"))
+        term.append(codes[at + _wide(r["term"])])
+        grp.append(own[_wide(r["grp"])])
+    n, docs = (np.concatenate([_wide(r[c]) for r in rows]) for c in ("n", "docs"))
     key, n, docs = _grouped(np.concatenate(term) * len(number) + np.concatenate(grp), n, docs)
     groups = pa.StructArray.from_arrays([pa.array([x[i] for x in number], pa.string()) for i in (0, 1)], names=["lang", "source"])
     return groups, coded.dictionary, key // len(number), key % len(number), n, docs
