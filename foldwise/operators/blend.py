@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solvers as sv
-from ..functions.rowwise import clip, dot
+from ..functions.rowwise import add_all, clip, dot
+from ..session import lookup
 from .gram import CellMoments, cell_moments, fit_cells, held_out_column, weighted_score
 
 METHODS: dict[str, Callable] = {
@@ -174,20 +176,72 @@ def bagged_selection(moments: CellMoments, models: Sequence[str], bags: int = 20
     return {c: (mean(m.training(*c)), 0.0) for c in m.cells}, mean(m.total(m.repeats[0]))
 
 
-def segment_weights(df: DataFrame, models: Sequence[str], target: str, weight: str, segment: str, levels: Sequence[str],
-                    moments: CellMoments, min_rows: int = 300, method: str = "ridge_pos") -> Column:
-    """Nested weights per segment; a thin training segment falls back to the global weights."""
+def segment_fits(df: DataFrame, models: Sequence[str], target: str, weight: str, segment: str, cells: Sequence[tuple[int, int]], method: str) -> DataFrame:
+    """``(segment, fits)``: rows, coefficients and intercept of every cell's training part, for any number of segments.
+
+    Tasks add up one moment matrix per segment and cell they see; matrices are summed by position, and
+    a segment's (at most one per cell) are solved together.
+    """
+    names, solve, wide = list(models), METHODS[method], len(models) + 2
+    rows = df.select(F.col(segment).cast("string").alias("s"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
+                     F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), "folds")
+
+    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            if b.empty:
+                continue
+            z = np.column_stack([np.ones(len(b)), np.vstack(b.x.to_numpy()), b.y.to_numpy()])
+            f, w = np.vstack(b.folds.to_numpy()), b.w.to_numpy()
+            level, code = np.unique(b.s.fillna("nan").to_numpy().astype(str), return_inverse=True)
+            for r in range(f.shape[1]):
+                key = code * 1000 + f[:, r]
+                for k in np.unique(key):
+                    at = key == k
+                    m = np.append((z[at] * w[at, None]).T @ z[at], float(at.sum()))
+                    cell = (str(level[k // 1000]), r, int(k % 1000))
+                    sums[cell] = sums.get(cell, 0.0) + m
+            if len(sums) > 50_000:  # bounded memory: partial sums may be sent more than once
+                yield flush(sums)
+                sums = {}
+        if sums:
+            yield flush(sums)
+
+    def flush(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["s", "repeat", "fold", "m"])
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        mats = {(int(r), int(f)): np.array(m) for r, f, m in zip(pdf["repeat"], pdf.fold, pdf.m)}
+        fits = []
+        for r, f in cells:
+            total = sum((m for (rr, ff), m in mats.items() if rr == r and ff != f), np.zeros(wide * wide + 1))
+            n = total[-1]
+            coef, intercept = solve(total[:-1].reshape(wide, wide)) if n > len(names) else (np.zeros(len(names)), 0.0)
+            fits.append({"n": float(n), "coef": [float(c) for c in coef], "intercept": float(intercept)})
+        return pd.DataFrame({"s": [pdf.s.iloc[0]], "fits": [fits]})
+
+    each = rows.mapInPandas(partial_sums, "s string, repeat int, fold int, m array<double>").select("s", "repeat", "fold", F.posexplode("m").alias("pos", "v"))
+    summed = each.groupBy("s", "repeat", "fold", "pos").agg(F.sum("v").alias("v")).groupBy("s", "repeat", "fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("m"))
+    return summed.groupBy("s").applyInPandas(solved, "s string, fits array<struct<n:double,coef:array<double>,intercept:double>>")
+
+
+def segment_weights(df: DataFrame, models: Sequence[str], target: str, weight: str, segment: str, moments: CellMoments,
+                    min_rows: int = 300, method: str = "ridge_pos", out: str = "seg") -> DataFrame:
+    """Add ``out``: nested weights per segment; a thin training segment falls back to the global weights."""
+    cells = sorted(moments.cells)
     overall = fit_cells(moments, METHODS[method])
-    out = held_out_column(list(models), overall)
-    for level in levels:
-        part = cell_moments(df.filter(F.col(segment) == level), list(models), target, weight)
-        size = cell_moments(df.filter(F.col(segment) == level).select("folds", F.lit(0.0).alias("z"), F.lit(0.0).alias("t")), ["z"], "t")
-        fitted = {}
-        for r, f in moments.cells:
-            thin = (r, f) not in part.cells or size.training(r, f)[0, 0] < min_rows
-            fitted[(r, f)] = overall[(r, f)] if thin else METHODS[method](part.training(r, f))
-        out = F.when(F.col(segment) == level, held_out_column(list(models), fitted)).otherwise(out)
-    return clip(out)
+    fits = lookup(segment_fits(df, models, target, weight, segment, cells, method).withColumnRenamed("s", "_s"))
+    joined = df.join(fits, F.coalesce(F.col(segment).cast("string"), F.lit("nan")) == F.col("_s"), "left")
+    x = F.array(*[F.col(m).cast("double") for m in models])
+    parts = []
+    for r in moments.repeats:
+        value = F.lit(None).cast("double")
+        for f in moments.folds_of(r):
+            own = F.get("fits", F.lit(cells.index((r, f))))
+            local = F.aggregate(F.zip_with(x, own["coef"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) + own["intercept"]
+            value = F.when(F.col("folds")[r] == f, F.when(own["n"] >= min_rows, local).otherwise(dot(models, *overall[r, f]))).otherwise(value)
+        parts.append(value)
+    return joined.withColumn(out, clip(add_all(parts) / len(parts))).drop("_s", "fits")
 
 
 # ---- row-wise families -----------------------------------------------------------

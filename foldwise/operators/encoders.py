@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import lookup
+from ..session import lookup, pin
 from .folds import CELL, N_FOLDS, expand_to_training, fold_array, training_side, with_cells
-from .ranks import exact_quantiles, training_quantiles
+from .ranks import exact_quantiles, sorted_numbers, training_quantiles
 
 MISSING_LEVEL = "nan"
 
@@ -19,12 +19,24 @@ def level_universe(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     A missing category is the literal level ``nan``.
     """
-    from pyspark.sql import Window
-
     long = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)).alias(c) for c in columns])
     levels = long.unpivot([], list(columns), "column", "level").distinct()
-    order = Window.partitionBy("column").orderBy("level")
-    return levels.select("column", "level", (F.row_number().over(order) - 1).cast("int").alias("code"))
+    return sorted_numbers(levels, ["level"], ["column"]).select("column", "level", F.col("code").cast("int").alias("code"))
+
+
+def sparse_one_hot(df: DataFrame, train: DataFrame, columns: Sequence[str], out: str = "onehot") -> tuple[DataFrame, int]:
+    """One-hot codes of any number of levels: ``out`` lists the positions of a row's ones; also the width.
+
+    Columns follow one another, levels in sorted order; an unknown level has no position.
+    """
+    codes = pin(level_universe(train, columns))
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    width, names = 0, []
+    for c in columns:
+        table = lookup(codes.filter(F.col("column") == c).select(F.col("level").alias("_lv"), (F.col("code") + width).alias(f"_ix_{c}")))
+        df = df.join(table, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) == F.col("_lv"), "left").drop("_lv")
+        width, names = width + sizes.get(c, 0), [*names, f"_ix_{c}"]
+    return df.withColumn(out, F.array_compact(F.array(*names))).drop(*names), width
 
 
 def level_list(train: DataFrame, column: str, max_levels: int = 1000) -> list[str]:

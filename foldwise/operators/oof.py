@@ -8,9 +8,11 @@ training row keeps the ones that held it out and a test row averages all.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -142,6 +144,63 @@ def gbt(weight: str | None = None, early_stop: bool = False, **params) -> FitFol
     return fit
 
 
+#: A stop rule waits so many rounds for a better validation error.
+PATIENCE = 5
+
+
+def staged_losses(model, rows: DataFrame, weight: str | None = None) -> np.ndarray:
+    """(Weighted) squared error after each round of a boosted model, all rounds in one pass over the rows."""
+    w, names = F.lit(1.0) if weight is None else F.col(weight), rows.columns
+    out = rows
+    for i, tree in enumerate(model.trees):
+        out = tree.copy({tree.predictionCol: f"_t{i}"}).transform(out).select(*names, *[f"_t{j}" for j in range(i + 1)])
+    pred, sums = F.lit(0.0), []
+    for i, share in enumerate(model.treeWeights):
+        pred = pred + F.lit(float(share)) * F.col(f"_t{i}")
+        sums.append((F.sum(w * (F.col("y") - pred) * (F.col("y") - pred)) / F.sum(w)).alias(f"l{i}"))
+    return np.array(out.agg(*sums).first(), dtype=float)
+
+
+def best_round(losses: np.ndarray, patience: int = PATIENCE) -> int:
+    """Rounds kept by the stop rule: the best one before ``patience`` rounds pass without a better one."""
+    best = 0
+    for i in range(1, len(losses)):
+        if losses[i] < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def staged_gbt(weight: str | None = None, patience: int = PATIENCE, **params) -> FitFold:
+    """Boosted trees cut at the best round of an inner validation part, whose error carries the weights as the fit does."""
+    def fit(train: DataFrame) -> Scorer:
+        marked = inner_validation(train)
+        est = GBTRegressor(featuresCol="features", labelCol="y", **{**TREES, "maxIter": 30, "maxBins": bins_for(train), **params})
+        if weight:
+            est = est.setWeightCol(weight)
+        model = est.fit(marked.filter(~F.col("_val")))
+        losses = staged_losses(model, marked.filter("_val"), weight)
+        keep = best_round(losses, patience)
+        trees, shares = model.trees[:keep], model.treeWeights[:keep]
+
+        def score(df: DataFrame, out: str) -> DataFrame:
+            names = df.columns
+            for i, tree in enumerate(trees):
+                df = tree.copy({tree.predictionCol: f"_t{i}"}).transform(df).select(*names, *[f"_t{j}" for j in range(i + 1)])
+            return df.select(*names, add_all([F.lit(float(s)) * F.col(f"_t{i}") for i, s in enumerate(shares)]).alias(out))
+
+        score.entry = (len(losses), keep, float(losses[keep - 1]))
+        return score
+
+    return fit
+
+
+def rounds_ledger(scorers: Mapping[tuple[int, int], Scorer]) -> list[tuple[int, int, int, int, float]]:
+    """(repeat, fold, rounds tried, rounds kept, validation error) of every cell's staged fit."""
+    return [(r, f, *s.entry) for (r, f), s in sorted(scorers.items())]
+
+
 def forest(**params) -> FitFold:
     opts = {**dict(numTrees=20, maxDepth=6, seed=42, featureSubsetStrategy="onethird"), **params}
     return lambda train: _ml_scorer(RandomForestRegressor(featuresCol="features", labelCol="y", **{"maxBins": bins_for(train), **opts}).fit(train))
@@ -355,8 +414,19 @@ def jittered(train: DataFrame, n_numeric: int, scale: float, noise_seed: int) ->
     return x.select("*", stds.alias("s")).select("row_id", "y", array_to_vector(F.transform("x", moved)).alias("features"))
 
 
-def mixed_up(train: DataFrame, n_numeric: int, seed: int = 3) -> DataFrame:
-    """Convex combinations of a row and a partner chosen by a keyed shuffle.
+def beta_share(key: Column, shape: float, seed: int, tries: int = 12) -> Column:
+    """A keyed Beta(shape, shape) number by Johnk's method: the first of some tries that is accepted."""
+    from ..functions.keyed import unit_uniform
+
+    found = []
+    for t in range(tries):
+        x, y = (F.pow(F.greatest(unit_uniform(key * 64 + 2 * t + i, seed), F.lit(1e-12)), F.lit(1.0 / shape)) for i in (0, 1))
+        found.append(F.when((x + y <= 1.0) & (x + y > 0), x / (x + y)))
+    return F.coalesce(*found, F.lit(0.5))
+
+
+def mixed_up(train: DataFrame, n_numeric: int, seed: int = 3, shape: float = 0.4) -> DataFrame:
+    """Convex combinations of a row and a partner chosen by a keyed shuffle, with Beta shares.
 
     Only the leading numeric positions are mixed; flags and codes stay the row's own.
     Both sides are numbered along two keyed orders and joined on the number, so
@@ -364,30 +434,37 @@ def mixed_up(train: DataFrame, n_numeric: int, seed: int = 3) -> DataFrame:
     """
     from pyspark.ml.functions import array_to_vector
 
-    from ..functions.keyed import PRIME, unit_uniform
+    from ..functions.keyed import PRIME
     from .ranks import row_numbers
 
     slim = train.select("row_id", "y", vector_to_array("features").alias("x"))
     a = row_numbers(slim.withColumn("h", keyed_hash("row_id", seed)), [], "h", "row_id", (0, PRIME))
     b = row_numbers(slim.withColumn("h", keyed_hash("row_id", seed + 1)), [], "h", "row_id", (0, PRIME))
-    both = a.join(b.select("rn", F.col("y").alias("y2"), F.col("x").alias("x2")), "rn").withColumn("lam", 0.5 + 0.5 * unit_uniform("row_id", seed + 2))
-    lam = F.col("lam")
+    both = a.join(b.select("rn", F.col("y").alias("y2"), F.col("x").alias("x2")), "rn").withColumn("lam", beta_share(F.col("row_id"), shape, seed + 2))
+    lam = F.greatest("lam", 1.0 - F.col("lam"))  # the row keeps the larger share, as its flags and codes are its own
     mixed = F.transform("x", lambda p, i: F.when(i < n_numeric, p * lam + F.col("x2")[i] * (1 - lam)).otherwise(p))
     return both.select("row_id", array_to_vector(mixed).alias("features"), (lam * F.col("y") + (1 - lam) * F.col("y2")).alias("y"))
 
 
-def neighbour_mixed(train: DataFrame, n_numeric: int, seed: int = 23, tail: float | None = None) -> DataFrame:
-    """Points between a row and its nearest other training row (all rows, or the low tail only)."""
+def neighbour_mixed(train: DataFrame, n_numeric: int, seed: int = 23, tail: float | None = None, k: int = 5) -> DataFrame:
+    """Points between a row and one of its k nearest other training rows (all rows, or the low tail only).
+
+    Distances are taken on numbers scaled by the training part's own deviations.
+    """
     from pyspark.ml.functions import array_to_vector
 
     from ..functions.keyed import unit_uniform
     from .neighbours import exact_knn
 
     pool = train if tail is None else train.filter(F.col("y") <= tail)
-    slim = pool.select(F.col("row_id").alias("id"), "y", vector_to_array("features").alias("x"), F.lit(0).alias("g"))
-    refs = pin(slim.withColumn("vec", F.slice("x", 1, n_numeric)))
-    pairs = exact_knn(refs.select("id", "vec", F.lit(-1).alias("g")), refs.select("id", "vec", "y", "g"), 2).filter(F.col("id") != F.col("ref_id"))
-    partner = pairs.groupBy("id").agg(F.min(F.struct("rank", "ref_id", "y")).alias("p")).select("id", F.col("p.ref_id").alias("ref_id"), F.col("p.y").alias("y2"))
+    slim = pin(pool.select(F.col("row_id").alias("id"), "y", vector_to_array("features").alias("x"), F.lit(0).alias("g")))
+    scale = slim.agg(F.array(*[F.coalesce(F.nullif(F.stddev_pop(F.col("x")[i]), F.lit(0.0)), F.lit(1.0)) for i in range(n_numeric)]).alias("s")).first()["s"]
+    unit = F.array(*[F.lit(float(v)) for v in scale])
+    refs = pin(slim.withColumn("vec", F.zip_with(F.slice("x", 1, n_numeric), unit, lambda v, s: v / s)))
+    pairs = exact_knn(refs.select("id", "vec", F.lit(-1).alias("g")), refs.select("id", "vec", "y", "g"), k + 1).filter(F.col("id") != F.col("ref_id"))
+    near = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "y"))), 1, k).alias("near"))
+    pick = F.col("near")[F.pmod(keyed_hash("id", seed + 1), F.size("near")).cast("int")]
+    partner = near.select("id", pick.alias("p")).select("id", F.col("p.ref_id").alias("ref_id"), F.col("p.y").alias("y2"))
     both = refs.select("id", "y", "x").join(partner, "id").join(refs.select(F.col("id").alias("ref_id"), F.col("x").alias("x2")), "ref_id")
     lam = unit_uniform("id", seed)
     mixed = F.transform("x", lambda v, i: F.when(i < n_numeric, v * lam + F.col("x2")[i] * (1 - lam)).otherwise(v))
@@ -404,6 +481,61 @@ def masked(train: DataFrame, n_numeric: int, share: float = 0.15, seed: int = 17
     return train.select("row_id", "y", array_to_vector(F.transform(x, hit)).alias("features"))
 
 
+def null_targets(data: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """``data`` with ``nulls``: the target under ``draws`` keyed shuffles of the rows.
+
+    Rows are numbered once along a keyed order; a draw sends the target of number i to number
+    (a * i + b) mod n, with a and n without a common divisor, so that one grouping moves
+    the targets of all draws.
+    """
+    from ..functions.keyed import PRIME
+    from .ranks import row_numbers
+
+    here = pin(row_numbers(data.withColumn("h", keyed_hash("row_id", seed)), [], "h", "row_id", (0, PRIME)).drop("h"))
+    n = here.count()
+    rng = random.Random(seed)
+    steps = []
+    while n and len(steps) < draws:
+        a, b = rng.randrange(1, n + 1), rng.randrange(n)
+        if math.gcd(a, n) == 1:
+            steps.append((a, b))
+    goals = F.array(*[F.pmod((F.col("rn") - 1) * F.lit(a) + F.lit(b), F.lit(max(n, 1))) for a, b in steps])
+    moved = here.select("y", F.posexplode(goals).alias("draw", "at"))
+    lists = moved.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "y"))), lambda e: e["y"]).alias("nulls"))
+    return here.join(lists, F.col("rn") - 1 == F.col("at")).drop("rn", "at")
+
+
+def null_importance(data: DataFrame, n_features: int, draws: int = 20, n_folds: int = N_FOLDS, parallel: int = PARALLEL_FITS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{fold: (importance, importance under each null draw)}, each from the training part of its cell."""
+    def importance(train: DataFrame, label: str) -> np.ndarray:
+        forest_ = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=8, maxDepth=5, maxBins=bins_for(train), seed=42)
+        return forest_.fit(train).featureImportances.toArray()[:n_features]
+
+    def one(fold: int) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+        train = cell_training(data, 0, fold).select("row_id", "y", "features")
+        shuffled = pin(null_targets(train, draws, 1 + fold).select("y", "features", *[F.col("nulls")[i].alias(f"n{i}") for i in range(draws)]))
+        return fold, (importance(shuffled, "y"), np.array([importance(shuffled, f"n{i}") for i in range(draws)]))
+
+    task = inheritable_thread_target(data.sparkSession)(one)
+    with ThreadPoolExecutor(parallel) as pool:
+        return dict(pool.map(task, range(n_folds)))
+
+
+def correlation_drop(cov: np.ndarray, importance: np.ndarray, limit: float) -> dict[int, int]:
+    """{column: the more important column it repeats}: greedy by importance, so every cluster keeps its best."""
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    corr = np.abs(cov / scale / scale[:, None])
+    kept: list[int] = []
+    dropped: dict[int, int] = {}
+    for j in sorted(range(len(importance)), key=lambda i: (-importance[i], i)):
+        near = [i for i in kept if corr[i, j] > limit]
+        if near:
+            dropped[j] = max(near, key=lambda i: corr[i, j])
+        else:
+            kept.append(j)
+    return dropped
+
+
 def permuted(data: DataFrame, seeds: Sequence[int], columns: int) -> DataFrame:
     """Every row once for each seed and feature position, with that feature taken from a partner row.
 

@@ -8,14 +8,16 @@ are added back.  Bucket borders only steer the partitioning; results are exact.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rowwise import add_all
-from ..session import default_buckets
+from ..session import default_buckets, stored
 
 Domain = tuple[float, float] | None
 
@@ -117,6 +119,24 @@ def row_numbers(
     )
 
 
+def sorted_numbers(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (), out: str = "code") -> DataFrame:
+    """Number rows from 0 along ``order`` (any sortable columns, after ``groups``) by a range sort.
+
+    Every sorted part numbers its own rows; the parts' sizes, one row each, give where a
+    part starts. No task holds a whole group.
+    """
+    rows = stored(df.orderBy(*groups, *order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    whole = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")  # one row per part: bounded by the shuffle width
+    whole = whole.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
+    if not groups:
+        return whole
+    first = whole.groupBy(*groups).agg(F.min(out).alias("_first"))
+    return whole.join(first, list(groups)).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+
+
 def quantiles_of_counts(cum: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """Interpolated quantiles ``q0..`` per group from a :func:`cumulative` table."""
     first, aggs = F.col("cum_n") - F.col("n"), []
@@ -161,30 +181,41 @@ def training_quantiles(
     counts = {f"c{r}_{f}": F.coalesce((F.col("folds")[r] == f).cast("long"), F.lit(0)) for r, f in cells}
     cum = cumulative(df, value, groups, counts, domain)
 
-    def outside(prefix: str, r: int, f: int) -> Column:
-        return add_all([F.col(f"{prefix}c{r}_{g}") for g in range(n_folds) if g != f])
-
-    held = [F.struct(outside("", r, f).alias("n"), outside("cum_", r, f).alias("cum"), outside("total_", r, f).alias("total")) for r, f in cells]
-    slim = cum.select(*groups, F.col(value).cast("double").alias("_v"), *[h.alias(f"h{j}") for j, h in enumerate(held)])
-    aggs = []
-    for j in range(len(cells)):
-        h = F.col(f"h{j}")
-        first = h["cum"] - h["n"]
-        aggs.append(F.max(h["total"]).alias(f"t{j}"))
-        for i, p in enumerate(probs):
-            pos = F.lit(float(p)) * (h["total"] - 1)
-            aggs += [F.max(F.when((first <= at) & (at < h["cum"]), F.col("_v"))).alias(f"{side}{j}_{i}") for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos)))]
-    base = slim.groupBy(*groups).agg(*aggs) if groups else slim.agg(*aggs)
-    rows = []
-    for j, (r, f) in enumerate(cells):
-        out = []
-        for i, p in enumerate(probs):
-            pos = F.lit(float(p)) * (F.col(f"t{j}") - 1)
-            q = F.col(f"lo{j}_{i}") + (pos - F.floor(pos)) * (F.col(f"hi{j}_{i}") - F.col(f"lo{j}_{i}"))
-            out.append((q if digits is None else F.round(q, digits)).alias(f"q{i}"))
-        rows.append(F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), F.col(f"t{j}").alias("n"), *out))
-    each = base.select(*groups, F.explode(F.array(*rows)).alias("_r")).where("_r.n > 0")
-    return each.select("_r.repeat", "_r.fold", *groups, *[F.col("_r")[f"q{i}"].alias(f"q{i}") for i in range(len(probs))])
+    arrays = [F.array(*[F.col(f"{p}{c}") for c in counts]).alias(n) for p, n in (("", "n"), ("cum_", "cum"), ("total_", "total"))]
+    slim = cum.select(*groups, F.col(value).cast("double").alias("v"), *arrays)
+    repeat_of, points = np.array([r for r, _ in cells]), list(probs)
+
+    def outside(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        """Counts of every cell's training rows: the repeat's total minus the cell."""
+        own = np.asarray(batch.column(name).flatten()).reshape(batch.num_rows, len(cells))
+        return own.reshape(-1, n_repeats, n_folds).sum(axis=2)[:, repeat_of] - own
+
+    def at_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values at the two positions around every quantile: a few rows per group and cell in all."""
+        for batch in batches:
+            n, upto, total = (outside(batch, c) for c in ("n", "cum", "total"))
+            rows, cell, point, side = ([] for _ in range(4))
+            for i, p in enumerate(points):
+                pos = p * (total - 1)
+                for k, at in enumerate((np.floor(pos), np.ceil(pos))):
+                    r, c = np.nonzero((upto - n <= at) & (at < upto) & (total > 0))
+                    rows.append(r), cell.append(c), point.append(np.full(len(r), i)), side.append(np.full(len(r), k))
+            rows, cell, point, side = (np.concatenate(x) for x in (rows, cell, point, side))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(g).take(pa.array(rows)) for g in groups], pa.array(cell, pa.int32()), pa.array(point, pa.int32()), pa.array(side, pa.int32()),
+                 batch.column("v").take(pa.array(rows)), pa.array(total[rows, cell], pa.int64())], names=[*groups, "_cell", "_point", "_side", "_v", "_total"])
+
+    types = dict(slim.dtypes)
+    found = slim.mapInArrow(at_positions, ", ".join([*[f"`{g}` {types[g]}" for g in groups], "_cell int, _point int, _side int, _v double, _total long"]))
+    ends = [F.max(F.when((F.col("_point") == i) & (F.col("_side") == k), F.col("_v"))).alias(f"_{k}_{i}") for i in range(len(points)) for k in (0, 1)]
+    each = found.groupBy(*groups, "_cell").agg(F.max("_total").alias("_total"), *ends)
+    out = []
+    for i, p in enumerate(points):
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        q = F.col(f"_0_{i}") + (pos - F.floor(pos)) * (F.col(f"_1_{i}") - F.col(f"_0_{i}"))
+        out.append((q if digits is None else F.round(q, digits)).alias(f"q{i}"))
+    repeat, fold = (F.element_at(F.array(*[F.lit(c[i]) for c in cells]), F.col("_cell") + 1) for i in (0, 1))
+    return each.select(repeat.alias("repeat"), fold.alias("fold"), *groups, *out)
 
 
 def rank_table(

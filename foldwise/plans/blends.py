@@ -175,11 +175,8 @@ def bagged(spark, folder):
 
 @query("en12_segment_weights")
 def segment_weights(spark, folder):
-    from ..operators.encoders import level_list
-
     df, m = stacked(spark, folder)
-    p = bl.segment_weights(df, M, Y, W, "segment", level_list(df, "segment"), m)
-    return df.withColumn("seg", p).withColumn("glob", bl.meta_oof(m, M, "ridge_pos")).groupBy("segment").agg(
+    return bl.segment_weights(df, M, Y, W, "segment", m).withColumn("glob", bl.meta_oof(m, M, "ridge_pos")).groupBy("segment").agg(
         F.count("*").alias("n"), F.avg(squared_error(Y, "seg")).alias("mse_segment"), F.avg(squared_error(Y, "glob")).alias("mse_global"))
 
 

@@ -11,6 +11,7 @@ from ..operators import features as fe
 from ..operators import folds as fo
 from ..operators import metrics as mt
 from ..sources import frame as fr
+from ..sources.tables import read_table
 from .profiles import per_column, rounded, sides
 from .registry import query
 from .splits import CELL_BLOCKS, train_and_folds
@@ -103,6 +104,29 @@ def fixed_universe(spark, folder):
     return m.select("row_id", *[c for c in m.columns if c.startswith("status_")])
 
 
+WIDE = ["o_custkey", "o_orderpriority"]
+
+
+@query("fe10b_sparse_one_hot", """
+WITH o AS (SELECT o_orderkey AS row_id, CAST(o_custkey AS VARCHAR) AS a, o_orderpriority AS b FROM orders),
+known AS (SELECT * FROM o WHERE row_id % 10 < 7),
+la AS (SELECT a, CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT a FROM known)),
+lb AS (SELECT b, CAST(row_number() OVER (ORDER BY b) - 1 + (SELECT count(*) FROM la) AS INTEGER) AS i FROM (SELECT DISTINCT b FROM known))
+SELECT row_id, coalesce(la.i, -1) AS customer, coalesce(lb.i, -1) AS priority, CAST((la.i IS NOT NULL)::INT + (lb.i IS NOT NULL)::INT AS INTEGER) AS ones,
+  CAST((SELECT count(*) FROM la) + (SELECT count(*) FROM lb) AS INTEGER) AS width
+FROM o LEFT JOIN la USING (a) LEFT JOIN lb USING (b)""")
+def sparse_one_hot(spark, folder):
+    """A category with thousands of levels as positions of a sparse row, beside a narrow one."""
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), *WIDE)
+    known = orders.filter(F.col("row_id") % 10 < 7)
+    coded, width = en.sparse_one_hot(orders, known, WIDE)
+    narrow = en.level_universe(known, WIDE).filter(F.col("column") == WIDE[0]).count()
+    first = F.filter("onehot", lambda i: i < narrow)
+    second = F.filter("onehot", lambda i: i >= narrow)
+    at = lambda a: F.coalesce(F.get(a, F.lit(0)), F.lit(-1))
+    return coded.select("row_id", at(first).alias("customer"), at(second).alias("priority"), F.size("onehot").alias("ones"), F.lit(width).alias("width"))
+
+
 @query("fe11_ordinal_codes", with_blocks(
     "SELECT row_id, coalesce(code, -1) AS priority_code FROM test LEFT JOIN (SELECT lv, CAST(row_number() OVER (ORDER BY lv) - 1 AS INTEGER) AS code FROM "
     "(SELECT DISTINCT coalesce(priority, 'nan') AS lv FROM train)) ON lv = coalesce(priority, 'nan')", "train", "test"))

@@ -40,7 +40,14 @@ def oof_runner(spark, folder):
 
 @query("md02_boosted_trees")
 def boosted(spark, folder):
-    return oof.quality(oof.run_oof(prepared(spark, folder), oof.gbt(early_stop=True), 1), "gbt")
+    return oof.quality(oof.run_oof(prepared(spark, folder), oof.staged_gbt(maxIter=12, stepSize=0.4), 1), "gbt")
+
+
+@query("md02b_rounds_ledger")
+def rounds_ledger(spark, folder):
+    """Rounds tried and kept in every cell of three repeats."""
+    fitted = oof.fit_all(prepared(spark, folder, fo.SEEDS), oof.staged_gbt(maxIter=12, maxDepth=3, stepSize=0.5, patience=3), 3)
+    return spark.createDataFrame(oof.rounds_ledger(fitted), "repeat int, fold int, rounds_tried int, rounds_kept int, validation_mse double")
 
 
 @query("md03_weighted_boosting")
@@ -49,7 +56,7 @@ def weighted_boosting(spark, folder):
     train = fr.train_rows(frame)
     w = mt.importance_weights(train.select("row_id", "cohort_year"), fr.test_rows(frame), "cohort_year").select("row_id", F.least(F.greatest("w", F.lit(0.1)), F.lit(5.0)).alias("w"))
     data = oof.model_frame(frame, folds, Y).join(w, "row_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    return oof.quality(oof.run_oof(pin(data), oof.gbt(weight="w"), 1), "gbt_weighted")
+    return oof.quality(oof.run_oof(pin(data), oof.staged_gbt(weight="w", maxIter=12, stepSize=0.4), 1), "gbt_weighted")
 
 
 @query("md04_huber_boosting")
@@ -214,94 +221,124 @@ def residual_sign(spark, folder):
     return sc.groupBy(bin_of("conf", quantile_edges(sc, "conf", 4, (0.0, 0.5))).alias("slice")).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy")).select("*", auc.alias("auc"))
 
 
-def with_columns(spark, folder, sets, name, fit=None):
+def cell_scores(data, fit, n_repeats):
+    """MSE of every (repeat, fold) cell, each by its own fit."""
+    out = None
+    for r in range(n_repeats):
+        one = pin(data.withColumn("folds", F.slice("folds", r + 1, 1)))
+        scored = oof.run_oof(one, fit, 1).filter("split = 'train'")
+        part = scored.groupBy(F.lit(r).alias("repeat"), F.col("folds")[0].alias("fold")).agg(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))).alias("mse"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_columns(spark, folder, sets, name, fit=None, seeds=ONE):
     """Score several extra-column sets with one estimator (an ablation driver)."""
-    frame, folds = frame_and_folds(spark, folder)
+    frame, folds = frame_and_folds(spark, folder, seeds)
     out = None
     for label, (extra, cols) in sets(frame).items():
         data = pin(oof.model_frame(frame, folds, Y, extra=extra, extra_cols=cols))
-        scored = oof.run_oof(data, fit or oof.gbt(maxIter=5, maxDepth=3), 1).filter("split = 'train'")
-        cells = scored.groupBy(F.col("folds")[0].alias("fold")).agg(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))).alias("mse"))
+        cells = cell_scores(data, fit or oof.gbt(maxIter=5, maxDepth=3), len(seeds))
         part = cells.agg(F.avg("mse").alias("cv_mean"), F.stddev_pop("mse").alias("cv_std")).withColumn(name, F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def gated(table, name, incumbent):
+    """Which sets pass the gate against the incumbent, and the lowest of those (the incumbent if none does)."""
+    table = pin(table)
+    a = table.filter(F.col(name) == incumbent).agg(F.struct(F.first("cv_mean").alias("m"), F.first("cv_std").alias("s"))).scalar()
+    judged = pin(table.select(name, "cv_mean", "cv_std", mt.acceptance_gate(F.col("cv_mean"), a["m"], a["s"]).alias("accepted")))
+    best = judged.filter(F.col("accepted") | (F.col(name) == incumbent)).agg(F.min(F.struct(~F.col("accepted"), "cv_mean", name)).alias("b")).select(f"b.{name}").scalar()
+    return judged.select("*", (F.col(name) == best).alias("selected"))
+
+
 @query("fe26_group_ablation")
 def group_ablation(spark, folder):
-    """Anchor, core, core plus group; each gated against the anchor."""
+    """Anchor, core, core plus group on all 15 cells; each gated against the anchor, the lowest passing set selected."""
     from ..operators.features import derived
 
     groups = {"anchor": [], "core": ["qty_mean", "pts_mean"], "core+std": ["qty_mean", "pts_mean", "all_std"], "core+products": ["qty_mean", "pts_mean", "lines_x_qty"]}
-    table = pin(with_columns(spark, folder, lambda f: {k: (derived(f) if v else None, v) for k, v in groups.items()}, "feature_set"))
-    a = table.filter("feature_set = 'anchor'").agg(F.struct(F.first("cv_mean").alias("m"), F.first("cv_std").alias("s"))).scalar()
-    return table.select("feature_set", "cv_mean", "cv_std", mt.acceptance_gate(F.col("cv_mean"), a["m"], a["s"]).alias("accepted"))
+    table = with_columns(spark, folder, lambda f: {k: (derived(f) if v else None, v) for k, v in groups.items()}, "feature_set", oof.gbt(maxIter=4, maxDepth=3), fo.SEEDS)
+    return gated(table, "feature_set", "anchor")
 
 
 @query("fe27_encoding_ablation")
 def encoding_ablation(spark, folder):
-    """Indexed categories, one-hot columns and out-of-fold target means under one estimator."""
+    """Every category as index, as one-hot columns and as out-of-fold target means under one estimator; gated against the indices."""
     from ..operators import encoders as en
-    from ..operators.features import Roles
+    from pyspark.ml.functions import array_to_vector
 
     frame, folds = frame_and_folds(spark, folder)
     train = fr.train_rows(frame)
-    hot = frame.select("row_id", *en.one_hot(frame, "segment", en.level_list(train, "segment")))
-    hot = hot.toDF("row_id", *[f"seg{i}" for i in range(len(hot.columns) - 1)])
-    out = None
-    for label, extra, cats in (("native", None, True), ("one_hot", hot, False)):
-        data = pin(oof.model_frame(frame, folds, Y, Roles(), categories=cats, extra=extra, extra_cols=[] if extra is None else hot.columns[1:]))
-        part = oof.quality(oof.run_oof(data, oof.gbt(maxIter=5, maxDepth=3), 1), label)
-        out = part if out is None else out.unionByName(part)
+    fit = oof.gbt(maxIter=5, maxDepth=3)
+    plain = pin(oof.model_frame(frame, folds, Y, categories=False, keep=fr.CATEGORIES))
+    coded, width = en.sparse_one_hot(frame.select("row_id", *fr.CATEGORIES), train, fr.CATEGORIES)
+    ones = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains("onehot", i).cast("double"))
+    hot = _append(plain.join(coded.select("row_id", array_to_vector(ones).alias("hot")), "row_id"), ["hot"])
+    found = {"native": cell_scores(pin(oof.model_frame(frame, folds, Y)), fit, 1), "one_hot": cell_scores(pin(hot), fit, 1)}
+
     # target means: training rows of a cell carry the inner cross-fitted value, held-out rows the cell value
     inner = fo.inner_split("row_id", 42, 0)
-    cross = en.cross_fitted_encoding(train, folds, "segment", Y, inner).select("fold", "inner", "segment", "enc")
-    cell = en.target_encoding(train, folds, "segment", Y).select("fold", "segment", F.col("enc").alias("cell_enc"))
-    base = pin(oof.model_frame(frame, folds, Y, categories=False, keep=("segment",)).withColumn("inner", inner))
-    fitted = {}
+    base = pin(plain.withColumn("inner", inner))
+    cross = {c: pin(en.cross_fitted_encoding(train, folds, c, Y, inner).select("fold", "inner", c, F.col("enc").alias(f"enc_{c}"))) for c in fr.CATEGORIES}
+    cell = {c: pin(en.target_encoding(train, folds, c, Y).select("fold", c, F.col("enc").alias(f"enc_{c}"))) for c in fr.CATEGORIES}
+    names, fitted = [f"enc_{c}" for c in fr.CATEGORIES], {}
     for f in range(fo.N_FOLDS):
-        tr = oof.cell_training(base, 0, f).join(lookup(cross.filter(F.col("fold") == f).drop("fold")), ["inner", "segment"], "left")
-        model = oof.gbt(maxIter=5, maxDepth=3)(_append(tr, "enc"))
-        table = lookup(cell.filter(F.col("fold") == f).drop("fold"))
-        fitted[(0, f)] = _encoded_scorer(model, table)
-    return out.unionByName(oof.quality(oof.score_cells(base, fitted), "target_mean"))
+        tr = oof.cell_training(base, 0, f)
+        for c, t in cross.items():
+            tr = tr.join(lookup(t.filter(F.col("fold") == f).drop("fold")), ["inner", c], "left")
+        fitted[(0, f)] = _encoded_scorer(fit(_append(tr, names)), {c: lookup(t.filter(F.col("fold") == f).drop("fold")) for c, t in cell.items()})
+    scored = oof.score_cells(base, fitted).filter("split = 'train'")
+    found["target_mean"] = scored.groupBy(F.lit(0).alias("repeat"), F.col("folds")[0].alias("fold")).agg(F.avg((F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))).alias("mse"))
+    out = None
+    for label, cells in found.items():
+        part = cells.agg(F.avg("mse").alias("cv_mean"), F.stddev_pop("mse").alias("cv_std")).withColumn("encoding", F.lit(label))
+        out = part if out is None else out.unionByName(part)
+    return gated(out, "encoding", "native")
 
 
-def _append(df, column):
+def _append(df, columns):
+    """The feature vector with more columns (numbers, gaps as zero, or vectors) behind it."""
     from pyspark.ml.feature import VectorAssembler
 
-    v = VectorAssembler(inputCols=["features", column], outputCol="_fx", handleInvalid="keep").transform(df.withColumn(column, F.coalesce(column, F.lit(0.0))))
-    return v.drop("features").withColumnRenamed("_fx", "features")
+    kinds = dict(df.dtypes)
+    filled = df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns if kinds[c] == "double"})
+    v = VectorAssembler(inputCols=["features", *columns], outputCol="_fx").transform(filled)
+    return v.drop("features", *columns).withColumnRenamed("_fx", "features")
 
 
-def _encoded_scorer(model, table):
+def _encoded_scorer(model, tables):
     def score(df, out):
-        names = [c for c in df.columns if c != "features"]
-        joined = df.withColumn("_keep", F.col("features")).join(table, "segment", "left")
-        done = model(_append(joined, "cell_enc"), out)
-        return done.select(*names, F.col("_keep").alias("features"), out)
+        names, given = df.columns, df
+        for c, t in tables.items():
+            given = given.join(t, c, "left")
+        done = model(_append(given.withColumn("_plain", F.col("features")), [f"enc_{c}" for c in tables]), out)
+        return done.drop("features").withColumnRenamed("_plain", "features").select(*names, out)
 
     return score
 
 
 @query("fe38_null_importance")
 def null_importance(spark, folder):
-    """Importance against the importance under a shuffled target; weak columns are dropped."""
-    from pyspark.ml.regression import RandomForestRegressor
-
-    from ..functions.keyed import PRIME, keyed_hash
-    from ..operators.ranks import row_numbers
+    """Columns that beat 20 shuffled targets and repeat no better column, decided in every fold's training part."""
+    import numpy as np
 
     frame, folds = frame_and_folds(spark, folder)
     names = [*fr.NUMERICS, *fr.YEARS]
-    data = pin(oof.model_frame(frame, folds, Y, categories=False).filter("split = 'train'").select("row_id", "y", "features"))
-    a = row_numbers(data.withColumn("h", keyed_hash("row_id", 1)), [], "h", "row_id", (0, PRIME))
-    b = row_numbers(data.select("row_id", "y", keyed_hash("row_id", 2).alias("h")), [], "h", "row_id", (0, PRIME))
-    null = pin(a.drop("y").join(b.select("rn", "y"), "rn"))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=10, maxDepth=5, maxBins=64, seed=42)
-    real, shuffled = rf.fit(data).featureImportances.toArray(), rf.fit(null).featureImportances.toArray()
-    out = [(n, float(real[i]), float(shuffled[i]), bool(real[i] > 1.2 * shuffled[i])) for i, n in enumerate(names)]
-    return spark.createDataFrame(out, "column string, importance double, null_importance double, kept boolean")
+    data = pin(oof.model_frame(frame, folds, Y, categories=False))
+    found = oof.null_importance(data.filter("split = 'train'"), len(names))
+    filled = fr.train_rows(frame).select("row_id", Y, *[F.coalesce(F.col(c).cast("double"), F.lit(oof.MISSING)).alias(c) for c in names])
+    moments = gr.cell_moments(gr.with_fold_array(filled, folds), names, Y)
+    out = []
+    for fold, (real, null) in sorted(found.items()):
+        m = moments.training(0, fold)
+        mean = m[0, 1:-1] / m[0, 0]
+        twin = oof.correlation_drop(m[1:-1, 1:-1] / m[0, 0] - np.outer(mean, mean), real, 0.97)
+        for i, n in enumerate(names):
+            share = float((null[:, i] < real[i]).mean())
+            out.append((fold, n, float(real[i]), float(null[:, i].mean()), share, names[twin[i]] if i in twin else None, share >= 0.95 and i not in twin))
+    return spark.createDataFrame(out, "fold int, column string, importance double, null_importance double, nulls_beaten double, repeats string, kept boolean")
 
 
 @query("md13_meta_headroom")
@@ -383,16 +420,33 @@ def augmentation(spark, folder):
 
 @query("md23_spline_ridge")
 def spline_ridge(spark, folder):
-    from ..operators.ranks import quantile_edges
+    """Additive splines of all numerics; the knots are quantiles of each cell's training rows."""
+    from ..operators.ranks import training_quantiles
 
     frame = fr.score_frame(spark, folder)
     train = fr.train_rows(frame)
-    folds = fo.stratified_folds(train, Y)
-    knots = {c: quantile_edges(frame.filter(F.col(c).isNotNull()), c, 4) for c in ("n_lines", "avg_qty")}
-    basis = oof.spline_basis(["n_lines", "avg_qty", "disc_pts"], knots)
-    df = pin(gr.with_fold_array(train.select("row_id", Y, *[v.alias(k) for k, v in basis.items()]), folds))
-    m = gr.cell_moments(df, list(basis), Y)
-    return df.select("row_id", F.col(Y).alias("y"), gr.held_out_column(list(basis), gr.fit_cells(m, lambda t: ridge_from_moments(t, 1.0))).alias("pred"))
+    folds = fo.stratified_folds(train, Y, seeds=ONE)
+    df = pin(gr.with_fold_array(train.select("row_id", Y, *[F.col(c).cast("double").alias(c) for c in NUMS]), folds))
+    long = df.unpivot(["folds"], NUMS, "column", "value")
+    rows_ = training_quantiles(long, "value", (0.0, 0.25, 0.5, 0.75, 1.0), ["column"], n_repeats=1, digits=6).collect()
+    knots, scale = {}, {}
+    for r in rows_:
+        lo, hi = r["q0"], r["q4"]
+        inner = sorted({r[f"q{i}"] for i in (1, 2, 3)} - {lo, hi})
+        knots.setdefault((r["repeat"], r["fold"]), {})[r["column"]] = inner
+        scale.setdefault((r["repeat"], r["fold"]), {})[r["column"]] = (lo, hi - lo if hi > lo else 1.0)
+
+    def basis(cell):
+        out = []
+        for c in NUMS:
+            lo, width = scale[cell][c]
+            at = lambda x, lo=lo, width=width: (x - F.lit(lo)) / F.lit(width)
+            v = F.coalesce(at(F.col(c)), F.lit(0.0))
+            out += [v, v * v, *[F.greatest(v - F.lit((k - lo) / width), F.lit(0.0)) for k in knots[cell][c]]]
+        return out
+
+    done = gr.cell_basis_ridge(df, basis, Y, 1.0, sorted(knots))
+    return done.select("row_id", F.col(Y).alias("y"), "pred")
 
 
 @query("en10_nonlinear_meta")
@@ -603,37 +657,52 @@ def knn_target_mean(spark, folder):
     return knn(refs.select("id", "vec", "g").unionByName(test), refs, 50)
 
 
-def profile_vectors(spark, folder):
-    df, _ = numeric_moments(spark, folder, seeds=ONE)
-    std = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUMS]).first()
-    vec = F.array(*[(F.col(c) - std[c]["m"]) / std[c]["s"] for c in NUMS])
-    return pin(df.select(F.col("row_id").alias("id"), vec.alias("vec"), F.col(Y).alias("y"), F.col("folds")[0].alias("g")))
+def profile_cells(spark, folder):
+    """(cell, training rows, other rows) with numerics scaled by the cell's training part, one repeat; the others hold test rows too."""
+    frame, folds = frame_and_folds(spark, folder)
+    filled = frame.select("row_id", "split", F.col(Y).alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMS])
+    data = pin(filled.join(fo.fold_array(folds), "row_id", "left"))
+    out = []
+    for f in range(fo.N_FOLDS):
+        train = oof.cell_training(data, 0, f)
+        std = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in NUMS]).first()
+        vec = F.array(*[(F.col(c) - std[c]["m"]) / (std[c]["s"] or 1.0) for c in NUMS])
+        shape = lambda d, v=vec: d.select(F.col("row_id").alias("id"), "split", v.alias("vec"), "y")
+        out.append((f, shape(train), shape(data.filter((F.col("split") != "train") | (F.col("folds")[0] == f)))))
+    return out
 
 
 @query("fx20_twin_spread")
 def twin_spread(spark, folder):
-    """How far apart the targets of nearest profiles are."""
+    """How far apart the targets of a held-out row and its nearest training profile are."""
     from ..operators.neighbours import exact_knn
 
-    refs = profile_vectors(spark, folder)
-    pairs = exact_knn(refs.select("id", "vec", F.lit(-1).alias("g")), refs, 2).filter(F.col("id") != F.col("ref_id"))
-    near = pairs.groupBy("id").agg(F.min(F.struct("dist", "ref_id", "y")).alias("s")).select("id", "s.dist", F.col("s.y").alias("y_twin"))
-    return near.join(refs.select("id", "y"), "id").agg(
+    every = None
+    for _, train, rest in profile_cells(spark, folder):
+        asked = pin(rest.filter("split = 'train'"))
+        near = exact_knn(asked.select("id", "vec", F.lit(-1).alias("g")), train.select("id", "vec", "y", F.lit(0).alias("g")), 1)
+        part = pin(near.select("id", "dist", F.col("y").alias("y_twin")).join(asked.select("id", "y"), "id"))
+        every = part if every is None else every.unionByName(part)
+    return every.agg(
         F.count("*").alias("n"), F.avg("dist").alias("mean_dist"), F.avg(F.abs(F.col("y") - F.col("y_twin"))).alias("mean_abs_dy"), F.stddev_pop("y").alias("y_std"))
 
 
 @query("md24_knn_and_quantile_base")
 def knn_and_quantile(spark, folder):
-    """Neighbour mean in principal-component space, and a median (absolute-loss) tree base."""
+    """Neighbour mean in principal-component space, fitted per cell, and a median (absolute-loss) tree base."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from ..operators.neighbours import knn_target_mean as knn
 
-    refs = profile_vectors(spark, folder)
-    x = refs.withColumn("f", array_to_vector("vec"))
-    pcs = PCA(k=3, inputCol="f", outputCol="p").fit(x).transform(x).select("id", vector_to_array("p").alias("vec"), "y", "g")
-    pcs = pin(pcs)
-    near = knn(pcs.select("id", "vec", "g"), pcs, 30).join(pcs.select("id", "y"), "id").select("id", F.lit("train").alias("split"), "y", F.col("knn_mean").alias("pred"))
-    a = oof.quality(pin(near), "knn_pca")
+    every = None
+    for _, train, rest in profile_cells(spark, folder):
+        as_vector = lambda d: d.withColumn("f", array_to_vector("vec"))
+        model = PCA(k=3, inputCol="f", outputCol="p").fit(as_vector(train))
+        turned = lambda d, m=model: m.transform(as_vector(d)).select("id", "split", vector_to_array("p").alias("vec"), "y")
+        asked = pin(turned(rest))
+        near = knn(asked.select("id", "vec", F.lit(-1).alias("g")), turned(train).select("id", "vec", "y", F.lit(0).alias("g")), 30)
+        part = pin(near.select("id", "knn_mean").join(asked.select("id", "split", "y"), "id"))
+        every = part if every is None else every.unionByName(part)
+    a = oof.quality(pin(every.groupBy("id", "split").agg(F.first("y").alias("y"), F.avg("knn_mean").alias("pred"))), "knn_pca")
     return a.unionByName(oof.quality(oof.run_oof(prepared(spark, folder), oof.gbt(lossType="absolute", maxIter=5), 1), "median_gbt"))

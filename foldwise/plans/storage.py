@@ -213,33 +213,66 @@ def final_diversity(spark, folder):
     return rounded(pb.mean_difference(preds.select("row_id", F.col("pred_a").alias("score")), preds.select("row_id", F.col("pred_b").alias("score"))))
 
 
+FAULTY_STORE = {
+    "store": "SELECT model, split, row_id, CASE WHEN model = 'pred_c' AND row_id % 29 = 0 THEN 'nan'::DOUBLE WHEN model = 'pred_d' AND row_id % 31 = 0 THEN pred + 200 ELSE pred END AS pred "
+             "FROM preds_long WHERE NOT (model = 'pred_b' AND split = 'train' AND row_id % 37 = 0)"}
+
+
 @query("fn04_artifact_audit", with_blocks(
-    "SELECT model, TRUE AS covered, TRUE AS finite, TRUE AS in_range, TRUE AS reproduced, abs(avg(CASE WHEN split = 'test' THEN pred END) - avg(CASE WHEN split = 'train' THEN pred END)) > 5 AS drift_warning FROM preds_long GROUP BY model", "preds_long"))
+    "SELECT model, count(*) FILTER (WHERE split = 'train') = (SELECT count(*) FROM train) AS covered, count(*) FILTER (WHERE isnan(pred)) = 0 AS finite, "
+    "count(*) FILTER (WHERE pred < 0 OR pred > 100) = 0 AS in_range, model <> 'pred_a' AS reproduced, "
+    "abs(avg(CASE WHEN split = 'test' THEN pred END) - avg(CASE WHEN split = 'train' THEN pred END)) > 5 AS drift_warning FROM store GROUP BY model", "preds_long", "train", extra=FAULTY_STORE))
 def artifact_audit(spark, folder):
+    """Planted faults: a model with lost rows, one with NaN, one out of range, one whose recorded score is off."""
     frame = fr.score_frame(spark, folder)
     led = pin(ledger(spark, folder))
-    return pb.artifact_audit(fr.predictions_long(frame), fr.train_rows(frame), led, rounded(led))
+    hit = lambda m, n: (F.col("model") == m) & (F.col("row_id") % n == 0)
+    pred = F.when(hit("pred_c", 29), F.lit(float("nan"))).when(hit("pred_d", 31), F.col("pred") + 200.0).otherwise(F.col("pred"))
+    faulty = fr.predictions_long(frame).filter(~(hit("pred_b", 37) & (F.col("split") == "train"))).withColumn("pred", pred)
+    recorded = rounded(led).withColumn("cv_mean", F.col("cv_mean") + F.when(F.col("model") == "pred_a", 1e-3).otherwise(0.0))
+    return pb.artifact_audit(faulty, fr.train_rows(frame), led, recorded)
+
+
+FAULTY_FOLDS = {
+    "faulty": "SELECT row_id, repeat, CASE WHEN repeat = 0 AND score >= 100 THEN 0 ELSE fold END AS fold, score FROM folds JOIN train USING (row_id) WHERE NOT (repeat = 1 AND row_id % 41 = 0) "
+              "UNION ALL SELECT row_id, repeat, fold, score FROM folds JOIN train USING (row_id) WHERE repeat = 2 AND row_id % 43 = 0",
+    "shares": "SELECT avg(CAST(score >= 100 AS INT)) AS c, avg(CAST(score <= 50 AS INT)) AS l FROM train",
+    "cells": "SELECT repeat, fold, count(*) AS n, avg(CAST(score >= 100 AS INT)) AS c, avg(CAST(score <= 50 AS INT)) AS l FROM faulty GROUP BY ALL"}
 
 
-@query("fn05_fold_audit", with_blocks("SELECT count(DISTINCT row_id) * 3 AS expected_rows, (SELECT count(*) FROM folds) AS n_rows, 0::BIGINT AS n_unbalanced, 0::BIGINT AS n_cover FROM train", "folds"))
+@query("fn05_fold_audit", with_blocks(
+    "SELECT (SELECT count(*) * 3 FROM train) AS expected_rows, CAST(sum(cells.n) AS BIGINT) AS n_rows, "
+    "count(*) FILTER (WHERE abs(cells.c - shares.c) > 0.01 OR abs(cells.l - shares.l) > 0.01) AS n_unbalanced, "
+    "(SELECT count(*) FROM train WHERE row_id % 41 = 0 OR row_id % 43 = 0) AS n_cover FROM cells, shares", "train", "folds", extra=FAULTY_FOLDS))
 def fold_audit(spark, folder):
+    """Planted faults: rows lost from one repeat, rows listed twice in another, all capped rows in one fold of the first."""
     _, train, folds = train_and_folds(spark, folder)
-    cells = fo.validate_folds(train, folds, fr.TARGET)
-    cover = fo.cover_violations(train, folds).agg(F.count("*")).scalar()
+    hit = lambda n: F.col("row_id") % n == 0
+    capped = train.select("row_id", (F.col(fr.TARGET) >= 100).alias("capped"))
+    faulty = folds.join(capped, "row_id").withColumn("fold", F.when((F.col("repeat") == 0) & F.col("capped"), F.lit(0)).otherwise(F.col("fold"))).drop("capped")
+    faulty = pin(faulty.filter(~((F.col("repeat") == 1) & hit(41))).unionByName(folds.filter((F.col("repeat") == 2) & hit(43)).select(*faulty.columns)))
+    cells = fo.validate_folds(train, faulty, fr.TARGET)
+    cover = fo.cover_violations(train, faulty).agg(F.count("*")).scalar()
     expected = train.agg(F.count("*") * 3).scalar()
     return cells.agg(F.sum("n").alias("n_rows"), F.sum((~F.col("balanced")).cast("long")).alias("n_unbalanced")).select(
         "*", expected.alias("expected_rows"), cover.alias("n_cover"))
 
 
-@query("fn06_submission_audit", with_blocks("SELECT (SELECT count(*) FROM test) AS n, 0.0::DOUBLE AS max_diff, 0::BIGINT AS n_missing, 0::BIGINT AS n_unknown", "test"))
+@query("fn06_submission_audit", with_blocks(
+    "SELECT count(*) FILTER (WHERE row_id % 37 <> 0) + count(*) FILTER (WHERE row_id % 19 = 0) AS n, 0.5::DOUBLE * max(CAST(row_id % 37 <> 0 AND row_id % 29 = 0 AS INT)) AS max_diff, "
+    "count(*) FILTER (WHERE row_id % 37 = 0) AS n_missing, count(*) FILTER (WHERE row_id % 19 = 0) AS n_unknown FROM test", "test"))
 def submission_audit(spark, folder):
+    """A written file against its source, with planted faults: lost rows, foreign rows, changed values."""
     rows, preds = canonical(spark, folder)
     path = fresh_path(spark, "audited")
+    hit = lambda n: F.col("row_id") % n == 0
     sub = pb.build_submission(rows, preds.select("row_id", F.col("pred_a").alias("pred")))
-    st.write_submission(sub, path, "ordinal", ["row_id", "score"])
+    foreign = sub.filter(hit(19)).withColumn("row_id", -1 - F.col("row_id"))
+    changed = sub.filter(~hit(37)).withColumn("score", F.col("score") + F.when(hit(29), 0.5).otherwise(0.0))
+    st.write_submission(changed.unionByName(foreign), path, "ordinal", ["row_id", "score"])
     back = spark.read.schema("row_id long, score double").option("header", True).csv(path)
     both = back.join(sub.select("row_id", F.col("score").alias("src")), "row_id", "full_outer")
-    return both.agg(F.count("score").alias("n"), F.max(F.abs(F.col("score") - F.col("src"))).alias("max_diff"),
+    return both.agg(F.count("score").alias("n"), F.round(F.max(F.abs(F.col("score") - F.col("src"))), 6).alias("max_diff"),
                     F.sum(F.col("score").isNull().cast("long")).alias("n_missing"), F.sum(F.col("src").isNull().cast("long")).alias("n_unknown"))
 
 
@@ -258,9 +291,20 @@ def gap_ledger(spark, folder):
     return rounded(pb.gap_row(led, F.col("rw_mse")).select("model", "cv_mean", "gap", "status"))
 
 
-@query("fn09_impute_contract", with_blocks("SELECT 0::BIGINT AS n_null, 0::BIGINT AS n_zero_bad, 0::BIGINT AS n_median_bad, 0::BIGINT AS n_flag_bad FROM (SELECT count(*) FROM train)", "train"))
+@query("fn09_impute_contract", with_blocks(
+    "SELECT 3 * count(*) FILTER (WHERE row_id % 37 = 0 AND disc_pts IS NOT NULL) AS n_null, 3 * count(*) FILTER (WHERE row_id % 29 = 0 AND ret_qty IS NULL) AS n_zero_bad, "
+    "3 * count(*) FILTER (WHERE row_id % 31 = 0 AND (avg_qty IS NULL OR row_id % 5 = 0)) AS n_median_bad, 3 * count(*) FILTER (WHERE row_id % 23 = 0) AS n_flag_bad FROM train", "train"))
 def impute_contract(spark, folder):
+    """Planted faults in a filled table: gaps left, a structural zero changed, a median changed, a flag turned."""
     _, train, folds = train_and_folds(spark, folder)
     med, zero = ["avg_qty", "disc_pts"], ["ret_qty"]
-    raw = train.select("row_id", *med, *zero)
-    return pb.impute_contract(en.impute_cells(raw, folds, med, zero), en.cell_medians(train, folds, med), raw, folds, med, zero)
+    hit = lambda n: F.col("row_id") % n == 0
+    raw = pin(train.select("row_id", *med, *zero).withColumn("avg_qty", F.when(~hit(5), F.col("avg_qty"))))
+    clean = en.impute_cells(raw, folds, med, zero)
+    faulty = clean.withColumns({
+        "disc_pts": F.when(~(hit(37) & (F.col("disc_pts_missing") == 0)), F.col("disc_pts")),
+        "ret_qty": F.when(hit(29) & (F.col("ret_qty_missing") == 1), F.lit(1.0)).otherwise(F.col("ret_qty")),
+        "avg_qty": F.col("avg_qty") + F.when(hit(31) & (F.col("avg_qty_missing") == 1), 1.0).otherwise(0.0),
+        "avg_qty_missing": F.when(hit(23), 1 - F.col("avg_qty_missing")).otherwise(F.col("avg_qty_missing")),
+    })
+    return pb.impute_contract(faulty, en.cell_medians(raw, folds, med), raw, folds, med, zero)
