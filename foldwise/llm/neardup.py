@@ -46,16 +46,17 @@ NUMERATOR, DENOMINATOR = 75, 100
 MISS = 1e-6
 #: Minwise tokens per document; the estimate of a pair at 0.75 falls below SCREEN once in 10,000.
 TOKENS, SCREEN = 256, 0.65
-#: Nodes up to this many documents, or with this many outside the main component, are compared exhaustively.
+#: Nodes up to this many documents are compared exhaustively.
 LEAF = 64
-#: Members of one block of a longer list.
-BLOCK = 256
+#: Members of one block of a longer list; nodes with at most so many blocks outside the main component are compared
+#: as these against each other and the blocks of the main component, which copies a member a few times at most.
+BLOCK, OTHERS = 256, 4
 #: Star passes before the exhaustive one.
 STARS = 2
 #: Children of a larger node; 2 keeps a pair at 0.75 alive at every level (2 * 0.75 > 1).
 BRANCH = 2
 #: Levels before a node that no token splits is compared in blocks.
-DEPTH = 20
+DEPTH = 8
 
 _U = np.uint64
 
@@ -230,12 +231,12 @@ def _star_candidates(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _node_rows(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of the nodes that hold several components: small, lopsided and large ones.
 
-    A lopsided node has no more members outside its main component than a leaf.
+    A lopsided node has few blocks of members outside its main component.
     """
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     nodes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < n")
     live = stored(rows.join(nodes.select("key", "n", F.col("most.m").alias("m"), F.col("most.comp").alias("major")), "key"), f"level{level}")
-    small, lopsided = F.col("n") <= LEAF, F.col("n") - F.col("m") <= LEAF
+    small, lopsided = F.col("n") <= LEAF, F.col("n") - F.col("m") <= OTHERS * BLOCK
     return live.where(small), live.where(~small & lopsided), live.where(~lopsided)
 
 
