@@ -62,7 +62,7 @@ def near_texts():
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 8)
-    monkeypatch.setattr(neardup, "LEAF_PAIRS", 600)
+    monkeypatch.setattr(neardup, "OTHERS", 2)
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "DEPTH", 3)
     rows = rows_of(near_texts())
