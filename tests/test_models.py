@@ -139,6 +139,27 @@ def test_neighbours_equal_brute_force(spark):
     assert np.allclose(got.sort_values(["id", "rank"]).dist.to_numpy().reshape(300, 7), want, atol=1e-6)
 
 
+def test_neighbours_leave_a_cell_only_within_the_bound(spark, monkeypatch):
+    """Spread queries meet every cell, but no more than a few rows of each; ties go by the id, groups and small tables hold."""
+    from foldwise.operators import neighbours as nb
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 3)) * np.array([1.0, 1.0, 40.0]), 1)
+    x[200:300] = x[:100]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "vec": list(x), "y": rng.random(400), "g": 0}), "id long, vec array<double>, y double, g int")
+    merged = []
+    pin = nb.pin
+    monkeypatch.setattr(nb, "pin", lambda d: merged.append(pin(d)) or merged[-1])
+    got = exact_knn(df.select("id", "vec", F.lit(-1).alias("g")), df, 4, n_pivots=12).toPandas().sort_values(["id", "rank"])
+    d2 = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)
+    want = np.sort(np.sqrt(d2), axis=1)[:, :4]
+    assert np.allclose(got.dist.to_numpy().reshape(400, 4), want, atol=1e-5)
+    visits = [t for t in merged if "cell" in t.columns and "bound" in t.columns]
+    assert visits and sum(t.count() for t in visits) < 0.5 * 400 * 12
+    few = df.filter("id < 3")
+    assert exact_knn(df.select("id", "vec", F.lit(-1).alias("g")), few, 4).groupBy("id").count().filter("count = 3").count() == 400
+
+
 def test_censored_regression_recovers_the_latent_line(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 2))
@@ -255,6 +276,36 @@ def test_nested_text_ridge_equals_closed_form(spark):
     assert np.allclose(got.loc[range(90, 110)], np.clip(np.mean(every, axis=0)[90:], 0, 100), atol=1e-6)
 
 
+def test_terms_of_a_text_are_counted_without_a_shuffle_of_terms(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "bb cc bb"), (2, None), (None, "cc cc")], "row_id long, text string")
+    counts = te.term_counts(df, "text", te.TermSpace("w", "word", 1, 2))
+    got = {(r["row_id"], r["term"]): r["tf"] for r in counts.collect()}
+    assert got == {(1, "bb"): 2, (1, "cc"): 1, (1, "bb cc"): 1, (1, "cc bb"): 1, (None, "cc"): 2, (None, "cc cc"): 1}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("Exchange" in line and "term" in line for line in plan.splitlines())
+
+
+def test_text_products_are_added_up_in_the_tasks(spark, monkeypatch):
+    """However many row blocks there are, a pass sends one sum a task, and chunks of columns give what one chunk gives."""
+    from foldwise.operators import sparse as sp
+
+    rng = np.random.default_rng(21)
+    vocab = [f"w{i:02d}" for i in range(40)]
+    docs = [" ".join(rng.choice(vocab, 15)) for _ in range(200)]
+    df = spark.createDataFrame([(i, "train", t, float(i % 50)) for i, t in enumerate(docs)], "row_id long, split string, text string, y double")
+    folds = fo.stratified_folds(df, "y", seeds=(42,))
+    monkeypatch.setattr(sp, "ENTRIES_BLOCK", 100)
+    cells = tr.text_cells(df, folds, "text", "y", [te.TermSpace("w", "word", 1, 1, 1, 100)], nested=False)
+    assert cells.matrix.row_blocks > 16
+    slots = cells.matrix.slots
+    sums = sp.over_rows(cells.matrix, None, lambda b, _: (np.ones((2, slots)), None))
+    assert sums.count() <= cells.matrix.term_blocks * spark.sparkContext.defaultParallelism
+    whole = tr.score_text(cells, tr.fit_text(cells, (1.0, 2.0))).toPandas().sort_values("row_id")
+    monkeypatch.setattr(sp, "CHUNK_BYTES", 8 * cells.matrix.slots * 3)
+    split = tr.score_text(cells, tr.fit_text(cells, (1.0, 2.0))).toPandas().sort_values("row_id")
+    assert np.allclose(np.vstack(whole.preds), np.vstack(split.preds), atol=1e-5)
+
+
 def test_nested_text_ridge_does_not_see_held_out_targets(spark):
     df, _, _ = small_texts(spark, 90)
     folds = fo.stratified_folds(df, "y", seeds=(42,))
