@@ -12,6 +12,7 @@ from foldwise.operators import calibrate as ca
 from foldwise.operators import folds as fo
 from foldwise.operators import gram as gr
 from foldwise.operators import isotonic as iso
+from foldwise.operators import metrics as mt
 from foldwise.operators import oof
 from foldwise.operators import text as te
 from foldwise.operators import textridge as tr
@@ -544,3 +545,76 @@ def test_upsert_widens(spark):
     old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, s double")
     new = spark.createDataFrame([("b", 5.0, True)], "model string, s double, ok boolean")
     assert sorted(map(tuple, st.upsert(old, new, ["model"]).collect())) == [("a", 1.0, None), ("b", 5.0, True)]
+
+
+# ---- tables that are read again are written once ---------------------------------
+
+
+@pytest.fixture(scope="module")
+def orders_folder(spark, tmp_path_factory):
+    """Orders with one to three lines each, six customers."""
+    at = tmp_path_factory.mktemp("orders")
+    n = 120
+    k = F.col("id")
+    day = F.expr("timestamp'1995-03-01' + make_interval(cast(id % 5 as int))")
+    spark.range(n).select(k.alias("o_orderkey"), (k % 6).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (1000.0 + 7.0 * k).alias("o_totalprice"),
+                          day.alias("o_orderdate"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("o_orderpriority")).write.parquet(f"{at}/orders.parquet")
+    spark.range(6).select(k.alias("c_custkey"), F.lit("S").alias("c_mktsegment"), (k % 2).cast("int").alias("c_nationkey"), (10.0 * k).alias("c_acctbal")).write.parquet(f"{at}/customer.parquet")
+    spark.range(2 * n).select((k % n).alias("l_orderkey"), (1.0 + k % 7).alias("l_quantity"), (10.0 * k).alias("l_extendedprice"), F.lit(0.05).alias("l_discount"),
+                              F.lit(0.01).alias("l_tax"), F.when(k % 3 == 0, "R").otherwise("N").alias("l_returnflag"), F.expr("timestamp'1995-04-01'").alias("l_shipdate")).write.parquet(f"{at}/lineitem.parquet")
+    return str(at)
+
+
+def test_folds_and_matrices_read_one_stored_record_table(spark, orders_folder):
+    from foldwise.plans import models
+
+    frame, folds = models.frame_and_folds(spark, orders_folder)
+    data = models.prepared(spark, orders_folder)
+    for table in (frame, folds, data, data.filter("split = 'train'")):
+        assert table.count() and not any(orders_folder in f for f in table.inputFiles())
+    assert frame.count() == data.count() == 120
+    assert all("split=" in f for f in data.inputFiles())  # a cell's fit opens the training files only
+    attrs = data.schema["features"].metadata["ml_attr"]["attrs"]
+    assert [len(a["vals"]) for a in attrs["nominal"]] == [4, 2, 2]
+
+
+def test_training_rows_meet_only_the_models_that_held_them_out(spark):
+    rows = spark.range(50).select(F.col("id").alias("row_id"), F.when(F.col("id") < 40, "train").otherwise("test").alias("split"), F.lit(1.0).alias("y"),
+                                  F.when(F.col("id") < 40, F.array((F.col("id") % 5).cast("int"))).alias("folds"))
+
+    def scorer(fold):
+        wrong = (F.col("split") == "train") & (F.col("folds")[0] != fold)
+        return lambda df, out: df.withColumn(out, F.when(wrong, F.raise_error(F.lit("scored by a model that saw the row"))).otherwise(10.0 * fold + F.col("y")))
+
+    got = {r.row_id: r.pred for r in oof.score_cells(rows, {(0, f): scorer(f) for f in range(5)}).collect()}
+    assert got == {i: 10.0 * (i % 5) + 1 if i < 40 else 21.0 for i in range(50)}
+
+
+def test_auc_ranks_read_counts_instead_of_scoring_again(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": np.arange(300) % 2, "y": rng.integers(0, 2, 300).astype(float), "p": rng.integers(0, 9, 300) / 9})
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/rows")
+    table = mt.roc_auc(spark.read.parquet(f"{tmp_path}/rows"), "y", "p", ["g"])
+    assert not any(str(tmp_path) in f for f in table.inputFiles())
+    for r in table.collect():
+        a, b = (pdf[(pdf.g == r.g) & (pdf.y == v)].p.to_numpy() for v in (1, 0))
+        assert r.auc == pytest.approx(((a[:, None] > b) + 0.5 * (a[:, None] == b)).mean())
+
+
+def test_fits_read_stored_clusters_and_null_targets(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(oof, "stored", lambda df, name, by=(), real=oof.stored: made.append((name, list(by), df.columns)) or real(df, name, by))
+    train = planted_frame(spark).filter("split = 'train'")
+    score = oof.clustered(k=2, min_rows=10)(train)
+    assert score(train, "p").count() == train.count()
+    oof.null_importance(train, 3, draws=2, n_folds=2)
+    assert made == [("clusters", ["_k"], ["features", "y", "_k"])] + 2 * [("nulls", [], ["y", "features", "n0", "n1"])]
+
+
+def test_moments_refuse_rows_with_other_numbers_of_folds(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, [0]), (2.0, 3.0, [1]), (None, 1.0, [1])], "a double, y double, folds array<int>")
+    cells = gr.cell_moments(rows.filter("a is not null").coalesce(1), ["a"], "y").cells
+    assert np.array_equal(cells[(0, 0)], [[1, 1, 2], [1, 1, 2], [2, 2, 4]]) and np.array_equal(cells[(0, 1)], [[1, 2, 3], [2, 4, 6], [3, 6, 9]])
+    assert np.isnan(gr.cell_moments(rows, ["a"], "y").cells[(0, 1)]).any()
+    with pytest.raises(Exception, match="same length"):
+        gr.cell_moments(spark.createDataFrame([(1.0, 2.0, [0]), (2.0, 3.0, [1, 1])], rows.schema).coalesce(1), ["a"], "y")
