@@ -18,7 +18,8 @@ Shape of the work:
   other larger node branches, however dense it is;
 * what no token splits in ``DEPTH`` levels is compared in blocks (it takes many
   documents at a similarity just below the threshold, all in each other's reach);
-* every candidate is confirmed on the full shingle sets.
+* every candidate is confirmed on the full shingle sets; those of a leaf in a bundle, where a document is one
+  row with its text however many partners it has, and a bundle gives one link a document.
 
 Rows: a null or blank text has an empty set, which links with nothing. Rows
 without ``doc_id`` take no part. Rows that repeat a ``doc_id`` are versions of
@@ -141,15 +142,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["a", "b", "share"])
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a leaf in different components that may reach the threshold; one list at a time."""
+def _leaf_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each leaf with their partners: those in other components that may reach the threshold.
+
+    A bundle is a leaf, or a part of one whose sets are long; a row is a member, not a pair.
+    """
     for batch in batches:
-        lists = batch.column(0)
+        lists = batch.column(1)
         at = np.asarray(lists.offsets)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x, y in zip(at[:-1], at[1:]):
+        for key, x, y in zip(np.asarray(batch.column(0)), at[:-1], at[1:]):
             rows = lists.values.slice(x, y - x)
-            tree, ids, comps, sides = (np.asarray(rows.field(c)) for c in ("tree", "id", "comp", "side"))
+            tree, ids, comps, sides, n = (np.asarray(rows.field(c)) for c in ("tree", "id", "comp", "side", "n_shingles"))
             tokens = np.frombuffer(b"".join(rows.field("tokens").to_pylist()), np.uint8).reshape(-1, TOKENS)
             keys = np.asarray(rows.field("roots").flatten()).reshape(len(ids), -1)
             ended = np.zeros(keys.shape, bool)
@@ -158,6 +161,7 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # side 2: all with all; 0 and 1: the two blocks of a list, met crosswise.
             one, two = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
             before = int(tree[0])
+            left, right = [], []
             for k in range(0, len(one), 16):
                 some = one[k : k + 16]
                 same = (tokens[some, None, :] == tokens[None, two, :]).sum(axis=2)
@@ -166,14 +170,34 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i, j = np.nonzero(keep)
                 i, j = some[i], two[j]
                 new = ~((keys[i, :before] == keys[j, :before]) & ended[i, :before]).any(axis=1)
-                left.append(ids[i[new]])
-                right.append(ids[j[new]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                left.append(i[new])
+                right.append(j[new])
+            if not (left and sum(map(len, left))):
+                continue
+            i, j = np.concatenate(left), np.concatenate(right)
+            run = np.cumsum(n) // BUNDLE
+            part = run[i] * (run[-1] + 1) + run[j]
+            order = np.argsort(part, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                yield _bundle(int(mix(np.array([int(key) % (1 << 64)], np.uint64) + mix(np.array([part[some[0]] + 1], np.uint64))).view(np.int64)[0]), ids[i[some]], ids[j[some]])
+
+
+def _bundle(key: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first, starts = np.unique(a, return_index=True)
+    rest = np.setdiff1d(b, first)
+    offsets = np.concatenate([starts, np.full(len(rest) + 1, len(a))]).astype(np.int32)
+    members = np.concatenate([first, rest])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(members), key)), pa.array(members), pa.ListArray.from_arrays(offsets, pa.array(b))], names=["bundle", "id", "partners"]
+    )
 
 
-#: Pairs whose shingle sets are held at once.
+#: Pairs, or rows of small bundles, whose shingle sets are held at once.
 CONFIRM = 32
+#: Shingles of a bundle's side, on average at most; shared shingles up to which overlaps are a matrix product.
+BUNDLE, DENSE = 1 << 20, 1 << 16
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +213,95 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
 
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common elements of the sets of each pair."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    if len(i) <= 8 * len(sets) or len(shared) > DENSE:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    where = np.full(len(times), -1)
+    where[shared] = np.arange(len(shared))
+    place = where[place]
+    for k in range(0, len(shared), 2048):
+        some = np.flatnonzero((place >= k) & (place < k + 2048))
+        holds = np.zeros((len(sets), 2048), np.float32)
+        holds[owner[some], place[some] - k] = 1
+        both += holds @ holds.T
+    return np.rint(both[i, j]).astype(np.int64)
+
+
+def _bundle_links(ids: np.ndarray, partners: pa.Array, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Every member that the confirmed pairs of a bundle link to a smaller one, with the smallest it reaches."""
+    order = np.argsort(ids, kind="stable")
+    ordered, offsets, b = ids[order], np.asarray(partners.offsets), np.asarray(partners.flatten())
+    i = np.repeat(np.arange(len(ids)), np.diff(offsets))
+    # Rows that repeat an id are versions of it, and each is met.
+    lo, hi = np.searchsorted(ordered, b), np.searchsorted(ordered, b, side="right")
+    i = np.repeat(i, hi - lo)
+    j = order[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+    if not len(i):
+        return []
+    both, n = _overlaps(sets, i, j), np.array([len(s) for s in sets])
+    linked = (both > 0) & (DENOMINATOR * both >= NUMERATOR * (n[i] + n[j] - both))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(ids[i[linked]].tolist(), ids[j[linked]].tolist()):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return [(x, root(x)) for x in list(parent) if root(x) != x]
+
+
+def _confirm_bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows ``(bundle, id, partners, text)`` in the order of bundles; some small bundles are scanned together."""
+
+    def links(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = np.asarray(rows.column(0))
+        cuts = np.concatenate([np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        start = 0
+        while start < len(keys):
+            end = int(cuts[max(np.searchsorted(cuts, start + CONFIRM, side="right") - 1, np.searchsorted(cuts, start, side="right"))])
+            some = rows.slice(start, end - start)
+            sets = [s for _, each in shingle_sets(some.column(3)) for s in each]
+            found, x = [], start
+            for y in cuts[(cuts > start) & (cuts <= end)]:
+                partners = some.column(2).slice(x - start, y - x)
+                found += _bundle_links(np.asarray(some.column(1).slice(x - start, y - x)), partners, sets[x - start : y - start])
+                x = y
+            u, v = (pa.array([f[c] for f in found], pa.int64()) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+            start = end
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].column(0)[-1].as_py() == batch.column(0)[-1].as_py():  # the whole batch goes on with a bundle
+            held.append(batch)
+            continue
+        rows = pa.concat_batches([*held, batch])
+        keys = np.asarray(rows.column(0))
+        last = int(np.searchsorted(keys, keys[-1]))
+        yield from links(rows.slice(0, last))
+        held = [rows.slice(last)]
+    if held:
+        yield from links(pa.concat_batches(held))
+
+
+def confirmed_bundles(docs: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that connect what the confirmed pairs of stored ``bundles(bundle, id, partners)`` connect."""
+    ids = stored(bundles.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(hinted(ids), "doc_id", "left_semi")
+    full = bundles.join(texts.withColumnRenamed("doc_id", "id"), "id").select("bundle", "id", "partners", "text")
+    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_confirm_bundles, "u long, v long")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links ``(u, v)`` among stored candidate ``pairs(a, b)``, by their full sets.
 
@@ -277,7 +390,7 @@ def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cross_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between different components, from the leaves of all trees.
+    """Candidates between different components, from the leaves of all trees, as bundles ``(bundle, id, partners)``.
 
     Rows that walk down the trees hold ids only. A pair that an earlier tree
     compares in a leaf at its root is left to that tree.
@@ -299,10 +412,10 @@ def _cross_candidates(sets: DataFrame, roots: DataFrame) -> DataFrame:
     everything = leaves[0]
     for more in leaves[1:]:
         everything = everything.unionAll(more)
-    held = stored(sets.select("id", "tokens", "roots").join(first, "id", "left").withColumn("ended", F.coalesce("ended", F.array().cast("array<int>"))), "held")
+    held = stored(sets.select("id", "n_shingles", "tokens", "roots").join(first, "id", "left").withColumn("ended", F.coalesce("ended", F.array().cast("array<int>"))), "held")
     full = everything.join(held, "id")
-    lists = full.groupBy("key").agg(F.collect_list(F.struct(*LISTED, "side", "tokens", "roots", "ended")).alias("rows")).select("rows")
-    return lists.mapInArrow(_leaf_pairs, "a long, b long").distinct()
+    lists = full.groupBy("key").agg(F.collect_list(F.struct(*LISTED, "side", "n_shingles", "tokens", "roots", "ended")).alias("rows")).select("key", "rows")
+    return lists.mapInArrow(_leaf_bundles, "bundle long, id long, partners array<long>")
 
 
 def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
@@ -325,8 +438,8 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
         tried = star if tried is None else tried.unionAll(star)
         links = found if links is None else links.unionAll(found)
         roots = stored(components(links), "roots")
-    cross = stored(_cross_candidates(sets, roots).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    links = links.unionAll(stored(confirmed(docs, cross), "links"))
+    cross = stored(_cross_candidates(sets, roots), "cross")
+    links = links.unionAll(stored(confirmed_bundles(docs, cross), "links"))
 
     roots = stored(components(links.unionAll(equal)), "roots")
     sizes = sk.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))

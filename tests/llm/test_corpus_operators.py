@@ -79,6 +79,50 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_candidates_of_a_bundle_are_confirmed_a_row_a_document(spark, monkeypatch):
+    """Documents just below the threshold of a large group: each is a few rows, not one for every partner."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(300)]
+
+    def changed(times):
+        t = list(base)
+        for k in rng.sample(range(0, 296, 6), times):
+            t[k] = rng.choice(words)
+        return " ".join(t)
+
+    texts = [changed(2) for _ in range(120)] + [changed(11) for _ in range(40)] + [changed(8) for _ in range(6)]
+    rows = rows_of(texts) + [(3, changed(9)), (150, changed(3))]
+    made, write = {}, neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: made.setdefault(name, write(df, name)) if name == "cross" else write(df, name))
+    got = by_id(neardup.near_duplicates(frame(spark, rows)))
+    pairs = made["cross"].agg(F.sum(F.size("partners"))).first()[0]
+    assert made["cross"].count() < pairs / 4
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(brute.shingles(t))
+    parent = {i: i for i in sets}
+    linked = lambda x, y: any(100 * len(p & q) >= 75 * len(p | q) for p in sets[x] for q in sets[y])
+    changed_any = True
+    edges = [(x, y) for x in sets for y in sets if x < y and linked(x, y)]
+    while changed_any:
+        changed_any = False
+        for x, y in edges:
+            low = min(parent[x], parent[y])
+            changed_any |= parent[x] != low or parent[y] != low
+            parent[x] = parent[y] = low
+    assert {i: r.component_id for i, r in got.items()} == parent
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 16])
+def test_bundle_overlaps_are_exact(monkeypatch, dense):
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 5000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(30)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
+    assert neardup._overlaps(sets, i, j).tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j)]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(60, 59), (200, 199), (199, 200), (5, 5)]
     got = {r.id: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
