@@ -617,3 +617,28 @@ def test_moments_refuse_rows_with_other_numbers_of_folds(spark):
     assert np.isnan(gr.cell_moments(rows, ["a"], "y").cells[(0, 1)]).any()
     with pytest.raises(Exception, match="same length"):
         gr.cell_moments(spark.createDataFrame([(1.0, 2.0, [0]), (2.0, 3.0, [1, 1])], rows.schema).coalesce(1), ["a"], "y")
+
+
+def test_cells_and_rounds_read_rows_kept_in_the_executors(spark, monkeypatch):
+    """Fits read the stored table from memory, a boosting round scores no tree of earlier rounds again, and nothing stays behind."""
+    from pyspark.ml.functions import array_to_vector
+
+    from foldwise.session import stored
+
+    x = F.array(F.col("id") % 7, F.col("id") % 11).cast("array<double>")
+    rows = spark.range(200).select(F.col("id").alias("row_id"), F.lit("train").alias("split"), (F.col("id") % 7 * 10.0).alias("y"),
+                                   F.array((F.col("id") % 2).cast("int")).alias("folds"), array_to_vector(x).alias("features"))
+    data = stored(rows, "model")
+    plans, real = [], oof.DecisionTreeRegressor
+
+    class Watched(real):
+        def fit(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan"))
+            return super().fit(df)
+
+    monkeypatch.setattr(oof, "DecisionTreeRegressor", Watched)
+    left = spark.sparkContext._jsc.getPersistentRDDs().size()
+    scorers = oof.fit_all(data, oof.huber_boost(5.0, rounds=3, rate=0.5, depth=2), 1, n_folds=2, parallel=1)
+    assert len(plans) == 6 and all(len(p) > 1 and "UDF" not in p[0] for p in plans)
+    assert not data.is_cached and spark.sparkContext._jsc.getPersistentRDDs().size() == left
+    assert oof.score_cells(data, scorers).filter("pred is null").count() == 0
