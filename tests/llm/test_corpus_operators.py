@@ -592,3 +592,28 @@ def test_suffix_tree_distribution_sums_to_one(spark, folder):
 def test_held_out_texts_score_above_the_root(spark, folder):
     held = suffixtree.scores(table(spark, folder, "documents")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert held.s > held.b
+
+
+def test_suffix_tree_has_no_bound_that_grows_with_the_corpus(spark, monkeypatch):
+    """Contexts are explicit from two occurrences on, however many tokens there are, and blocks and buckets change nothing."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(120):
+        t = []
+        for _ in range(rng.randint(1, 30)):
+            t.append("z" if t[-2:] == ["a", "b"] else rng.choice("abcdef") if rng.random() < 0.9 else f"rare{rng.randrange(200)}")
+        texts.append(" ".join(t))
+    texts += ["u v u v"] * 2 + ["p q r s t"] * 3 + [None, " "]
+    rows = [*enumerate(texts), (None, "a b z"), (3, "again u v"), (3, "again u v")]
+    split = lambda t: brute.WORD.findall(brute.lower(t or "")) + ["</s>"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    score, *_, kept = tree_by_hand([split(t) for i, t in rows if not held(i)], 0.0)
+    assert any(len(s) == 2 for s in kept) and any(len(s) == 1 for s in kept)
+    want = sorted((str(i), round(score(split(t)), 6)) for i, t in rows)
+    for size in (suffixtree.BLOCK_TOKENS, 100):
+        monkeypatch.setattr(suffixtree, "BLOCK_TOKENS", size)
+        got = sorted((str(r.doc_id), round(r.score, 6)) for r in suffixtree.scores(frame(spark, rows), 0.0).collect())
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-6)
+    long = frame(spark, [(0, "x " * 2_500_000), *[(i, "u v") for i in (2, 3, 4, 5)]])
+    some = suffixtree.scores(long).where("doc_id > 0").first()
+    assert some.score > some.base_score + 5
