@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import neardup, packing, pii, quality
 from foldwise.llm.queries import tokenizer_path
-from foldwise.llm.common import quoted, stored, table
+from foldwise.llm.common import hinted, quoted, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,13 +31,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = stored(neardup.near_duplicates(docs), "labels")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = labels.where("kept").select("doc_id")
+    several_ids = stored(labels.where("kept").join(repeated, "doc_id", "left_semi").select("doc_id"), "several")
+    others = stored(labels.where("not kept").select("doc_id").unionAll(several_ids), "others")
     columns = quoted(docs.columns)
-    once = docs.join(kept.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi").select(columns)
-    several = docs.join(kept.join(repeated, "doc_id", "left_semi"), "doc_id", "left_semi")
+    # The ids that leave are few, so the texts stay where they are; an anti join keeps rows without an id.
+    once = docs.join(hinted(others), "doc_id", "left_anti").select(columns)
+    several = docs.join(hinted(several_ids), "doc_id", "left_semi")
     first = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text"))
     several = several.groupBy("doc_id").agg(first.alias("row")).select("row.*")
-    return once.unionByName(several).unionByName(docs.where("doc_id is null").select(columns))
+    return once.unionByName(several)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,29 @@ def test_pipeline_stages_match_brute_force(spark, folder):
 
 def test_run_returns_the_last_stage(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_near_dedup_keeps_rows_and_does_not_deal_the_texts(spark, tmp_path, monkeypatch):
+    """Rows without an id and one row of repeated ids stay; texts are not shuffled by id however many ids stay."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    def labels(docs):
+        group = F.when(F.col("doc_id") < 6, F.col("doc_id") - F.col("doc_id") % 2).otherwise(F.col("doc_id"))
+        out = docs.where("doc_id is not null").select("doc_id").distinct()
+        return out.select("doc_id", F.lit(5).cast("long").alias("n_shingles"), group.alias("component_id"), (group == F.col("doc_id")).alias("kept"))
+
+    monkeypatch.setattr(corpus_pipeline.neardup, "near_duplicates", labels)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids that stay were many
+        rows = [(i, f"text {i}", "x") for i in range(10)] + [(None, "none", "y"), (None, "none", "y"), (4, "other", "z"), (7, "text 7", "x")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, `odd.name` string")
+        docs.write.parquet(str(tmp_path / "docs"))
+        out = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, i) for i in (0, 2, 4, 6, 7, 8, 9)] + [(True, 0), (True, 0)]
+    assert out.columns == ["doc_id", "text", "odd.name"] and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
