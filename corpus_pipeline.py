@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several_ids = stored(labels.where("kept").join(repeated, "doc_id", "left_semi").select("doc_id"), "several")
     others = stored(labels.where("not kept").select("doc_id").unionAll(several_ids), "others")
     columns = quoted(docs.columns)
-    # The ids that leave are few, so the texts stay where they are; an anti join keeps rows without an id.
+    # Mostly few ids leave: up to SMALL_IDS of them the texts are not shuffled. An anti join keeps rows without an id.
     once = docs.join(hinted(others), "doc_id", "left_anti").select(columns)
     several = docs.join(hinted(several_ids), "doc_id", "left_semi")
     first = F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text"))
