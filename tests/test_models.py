@@ -339,6 +339,38 @@ def test_vocabulary_of_a_part_is_cut_by_count_then_text(spark):
         assert all(np.isclose(got[t], np.log((1 + n) / (1 + seen[t])) + 1) for t in best)
 
 
+def test_only_terms_that_a_part_may_choose_are_counted_by_part(spark, monkeypatch):
+    """A floor set too high is lowered until every part is full above it; the vocabulary is that of all terms."""
+    rng = np.random.default_rng(14)
+    docs = [" ".join(f"t{int(k):02d}" for k in rng.zipf(1.4, 14) % 60) for _ in range(70)]
+    df = spark.createDataFrame([(i, "train", t, float(i)) for i, t in enumerate(docs)], "row_id long, split string, text string, y double")
+    folds = fo.stratified_folds(df, "y", seeds=(42,))
+    seen, cut = [], tr._cutoffs
+    monkeypatch.setattr(tr, "_cutoffs", lambda terms, *a: (seen.append(terms.count()), cut(terms, *a))[1])
+    known = {}
+    for share in (0.0, 3.0):
+        monkeypatch.setattr(tr, "FIRST_SHARE", share)
+        cells = tr.text_cells(df, folds, "text", "y", [te.TermSpace("w", "word", 1, 1, 2, 9)], nested=False)
+        known[share] = {r.term: tuple(np.round(r.idf, 12)) for r in cells.terms.collect()}
+    assert known[0.0] == known[3.0]
+    assert len(seen) > 2 and seen[1] < seen[-1] <= seen[0]
+
+
+def test_ridge_takes_fewer_steps_after_its_leading_directions(spark, monkeypatch):
+    from foldwise.operators import sparse as sp
+
+    rng = np.random.default_rng(15)
+    docs = [" ".join(f"k{i % 4}w{int(w)}" for w in rng.integers(0, 60, 25)) for i in range(400)]
+    df = spark.createDataFrame([(i, "train", t, float(rng.integers(0, 100))) for i, t in enumerate(docs)], "row_id long, split string, text string, y double")
+    cells = tr.text_cells(df, fo.stratified_folds(df, "y", seeds=(42,)), "text", "y", [te.TermSpace("w", "word", 1, 1, 1, 500)], nested=False)
+    fast = tr.fit_text(cells, (0.1,))
+    monkeypatch.setattr(sp.Leading, "applied", lambda self, r, *a: r.copy())
+    plain = tr.fit_text(cells, (0.1,))
+    assert fast.residual.max() < 1e-8 and fast.steps < plain.steps
+    a, b = (np.concatenate([w.value for w in f.weights]) for f in (fast, plain))
+    assert np.allclose(a, b, atol=1e-5 * np.abs(b).max())
+
+
 def test_text_directions_equal_dense_svd(spark):
     rng = np.random.default_rng(10)
     vocab = [f"w{i:02d}" for i in range(30)]
