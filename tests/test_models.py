@@ -161,6 +161,25 @@ def test_neighbours_leave_a_cell_only_within_the_bound(spark, monkeypatch):
     assert exact_knn(df.select("id", "vec", F.lit(-1).alias("g")), few, 4).groupBy("id").count().filter("count = 3").count() == 400
 
 
+def test_screened_neighbours_equal_full_distances():
+    """Far outliers, copies, groups and bounds: what short floats screen is what full distances give, ties by place."""
+    from foldwise.operators import neighbours as nb
+
+    rng = np.random.default_rng(6)
+    ref = np.vstack([rng.normal(size=(3000, 6)), np.full((1, 6), 1e5), rng.normal(size=(2000, 6)) * 1e-3 + 40.0])
+    ref[1000:1500] = ref[:500]
+    q, rg = ref[::7] + rng.choice([0.0, 0.01], (len(ref[::7]), 1)), rng.integers(0, 3, len(ref))
+    qg = np.where(np.arange(len(q)) % 2, -1, rng.integers(0, 3, len(q)))
+    most = np.where(np.arange(len(q)) % 5, np.inf, 0.25)
+    row, col, d2 = nb._nearest_of(q, qg, most, ref, rg, 4)
+    for i in range(len(q)):
+        d = ((ref - q[i]) ** 2).sum(axis=1)
+        d[(d > most[i]) | ((rg == qg[i]) & (qg[i] >= 0))] = np.inf
+        want = [j for j in np.lexsort((np.arange(len(d)), d))[:4] if d[j] < np.inf]
+        assert np.allclose(d2[row == i], d[want], rtol=1e-9, atol=1e-18)
+        assert list(col[row == i]) == want or len(np.unique(d[want])) < len(want)
+
+
 def test_censored_regression_recovers_the_latent_line(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 2))
