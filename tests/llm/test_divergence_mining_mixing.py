@@ -181,6 +181,28 @@ def test_hard_negatives_of_other_windows(spark):
     assert Counter(map(tuple, df.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())) == plain_negatives(rows, 20, 7, 2, 10, 120)
 
 
+def test_positives_are_sought_among_the_anchors_own_label_only(monkeypatch):
+    """A meeting scores pairs of equal labels only, and ties go to the smaller id; an anchor does not meet itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    kind = pa.struct([("id", pa.int64()), ("label", pa.int64()), ("q", pa.list_(pa.int32()))])
+    rows = [{"id": int(i), "label": int(i % 6), "q": rng.integers(-2, 3, 3).tolist()} for i in rng.permutation(600)]
+    anchors = rows[:40] + [{"id": 9000, "label": 77, "q": [1, 1, 1]}]
+    scored, plain = [], mining._scores
+    monkeypatch.setattr(mining, "_scores", lambda a, b: (scored.append(len(a) * len(b)), plain(a, b))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x in (anchors, rows)], names=["anchors", "rows"])
+    got = {}
+    for out in mining._near_same(iter([batch]), 4):
+        for r in out.to_pylist():
+            got.setdefault(r["anchor_id"], set()).add((r["id"], r["score"]))
+    assert sum(scored) == 40 * 100
+    for a in anchors[:-1]:
+        near = sorted((-sum(x * y for x, y in zip(a["q"], r["q"])), r["id"]) for r in rows if r["label"] == a["label"] and r["id"] != a["id"])
+        assert got.pop(a["id"]) == {(i, -s) for s, i in near[:4]}
+    assert not got
+
+
 def test_hard_negatives_of_little(spark):
     assert mining.hard_negatives(vector_frame(spark, [])).count() == 0
     assert mining.hard_negatives(vector_frame(spark, [(50, [1.0], 1)])).count() == 0
