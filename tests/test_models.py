@@ -161,6 +161,16 @@ def test_neighbours_leave_a_cell_only_within_the_bound(spark, monkeypatch):
     assert exact_knn(df.select("id", "vec", F.lit(-1).alias("g")), few, 4).groupBy("id").count().filter("count = 3").count() == 400
 
 
+def test_references_with_gaps_hide_no_others_of_their_cell(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "vec": list(x), "y": 0.0, "g": 0}), "id long, vec array<double>, y double, g int")
+    gap = df.filter("id < 20").select((F.col("id") + 1000).alias("id"), F.array(F.col("vec")[0], F.lit(float("nan")), F.col("vec")[2]).alias("vec"), "y", "g")
+    got = exact_knn(df.select("id", "vec", F.lit(-1).alias("g")), df.unionByName(gap), 4, n_pivots=8).toPandas().sort_values(["id", "rank"])
+    want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, :4]
+    assert np.allclose(got.dist.to_numpy().reshape(300, 4), want, atol=1e-6)
+
+
 def test_screened_neighbours_equal_full_distances():
     """Far outliers, copies, groups and bounds: what short floats screen is what full distances give, ties by place."""
     from foldwise.operators import neighbours as nb
